@@ -68,6 +68,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: The same with all ASCII characters but letters and digits as separators.
+NOT_ALPHANUMERIC = np.array([x < 128 and not chr(x).isalnum() for x in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
@@ -79,19 +81,19 @@ def _powers_to(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + (1 << 16))
         _powers[:] = [
-            np.cumprod(np.concatenate(([1], np.full(size - 1, b, np.uint64))), dtype=np.uint64)
+            np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)), dtype=np.uint64)
             for b in (_BASE, pow(_BASE, -1, 1 << 64))
         ]
     return _powers
 
 
-def words(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: bytes, lower: bool = False, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts, byte ends and 64-bit hashes of the words of UTF-8 data."""
     b = np.frombuffer(data, np.uint8)
     if lower:
         b = _LOWER[b]
     inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~_SEPARATOR[b]
+    inside[1:-1] = ~separator[b]
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[0::2], edges[1::2]
     if not len(starts):
@@ -103,14 +105,16 @@ def words(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, mix(h + (ends - starts).astype(np.uint64) * _MULT)
 
 
-def each_text(texts: list, lower: bool = False) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+def each_text(
+    texts: list, lower: bool = False, separator: np.ndarray = _SEPARATOR
+) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text (null: empty) its number, bytes, and the starts, ends and hashes of its words."""
     pending: list[tuple[int, bytes]] = []
     size = 0
 
     def flush():
         data = b" ".join(x for _, x in pending)
-        starts, ends, h = words(data, lower)
+        starts, ends, h = words(data, lower, separator)
         at = 0
         for i, x in pending:
             lo, hi = np.searchsorted(starts, (at, at + len(x)))
