@@ -171,11 +171,8 @@ MAP_BITS = 24
 def key_map(keys: DataFrame, column: str, bits: int = MAP_BITS) -> bytes:
     """A bitmap of hashed keys, of fixed size. It only thins out rows before an exact join: at any size of the
     input it never drops a row that has a partner, and at worst lets all pass."""
-    at = F.pmod(F.col(column), F.lit(1 << bits))
-    rows = (
-        keys.select(F.shiftright(at, 5).alias("w"), F.shiftleft(F.lit(1).cast("long"), (at % 32).cast("int")).alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    )
+    at = keys.select(F.pmod(F.col(column), F.lit(1 << bits)).alias("at"))
+    rows = at.select(F.expr("shiftright(at, 5) AS w"), F.expr("shiftleft(1L, CAST(at % 32 AS int)) AS b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 5), np.uint32)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
     return out.tobytes()

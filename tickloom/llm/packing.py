@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import documents_of, records, stored
-from tickloom.llm.tokens import Encoder, encoded_batches
+from tickloom.llm.tokens import encoded_batches
 
 CAPACITY = 2048
 END = np.zeros(1, "<u4").tobytes()
@@ -28,11 +28,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def cut(batches):
-        encoder = Encoder(tokenizer_path)
         for batch in batches:
             out: dict[str, list] = {f: [] for f in schema.names}
             doc_ids = batch.column("doc_id").to_pylist()
-            for i, ids in encoded_batches(batch, encoder):
+            for i, ids in encoded_batches(batch, tokenizer_path):
                 ids += END
                 n = len(ids) // 4
                 first = n - capacity * ((n - 1) // capacity)

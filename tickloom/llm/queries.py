@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm import chat, toxicity
 from tickloom.llm.common import table
 from tickloom.llm.decontam import contaminated
+from tickloom.llm.jaccard import jaccard_components
 from tickloom.llm.langid import language_id
 from tickloom.llm.licenses import license_spans
 from tickloom.llm.packing import best_fit_packing
+from tickloom.llm.passages import repeated_passages
 from tickloom.llm.quality import quality_rules
 from tickloom.llm.tokenfile import token_files
 
@@ -34,6 +36,10 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +57,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -61,8 +71,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_best_fit_packing, op3_license_scans, op5_benchmark_decontamination,
-    op6_chat_formatting, op7_token_output, op9_toxicity, op10_language_id,
+    op1_quality_rules, op2_best_fit_packing, op3_license_scans, op4_substring_dedup, op5_benchmark_decontamination,
+    op6_chat_formatting, op7_token_output, op8_ngram_jaccard_join, op9_toxicity, op10_language_id,
 )}
 
 ORACLE_SQL: dict[str, str] = {

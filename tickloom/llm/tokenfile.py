@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import documents_of, records, shared_dir, stored
-from tickloom.llm.tokens import Encoder, encoded_batches
+from tickloom.llm.tokens import encoded_batches
 
 # Fixed values of the zstandard seekable format
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -153,10 +153,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         from pyspark import TaskContext
 
         part, writer, path = TaskContext.get().partitionId(), None, ""
-        encoder = Encoder(tokenizer_path)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for i, ids in encoded_batches(batch, encoder):
+            for i, ids in encoded_batches(batch, tokenizer_path):
                 if writer is None:
                     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tokens.zst"
                     writer = Writer(open_shared(path, write=True))

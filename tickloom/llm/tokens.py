@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded cache of words.
+"""Token ids of whole texts by the tokenizers library, with bounded caches of words and of the pieces in them.
 
 A byte-level pre-tokenizer always begins a new piece at a space that follows a character other than white space, and
 merges never cross pieces. So the ids of a text are those of its parts between such spaces, and parts recur.
@@ -8,68 +8,105 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
-import numpy as np
-
-#: Words whose ids are kept, and the longest word that is; both bound the memory of a Python worker.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Words and pieces whose ids are kept, and the longest that are; they bound the memory of a Python worker.
+CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 400_000, 250_000, 40
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _SAFE_SPLIT = re.compile(r"(?<=\S) ")
+# The pre-tokenizer's pattern for ASCII text, and the characters that stand for bytes in its pieces
+_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_BYTE_CHARS = {b: chr(256 + b if b < 33 else 289) for b in [*range(33), 127]}
+
+
+def pieces_of(tokenizer, text: str) -> list[str]:
+    """The pieces of a text as the byte-level pre-tokenizer makes them; plain ASCII is split here, which is faster."""
+    if text.isascii():
+        return [p.translate(_BYTE_CHARS) for p in _ASCII_PIECE.findall(text)]
+    return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+
+class _Pieces(dict):
+    """Ids of the pieces of the pre-tokenizer, by the model's merges."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model = tokenizer.model
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece)]
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+class _Words(dict):
+    """Ids of words, by their pieces; before every word stands a space."""
+
+    def __init__(self, tokenizer, pieces: _Pieces):
+        super().__init__()
+        self.tokenizer, self.pieces = tokenizer, pieces
+
+    def __missing__(self, word: str) -> bytes:
+        found = b"".join([self.pieces[p] for p in pieces_of(self.tokenizer, " " + word)])
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids, as bytes, of each text (null: empty); special tokens are ordinary text."""
+    """Little-endian unsigned 32-bit ids, as bytes, of each text (null: empty); special tokens are ordinary text.
+
+    The tokenizer must split into pieces by a byte-level pre-tokenizer and have neither a normalizer nor added words
+    other than special tokens.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def _learn(self, needed: set[str], which: int) -> dict[str, bytes]:
-        known = self.known[which]
-        new = list(needed - known.keys())
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(needed)
-        short = [x for x in new if len(x) <= CACHE_CHARS]
-        extra: dict[str, bytes] = {}
-        for words, into in ((short, known), ([x for x in new if len(x) > CACHE_CHARS], extra)):
-            if words:
-                found = self.tokenizer.encode_batch_fast([" " + x for x in words] if which else words, add_special_tokens=False)
-                into.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found))
-        return _Both(known, extra) if extra else known
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("texts would be normalized: the ids of a text aren't those of its parts")
+        self.pieces = _Pieces(self.tokenizer)
+        self.words = _Words(self.tokenizer, self.pieces)
 
     def encode(self, texts: list) -> list[bytes]:
-        parts = [_SAFE_SPLIT.split(t) if _SPACE_AFTER_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        first = self._learn({p[0] for p in parts}, 0)
-        rest: set[str] = set()
-        for p in parts:
-            rest.update(p[1:])
-        rest_ids = self._learn(rest, 1)
-        return [b"".join([first[p[0]], *map(rest_ids.__getitem__, p[1:])]) for p in parts]
+        pieces, word = self.pieces, self.words.__getitem__
+        out = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
+            first, *rest = _SAFE_SPLIT.split(text) if _SPACE_AFTER_SPACE.search(text) else text.split(" ")
+            out.append(b"".join([*(pieces[p] for p in pieces_of(self.tokenizer, first)), *map(word, rest)]))
+        return out
 
 
-class _Both(dict):
-    """Looks in extra for what known doesn't hold."""
+_encoders: dict[str, Encoder] = {}
 
-    def __init__(self, known: dict, extra: dict):
-        super().__init__(extra)
-        self.known = known
 
-    def __missing__(self, key):
-        return self.known[key]
+def encoder(path: str) -> Encoder:
+    """The encoder of a file; a Python worker keeps it, with its caches, from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
-def encoded_batches(batch, encoder: Encoder, characters: int = 2_000_000):
+def encoded_batches(batch, path: str, characters: int = 500_000):
     """(row, ids) of a record batch's text column, a bounded number of characters at a time."""
     at, texts, size = 0, [], 0
-    for i, text in enumerate(batch.column("text").to_pylist()):
+    encode = encoder(path).encode
+    for i, text in enumerate(batch.column("text")):
+        text = text.as_py()
         texts.append(text)
         size += len(text or "")
         if size >= characters:
-            yield from zip(range(at, i + 1), encoder.encode(texts))
+            yield from zip(range(at, i + 1), encode(texts))
             at, texts, size = i + 1, [], 0
-    yield from zip(range(at, at + len(texts)), encoder.encode(texts))
+    yield from zip(range(at, at + len(texts)), encode(texts))
