@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage reads what its predecessor has written, and returns a DataFrame."""
+"""The corpus pipeline: each stage reads what its predecessor has written, and returns a DataFrame.
+
+Decisions are joined to the documents by doc_id. Rows that share a doc_id are told apart by nothing else, so they
+share a decision; rows without a doc_id are one such group, except where a stage says otherwise. Null and empty texts,
+extra columns and empty tables pass as each stage's operator defines.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +11,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import stored, table
+from tickloom.llm.decontam import contaminated
+from tickloom.llm.jaccard import jaccard_components
+from tickloom.llm.packing import best_fit_packing
+from tickloom.llm.passages import repeated_passages, without_passages
 from tickloom.llm.quality import quality_rules
+from tickloom.llm.queries import tokenizer_path
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) a row in ids(_id); a null doc_id equals a null _id."""
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Documents that the quality rules reject go; of rows that share a doc_id, all stay if one is kept."""
+    kept = quality_rules(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return _by_id(docs, kept, "left_semi")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join stays: the one with the smallest doc_id, once.
+
+    Documents without words are linked with nothing and stay; so do rows without a doc_id.
+    """
+    first = jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
+    first = first.withColumnRenamed("doc_id", "_id")
+    kept = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_id"))
+    # dealt out by doc_id already, so this sends no row anywhere
+    once = kept.dropDuplicates(["_id"]).select(*docs.columns)
+    return once.unionByName(docs.where("doc_id is null"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document also holds are cut out of the text; documents that consist of them go."""
+    return without_passages(docs, repeated_passages(docs))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
+    return _by_id(docs, found, "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces of all documents in sequences."""
+    return best_fit_packing(docs, tokenizer_path())
 
 
-STAGES = [("quality rules", quality)]
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substrings),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
 
+#: Near duplicates, windows and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
