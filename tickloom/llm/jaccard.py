@@ -23,6 +23,8 @@ from tickloom.llm.common import (
 )
 
 GROUPS = 64
+#: The tree's pairs are bounded once more by finer counts: one group for 2 to 4 shingles, this many at most.
+MAX_GROUPS = 4096
 #: Documents whose shingles are counted to find frequent ones, which come last in the order. Any order gives the
 #: same links; this one only keeps groups of unrelated documents small.
 ORDER_SAMPLE, ORDER_COUNT, ORDER_SIZE = 4096, 4, 200_000
@@ -38,6 +40,19 @@ def count_vector(s: np.ndarray) -> np.ndarray:
     return np.bincount((s * np.uint64(0xD1342543DE82EF95) >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
 
 
+def fine_counts(s: np.ndarray) -> np.ndarray:
+    """Counts in as many groups as suit the set, a power of two; halving them adds neighbours up."""
+    bits = min(max((len(s) // 4).bit_length(), 6), MAX_GROUPS.bit_length() - 1)
+    return np.bincount((s * np.uint64(0xD1342543DE82EF95) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16 if len(s) < 1 << 16 else np.uint32)
+
+
+def most_shared(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """The largest overlap that fine_counts() of two sets of n_a and n_b elements allow."""
+    x, y = (np.frombuffer(v, np.uint16 if n < 1 << 16 else np.uint32) for v, n in ((a, n_a), (b, n_b)))
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(size, -1).sum(axis=1), y.reshape(size, -1).sum(axis=1)).sum())
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of which linked sets share one: the first in the order (frequent last, then by hash)."""
     n = len(s)
@@ -49,8 +64,8 @@ def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the set; null: empty), n, counts. Documents with the same set are one node."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+    """doc_id, node (hash of the set; null: empty), n, counts, fine. Documents with the same set are one node."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("fine", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -58,11 +73,11 @@ def _nodes(docs: DataFrame) -> DataFrame:
             doc_ids = batch.column("doc_id").to_pylist()
             for i, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True):
                 s = shingle_set(h)
-                for name, value in zip(schema.names, (doc_ids[i], content_hash(s) if len(s) else None, len(s), count_vector(s).tobytes())):
+                for name, value in zip(schema.names, (doc_ids[i], content_hash(s) if len(s) else None, len(s), count_vector(s).tobytes(), fine_counts(s).tobytes())):
                     out[name].append(value)
             yield records(schema, out)
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, counts binary")
+    return docs.mapInArrow(run, "doc_id long, node long, n long, counts binary, fine binary")
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -110,16 +125,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose overlap may be large enough by the sum of coordinate minima."""
-    end = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}"))
-    both = pairs.join(end("a"), "a").join(end("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    """Those of the pairs (a, b) whose overlap may be large enough by the sum of the minima of their fine counts."""
+    end = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"c_{x}"))
+    size = nodes.select("node", "n")
+    pairs = pairs.join(size.withColumnsRenamed({"node": "a", "n": "_m"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "_n"}), "b")
+    pairs = pairs.where(f"100 * least(_m, _n) >= {percent} * greatest(_m, _n)").select("a", "b")
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                most = np.minimum(_matrix(batch.column("c_a")), _matrix(batch.column("c_b"))).sum(axis=1, dtype=np.int64)
-                n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-                yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * most >= percent * n))
+            keep = []
+            for n_a, n_b, x, y in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("c_a"), batch.column("c_b")):
+                keep.append((100 + percent) * most_shared(x.as_buffer(), n_a, y.as_buffer(), n_b) >= percent * (n_a + n_b))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(run, "a long, b long")
 
@@ -264,7 +282,7 @@ def jaccard_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> Da
     """
     d = documents_of(docs)
     rows = stored(_nodes(d))
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")))
+    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine")))
     frequent = _frequent(d)
     shared = _postings(d, frequent, percent).groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("_last"))
     shared = stored(shared.where("leader <> _last").select("token", "leader"))
