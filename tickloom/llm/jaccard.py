@@ -7,7 +7,7 @@ linked sets must share: in any fixed order, two sets of similarity t have one of
 shingles in common. Each shared shingle is the root of a small R-tree.
 
 Groups of copies are met in two steps, so that no pairs within a group are listed: every member is first compared with
-the smallest member of its groups; only members of groups that still fall into several components then meet in the
+the leader of each of its groups, the one that shares most with others; only members of groups that still fall into several components then meet in the
 R-trees, and only across components.
 """
 
@@ -120,6 +120,18 @@ def _postings(docs: DataFrame, frequent: np.ndarray, percent: int, bitmap: bytes
     return docs.mapInArrow(run, "token long, node long")
 
 
+def _led(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Adds leader to (token, node): the member of the group that shares the largest part of its prefix with others.
+
+    Of a text and its altered copies that is the text itself, to which the copies are closest.
+    """
+    length = F.expr(f"n - ceil({percent} * n / 100) + 1")
+    share = members.groupBy("node").agg(F.count("*").alias("_c")).join(nodes.select("node", "n"), "node")
+    share = share.select("node", F.floor(1000 * F.col("_c") / length).cast("int").alias("_share"))
+    leaders = members.join(share, "node").groupBy("token").agg(F.max(F.struct("_share", "node")).alias("_x"))
+    return stored(members.join(leaders.select("token", F.col("_x.node").alias("leader")), "token"))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS)
 
@@ -223,7 +235,7 @@ def tree_join(points: np.ndarray, sizes: np.ndarray, apart: np.ndarray, percent:
 def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of a group that are in different components, from the groups' R-trees.
 
-    Pairs with the group's smallest member have been compared already. A group of more than PAGE members is cut into
+    Pairs with the group's leader have been compared already. A group of more than PAGE members is cut into
     pages, and each pair of pages is a task's work of bounded size.
     """
     m = members.where("node <> leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -284,10 +296,10 @@ def jaccard_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> Da
     rows = stored(_nodes(d))
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine")))
     frequent = _frequent(d)
-    shared = _postings(d, frequent, percent).groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("_last"))
-    shared = stored(shared.where("leader <> _last").select("token", "leader"))
+    shared = _postings(d, frequent, percent).groupBy("token").agg(F.min("node").alias("_first"), F.max("node").alias("_last"))
+    shared = stored(shared.where("_first <> _last").select("token"))
     bitmap = key_map(shared, "token", MAP_BITS)
-    members = stored(_postings(d, frequent, percent, bitmap).join(shared, "token").distinct())
+    members = _led(stored(_postings(d, frequent, percent, bitmap).join(shared, "token").distinct()), nodes, percent)
     first = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     edges = _verified(_bounded(first, nodes, percent), d, nodes, percent)
     more = _verified(_bounded(_across(members, nodes, components(edges), percent), nodes, percent), d, nodes, percent)
