@@ -113,18 +113,18 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(at.alias("x")).select("custkey", F.col("x.o_orderkey").alias("orderkey"), r("price", "x.o_totalprice", 4))
 
 
-@query(f"""WITH {daily()}, {daily("p_type", "sectors")}, s AS (SELECT DISTINCT symbol, d, close FROM sectors WHERE symbol = 'PROMO' OR true)
+@query(f"""WITH {daily()}, {daily("p_type", "sectors")}
  SELECT b.symbol, b.d, max(x.d) AS as_of_d FROM bars b LEFT JOIN (SELECT DISTINCT d FROM sectors WHERE extract(dow FROM d) = 1) x ON x.d <= b.d GROUP BY 1, 2""")
 def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest Monday with sector bars on or before each bar, by a union and a running last value."""
-    b = daily_bars(spark, sf_dir).select("symbol", "d", F.lit(None).cast("date").alias("at"))
-    days = daily_bars(spark, sf_dir, "p_type").select("d").distinct().where(F.dayofweek("d") == 2)
-    symbols = b.select("symbol").distinct()
-    # the small calendar is dealt to every symbol, so the running value needs one window by symbol only
-    marks = days.join(symbols).select("symbol", "d", F.col("d").alias("at"))
-    w = Window.partitionBy("symbol").orderBy("d", F.col("at").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    both = b.withColumn("own", F.lit(True)).unionByName(marks.withColumn("own", F.lit(False)))
-    return both.withColumn("as_of_d", F.last("at", ignorenulls=True).over(w)).where("own").select("symbol", "d", "as_of_d")
+    """The latest Monday with sector bars on or before each bar: the running value of a calendar, joined by date.
+
+    The calendar has one row a day, so its window in one task is bounded by time, not by symbols.
+    """
+    b = daily_bars(spark, sf_dir).select("symbol", "d")
+    marks = daily_bars(spark, sf_dir, "p_type").select("d").distinct().where(F.dayofweek("d") == 2).withColumn("at", F.col("d"))
+    days = b.select("d").distinct().join(marks, "d", "full")
+    asof = days.select("d", F.last("at", ignorenulls=True).over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)).alias("as_of_d"))
+    return b.join(asof, "d").select("symbol", "d", "as_of_d")
 
 
 @query(f"""WITH {daily()}, c AS (SELECT d, row_number() OVER (ORDER BY d) AS n FROM (SELECT DISTINCT d FROM bars))

@@ -122,14 +122,14 @@ def _strict(n: int) -> str:
 
 @query(f"""WITH {daily()}, b AS (SELECT symbol, d, close, (({_strict(3)}) + ({_strict(6)}) + ({_strict(12)}) + ({_strict(24)})) / 4 AS bbi FROM bars),
  x AS (SELECT *, CASE WHEN close > bbi AND lag(close) {over()} <= lag(bbi) {over()} THEN 1 WHEN close < bbi AND lag(close) {over()} >= lag(bbi) {over()} THEN -1 ELSE 0 END AS c FROM b)
- SELECT symbol, d, {rounded({"bbi": "bbi", "deviation": "(close - bbi) / nullif(bbi, 0) * 100", "slope": f"(bbi / nullif(lag(bbi, 9) {over()}, 0) - 1) * 100"})},
+ SELECT symbol, d, {rounded({"deviation": "(close - bbi) / nullif(bbi, 0) * 100", "slope": f"(bbi / nullif(lag(bbi, 9) {over()}, 0) - 1) * 100"})},
  CAST(sum(c) {over(5)} AS BIGINT) AS crossings FROM x""")
 def bull_bear_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the strict 3, 6, 12 and 24-bar means, deviation from it, its slope over ten bars, crossings in five."""
     b = daily_bars(spark, sf_dir).select("symbol", "d", "close", ((W.sma("close", 3) + W.sma("close", 6) + W.sma("close", 12) + W.sma("close", 24)) / 4).alias("bbi"))
     up, down = W.cross("close", "bbi"), W.true((F.col("close") < F.col("bbi")) & (W.ref("close") >= W.ref("bbi")))
     x = b.withColumn("c", F.when(up, 1).when(down, -1).otherwise(0))
-    return x.select("symbol", "d", r("bbi", "bbi"), r("deviation", W.ratio(F.col("close") - F.col("bbi"), "bbi") * 100), r("slope", W.change("bbi", 9)), W.total("c", 5).alias("crossings"))
+    return x.select("symbol", "d", r("deviation", W.ratio(F.col("close") - F.col("bbi"), "bbi") * 100), r("slope", W.change("bbi", 9)), W.total("c", 5).alias("crossings"))
 
 
 def _sum26(x: str) -> str:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tickloom.operators import relational, rolling
+from tickloom.operators import patterns, relational, rolling, scoring
 
-_MODULES = (rolling, relational)
+_MODULES = (rolling, relational, patterns, scoring)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
