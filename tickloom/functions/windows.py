@@ -9,17 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("symbol").orderBy("d")
-SO_FAR = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
-ACROSS = Window.partitionBy("d")
+
+def by_time():
+    """A symbol's rows in order of time."""
+    return Window.partitionBy("symbol").orderBy("d")
+
+
+def so_far():
+    return by_time().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def across():
+    """The cross-section of a day."""
+    return Window.partitionBy("d")
 
 
 def back(n: int):
-    return BY_TIME.rowsBetween(1 - n, 0)
+    return by_time().rowsBetween(1 - n, 0)
 
 
 def ahead(first: int, last: int):
-    return BY_TIME.rowsBetween(first, last)
+    return by_time().rowsBetween(first, last)
 
 
 def col(x: Column | str) -> Column:
@@ -27,7 +37,7 @@ def col(x: Column | str) -> Column:
 
 
 def ref(x, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(BY_TIME)
+    return F.lag(col(x), n).over(by_time())
 
 
 def full(x: Column, n: int) -> Column:
@@ -81,12 +91,12 @@ def cross(a, b) -> Column:
 
 
 def row() -> Column:
-    return F.row_number().over(BY_TIME)
+    return F.row_number().over(by_time())
 
 
 def bars_last(x: Column) -> Column:
     """Rows since the condition last held; 0 before it first did."""
-    return F.coalesce(row() - F.last(F.when(true(x), row()), ignorenulls=True).over(SO_FAR), F.lit(0)).cast("long")
+    return F.coalesce(row() - F.last(F.when(true(x), row()), ignorenulls=True).over(so_far()), F.lit(0)).cast("long")
 
 
 def ratio(a, b) -> Column:

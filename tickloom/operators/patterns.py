@@ -109,7 +109,7 @@ def double_surge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {daily()}, k AS (SELECT symbol, d, close, max(high) {over(15)} AS h15, min(low) {over(15)} AS l15, max(high) {over(30)} AS h30, min(low) {over(30)} AS l30, count(*) {over(30)} AS n FROM bars),
- f AS (SELECT symbol, d, n = 30 AND (h15 / nullif(l15, 0) - 1) * 100 <= 700 AND (h30 / nullif(l30, 0) - 1) * 100 <= 800 AS locked FROM k),
+ f AS (SELECT symbol, d, n = 30 AND (h15 / nullif(l15, 0) - 1) * 100 <= 900 AND (h30 / nullif(l30, 0) - 1) * 100 <= 1000 AS locked FROM k),
  g AS (SELECT *, CASE WHEN locked = coalesce(lag(locked) {over()}, NOT locked) THEN 0 ELSE 1 END AS new FROM f), i AS (SELECT *, sum(new) {UP_TO_NOW} AS island FROM g),
  s AS (SELECT symbol, island, min(d) AS d, max(d) AS last_d, count(*) AS bars FROM i WHERE locked GROUP BY 1, 2) SELECT symbol, d, last_d, bars FROM s""")
 def range_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def range_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The bounds suit bars of unrelated trades, which are wide; narrower ones are a parameter of range_lock_cycles.
     """
-    return range_lock_cycles(daily_bars(spark, sf_dir), 700.0, 800.0)
+    return range_lock_cycles(daily_bars(spark, sf_dir), 900.0, 1000.0)
 
 
 def range_lock_cycles(bars: DataFrame, short: float = 15.0, long: float = 17.0) -> DataFrame:
@@ -125,7 +125,7 @@ def range_lock_cycles(bars: DataFrame, short: float = 15.0, long: float = 17.0)
     within = lambda n, most: (W.ratio(W.highest("high", n), W.lowest("low", n)) - 1) * 100 <= most
     f = bars.select("symbol", "d", W.true((F.count(F.lit(1)).over(W.back(30)) == 30) & within(15, short) & within(30, long)).alias("locked"))
     g = f.withColumn("new", F.when(F.col("locked") == W.ref("locked"), 0).otherwise(1))
-    i = g.withColumn("island", F.sum("new").over(W.SO_FAR)).where("locked")
+    i = g.withColumn("island", F.sum("new").over(W.so_far())).where("locked")
     return i.groupBy("symbol", "island").agg(F.min("d").alias("d"), F.max("d").alias("last_d"), F.count("*").alias("bars")).drop("island")
 
 

@@ -196,7 +196,7 @@ def aggregate_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT floor(score / 5) * 5 AS bucket, count(*) AS n, round(avg(ret), 6) AS avg_ret, round(avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS win_rate FROM f WHERE score IS NOT NULL AND ret IS NOT NULL GROUP BY 1 HAVING count(*) >= 50""")
 def aggregate_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets of five points of a score with mean result and win rate, from 50 rows on."""
-    f = daily_bars(spark, sf_dir).select(W.change("close", 5).alias("score"), ((W.ratio(F.lead("close", 5).over(W.BY_TIME), "close") - 1) * 100).alias("ret")).where("score is not null and ret is not null")
+    f = daily_bars(spark, sf_dir).select(W.change("close", 5).alias("score"), ((W.ratio(F.lead("close", 5).over(W.by_time()), "close") - 1) * 100).alias("ret")).where("score is not null and ret is not null")
     g = f.groupBy((F.floor(F.col("score") / 5) * 5).cast("double").alias("bucket"))
     return g.agg(F.count("*").alias("n"), r("avg_ret", F.avg("ret")), r("win_rate", F.avg((F.col("ret") > 0).cast("double")))).where("n >= 50")
 
@@ -227,7 +227,7 @@ def window_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_across(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks within a day's cross-section, ties by symbol."""
     x = daily_bars(spark, sf_dir).select("symbol", "d", W.change("close").alias("chg")).where("chg is not null")
-    return x.select("symbol", "d", F.row_number().over(W.ACROSS.orderBy(F.desc("chg"), "symbol")).cast("long").alias("place"), r("share", F.percent_rank().over(W.ACROSS.orderBy("chg"))))
+    return x.select("symbol", "d", F.row_number().over(W.across().orderBy(F.desc("chg"), "symbol")).cast("long").alias("place"), r("share", F.percent_rank().over(W.across().orderBy("chg"))))
 
 
 @query("""SELECT o_orderkey, o_orderpriority, round(o_totalprice, 2) AS price FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey LIMIT 100""")

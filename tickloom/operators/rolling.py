@@ -112,7 +112,7 @@ def atr_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
  o AS (SELECT symbol, d, sum(v) {UP_TO_NOW} AS obv FROM s) SELECT symbol, d, round(obv, 4) AS obv, round(avg(obv) {over(20)}, 4) AS obv20 FROM o""")
 def on_balance_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = daily_bars(spark, sf_dir).select("symbol", "d", (F.coalesce(F.signum(F.col("close") - W.ref("close")), F.lit(0.0)) * F.col("volume")).alias("v"))
-    o = s.select("symbol", "d", F.sum("v").over(W.SO_FAR).alias("obv"))
+    o = s.select("symbol", "d", F.sum("v").over(W.so_far()).alias("obv"))
     return o.select("symbol", "d", r("obv", "obv", 4), r("obv20", W.ma("obv", 20), 4))
 
 
@@ -168,7 +168,7 @@ def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of rising, falling and unchanged closes, by gaps and islands."""
     f = daily_bars(spark, sf_dir).select("symbol", "d", F.when(F.col("close") > W.ref("close"), 1).when(F.col("close") < W.ref("close"), -1).otherwise(0).alias("way"))
     g = f.withColumn("new", F.when(F.col("way") == W.ref("way"), 0).otherwise(1))
-    i = g.withColumn("island", F.sum("new").over(W.SO_FAR))
+    i = g.withColumn("island", F.sum("new").over(W.so_far()))
     w = W.Window.partitionBy("symbol", "island").orderBy("d")
     return i.select("symbol", "d", "way", F.row_number().over(w).cast("long").alias("streak"))
 

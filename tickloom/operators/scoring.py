@@ -58,7 +58,7 @@ def score_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bull = F.col("close") > F.col("open")
     size = F.when(F.col("high") == F.col("low"), 0.01).otherwise(F.col("high") - F.col("low"))
     a = daily_bars(spark, sf_dir).withColumns({"bull": bull.cast("double"), "br": F.abs(F.col("close") - F.col("open")) / size, "rn": W.row()})
-    s = a.select("symbol", "d", "close", "rn", W.ma("bull", 20).alias("bulls"), W.ma("br", 5).alias("body"), W.highest("high", 20).alias("h"), W.lowest("low", 20).alias("l"), F.coalesce(F.last(F.when(F.col("bull") == 0, F.col("rn")), ignorenulls=True).over(W.SO_FAR), F.lit(0)).alias("last_bear"))
+    s = a.select("symbol", "d", "close", "rn", W.ma("bull", 20).alias("bulls"), W.ma("br", 5).alias("body"), W.highest("high", 20).alias("h"), W.lowest("low", 20).alias("l"), F.coalesce(F.last(F.when(F.col("bull") == 0, F.col("rn")), ignorenulls=True).over(W.so_far()), F.lit(0)).alias("last_bear"))
     body, close = F.col("body"), F.col("close")
     points = W.ladder(F.col("bulls"), BULL_STEPS, BULL_REST) + F.when(body > 0.7, 2.5).when(body > 0.5, 2.0).when(body > 0.3, 1.0).when(body > 0.15, -1.5).otherwise(-3.0)
     points = points + F.when(close >= F.col("h") * 0.98, 2.5).when(close >= F.col("h") * 0.93, 1.5).when(close >= F.col("h") * 0.85, 0.5).when(close <= F.col("l") * 1.05, -3.5).otherwise(0.0)
@@ -120,7 +120,7 @@ def label_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     calendar = Window.orderBy("d")  # one row a day
     m = b.groupBy("d").agg(F.avg("close").alias("market"))
     e = m.select("d", ((W.ratio(F.lead("market", 5).over(calendar), F.lead("market", 1).over(calendar)) - 1) * 100).alias("bench")).where("bench is not null")
-    y = b.select("symbol", "d", ((W.ratio(F.lead("close", 5).over(W.BY_TIME), "close") - 1) * 100).alias("own")).where("own is not null").join(e, "d")
+    y = b.select("symbol", "d", ((W.ratio(F.lead("close", 5).over(W.by_time()), "close") - 1) * 100).alias("own")).where("own is not null").join(e, "d")
     x = F.col("own") - F.col("bench")
     outcome = F.when(x >= 5, "great").when(x >= 0, "good").when(x >= -2, "flat").when(x >= -5, "weak").otherwise("bad")
     return y.select("symbol", "d", r("excess", x), outcome.alias("outcome"))
@@ -133,7 +133,7 @@ def label_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_signal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New 20-bar highs with the pushes of the 30 days before, results after 1 and 5 bars, best and worst of five, price zone."""
     s = daily_bars(spark, sf_dir).select(
-        "symbol", "d", "close", W.true(F.col("close") > F.max("close").over(W.ahead(-20, -1))).alias("fired"), F.lead("close").over(W.BY_TIME).alias("c1"), F.lead("close", 5).over(W.BY_TIME).alias("c5"),
+        "symbol", "d", "close", W.true(F.col("close") > F.max("close").over(W.ahead(-20, -1))).alias("fired"), F.lead("close").over(W.by_time()).alias("c1"), F.lead("close", 5).over(W.by_time()).alias("c5"),
         F.max("high").over(W.ahead(1, 5)).alias("top"), F.min("low").over(W.ahead(1, 5)).alias("bottom"), W.highest("high", 20).alias("zone_high"), W.lowest("low", 20).alias("zone_low"),
     ).where("fired")
     days = Window.partitionBy("symbol").orderBy(F.datediff("d", F.lit("1970-01-01"))).rangeBetween(-30, -1)
@@ -148,7 +148,7 @@ def label_signal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT symbol, bucket, n, round(win, 6) AS win_rate, round(greatest(least((n * win + 10 * 0.5::DOUBLE) / (n + 10), 0.78::DOUBLE), 0.05::DOUBLE), 6) AS calibrated, bool_and(coalesce(win >= before, true)) OVER (PARTITION BY symbol) AS monotone FROM l""")
 def calibrate_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Win rates of score buckets by group, shrunk to one half and clamped, and whether they rise throughout."""
-    f = daily_bars(spark, sf_dir).select("symbol", (F.floor((W.ratio("close", W.ref("close", 5)) - 1) * 20) * 5).cast("double").alias("bucket"), ((W.ratio(F.lead("close", 5).over(W.BY_TIME), "close") - 1) * 100).alias("ret"))
+    f = daily_bars(spark, sf_dir).select("symbol", (F.floor((W.ratio("close", W.ref("close", 5)) - 1) * 20) * 5).cast("double").alias("bucket"), ((W.ratio(F.lead("close", 5).over(W.by_time()), "close") - 1) * 100).alias("ret"))
     b = f.where("bucket is not null and ret is not null").groupBy("symbol", "bucket").agg(F.count("*").alias("n"), F.avg((F.col("ret") > 0).cast("double")).alias("win")).where("n >= 10")
     w = Window.partitionBy("symbol")
     rises = F.coalesce(F.col("win") >= F.lag("win").over(w.orderBy("bucket")), F.lit(True))

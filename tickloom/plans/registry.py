@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.operators import patterns, relational, rolling, scoring
+from tickloom.operators import learning, market, patterns, relational, rolling, scoring, text
+from tickloom.streaming import bars as streaming
 
-_MODULES = (rolling, relational, patterns, scoring)
-QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+_MODULES = (scoring, rolling, relational, patterns, market, text, learning, streaming)
+QUERIES = {"latest_scan": scoring.latest_scan} | {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
