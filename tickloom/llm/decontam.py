@@ -54,12 +54,11 @@ class Items:
             order = np.argsort(signature, axis=0, kind="stable")
             self.classes[size] = (np.take_along_axis(signature, order, 0), np.array(members)[order])
 
-    def candidates(self, s: np.ndarray) -> set[int]:
-        """Items whose signature agrees with that of a window of the shingle sequence in some position."""
-        found: set[int] = set()
-        if not len(s):
-            return found
-        for k in range(HASHES):
+    def candidates(self, s: np.ndarray) -> np.ndarray:
+        """Rows (first shingle, end, item) of the windows of a shingle sequence whose signature agrees with that of
+        an item in some position."""
+        found = [np.zeros((0, 3), np.int64)]
+        for k in range(HASHES if len(s) else 0):
             h = _hashed(s, k)
             for size, (signature, members) in self.classes.items():
                 block = size // 2
@@ -67,11 +66,43 @@ class Items:
                 if len(low) > 1:
                     low = np.minimum(low, np.append(low[1:], low[-1]))
                     low = np.minimum(low, np.append(low[1:], low[-1]))
-                column = signature[:, k]
+                column = np.ascontiguousarray(signature[:, k])
                 lo, hi = np.searchsorted(column, low), np.searchsorted(column, low, "right")
-                for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                    found.update(members[a:b, k].tolist())
-        return found
+                hit = np.flatnonzero(hi > lo)
+                if len(hit):
+                    n = hi[hit] - lo[hit]
+                    window = np.repeat(hit, n)
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)
+                    first = window * block
+                    found.append(np.stack((first, np.minimum(first + 3 * block, len(s)), members[at, k]), axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def pairs(self, sequences: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Candidates (number of the sequence, item) of several sequences, searched as one; a window that spans
+        neighbours makes a candidate of each."""
+        ends = np.cumsum([len(s) for s in sequences])
+        rows = self.candidates(np.concatenate(sequences))
+        first, last = np.searchsorted(ends, rows[:, 0], "right"), np.searchsorted(ends, rows[:, 1] - 1, "right")
+        return sorted({(d, m) for a, b, m in zip(first.tolist(), last.tolist(), rows[:, 2].tolist()) for d in range(a, b + 1)})
+
+
+#: Shingles of documents that are searched together.
+TOGETHER = 200_000
+
+
+def _together(batch):
+    """(rows, shingle sequences) of a record batch's texts that have any, a bounded number of shingles at a time."""
+    rows, sequences, size = [], [], 0
+    for i, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True):
+        if len(h) >= SHINGLE:
+            rows.append(i)
+            sequences.append(shingles(h))
+            size += len(sequences[-1])
+            if size >= TOGETHER:
+                yield rows, sequences
+                rows, sequences, size = [], [], 0
+    if rows:
+        yield rows, sequences
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -93,18 +124,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILARIT
             for batch in batches:
                 out: dict[str, list] = {f: [] for f in schema.names}
                 doc_ids = batch.column("doc_id").to_pylist()
-                for i, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True):
-                    s = shingles(h) if len(h) >= SHINGLE else h[:0]
-                    found = block.candidates(s)
-                    if not found:
-                        continue
-                    own = np.unique(s)
-                    for m in sorted(found):
+                for rows, sequences in _together(batch):
+                    own: dict[int, np.ndarray] = {}
+                    for d, m in block.pairs(sequences):
+                        if d not in own:
+                            own = {d: np.unique(sequences[d])}
                         item = block.sets[m]
-                        at = np.minimum(np.searchsorted(own, item), len(own) - 1)
-                        shared = int((own[at] == item).sum())
+                        at = np.minimum(np.searchsorted(own[d], item), len(own[d]) - 1)
+                        shared = int((own[d][at] == item).sum())
                         if 100 * shared >= percent * len(item):
-                            for name, value in zip(schema.names, (doc_ids[i], block.ids[m], len(item), shared, shared / len(item))):
+                            for name, value in zip(schema.names, (doc_ids[rows[d]], block.ids[m], len(item), shared, shared / len(item))):
                                 out[name].append(value)
                 yield records(schema, out)
 
