@@ -155,6 +155,40 @@ def test_passages(spark):
     assert all(cut[i] == rows[i][1] for i in range(20))
 
 
+def _ordered(texts, first):
+    """Whether the text of number first has the smallest content hash."""
+    from tickloom.llm.common import content_hash, each_text
+
+    order = [content_hash(h) for *_, h in each_text(texts, lower=True)]
+    return min(order) == order[first]
+
+
+def test_passages_beyond_the_leaders(spark):
+    # a line of 40 words in many unrelated texts, some of which lead its keys; two texts share more around it
+    line, tail = prose(20, 40), prose(21, 12)
+    rows = [(i, f"{prose(1000 + i, 60)} {line} {prose(2000 + i, 60)}") for i in range(60)]
+    rows += [(100 + i, f"{prose(3000 + i, 60)} {line} {tail} {prose(4000 + i, 60)}") for i in range(12)]
+    rows += [(200, f"{prose(5000, 60)} {prose(22, 12)} {line} {prose(5001, 60)}"), (201, f"{prose(5002, 60)} {prose(22, 12)} {line} {prose(5003, 60)}")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in got} & set(range(100, 112))) == 11 and len({r.doc_id for r in got} & {200, 201}) == 1
+    assert all(r.end_word - r.start_word >= 50 for r in got) and not {r.doc_id for r in got} & set(range(60))
+
+
+def test_passages_behind_an_earlier_occurrence(spark):
+    # the leader has the shared line twice, and only the second time what follows it
+    rows, seed = [], 0
+    for i in range(12):
+        line, tail = prose(30 + i, 45), prose(50 + i, 5)
+        while True:
+            texts = [f"{prose(seed, 60)} {line} {prose(seed + 1, 60)} {line} {tail} {prose(seed + 2, 60)}", f"{prose(seed + 3, 60)} {line} {tail} {prose(seed + 4, 60)}"]
+            seed += 10
+            if _ordered(texts, 0):
+                break
+        rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.start_word <= 60 and r.end_word >= 110} == set(range(1, 24, 2))
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 1 << 40, 60).astype(np.uint64)

@@ -3,8 +3,8 @@
 A document is its sequence of five-word shingles. Under one hash function, the node of a Cartesian tree over the
 shingles' hashes stands for all subsequences whose minimum is at its place; those of PASSAGE words or more form a
 compact window (left, place, right), of which there are about 2 n / PASSAGE. Windows of two documents with the same
-minimum hold subsequences that agree in that hash function. Windows are joined by minimum; document pairs whose
-windows overlap under enough hash functions are candidates, and the shared passage is verified on the shingles.
+minimum hold subsequences that agree in that hash function. Windows are joined by minimum; pairs whose surroundings
+of the minimum are alike are candidates, and the shared passage is verified on the shingles.
 """
 
 from __future__ import annotations
@@ -21,10 +21,16 @@ from tickloom.llm.common import (
 
 #: Words of the shortest passage.
 PASSAGE = 50
-#: Hash functions. Two of them must agree: passages of similarity 0.8 fail with a chance of 0.03, exact copies never.
+#: Hash functions. One of them must agree: passages of similarity 0.8 fail with a chance of 0.002, exact copies never.
 HASHES = 4
-#: How often a new leader is taken for keys that have windows without a passage.
+#: How often a new leader is taken for keys that have windows without a passage, before all of these are compared.
 ROUNDS = 3
+#: Windows of a key in a block, of those that are compared with all windows of the key.
+BLOCK = 2000
+#: The shingles of a window within REACH of its minimum are sketched by a bit each, in SKETCH longs. A passage of 46
+#: or more shingles around the minimum has as many of them in both texts; sketches of fewer common bits (for a
+#: similarity of 80 percent) are no candidates.
+REACH, SKETCH, COMMON_BITS = PASSAGE - SHINGLE, 8, 30
 MAP_BITS = 25
 
 _A = np.random.default_rng(4711).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -78,10 +84,36 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, node long, n_words long")
 
 
+_SKETCHES = [f"s{i}" for i in range(SKETCH)]
+_PLACES = np.random.default_rng(815).integers(1 << 62, 1 << 63, 2 * REACH + 1, dtype=np.uint64) | np.uint64(1)
+
+
+def surroundings(s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches of windows (rows l, c, r) of shingles s, how many of the shingles in them are repetitions (each may
+    cost a common bit), and hashes of what stands around their minima."""
+    sketches, repeats, hashes = [np.zeros((0, SKETCH), np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    for at in range(0, len(w), 4096):
+        l, c, r = (w[at : at + 4096, i].astype(np.int64) for i in range(3))
+        lo, hi = np.maximum(l, c - REACH), np.minimum(r, c + REACH)
+        x = s[np.clip(c[:, None] + np.arange(-REACH, REACH + 1), lo[:, None], hi[:, None])]
+        bits = np.zeros((len(x), 64 * SKETCH), bool)
+        bits[np.arange(len(x))[:, None], (x >> np.uint64(20)) % np.uint64(64 * SKETCH)] = True
+        ordered = np.sort(x, axis=1)
+        repeats.append((hi - lo - (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1)).astype(np.int32))
+        sketches.append(np.packbits(bits, axis=1).view(np.int64))
+        hashes.append((x * _PLACES).sum(axis=1, dtype=np.uint64) ^ ((c - lo) * 128 + hi - c).astype(np.uint64))
+    return np.concatenate(sketches), np.concatenate(repeats), np.concatenate(hashes)
+
+
 def _windows(docs: DataFrame, bitmap: bytes | None = None) -> DataFrame:
-    """key (minimum, and the hash function in the last two bits), node, l, c, r of all compact windows; with a bitmap what may be in it."""
-    names = ["key", "node", "l", "c", "r"]
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32())])
+    """key (minimum, and the hash function in the last two bits) and node of all compact windows.
+
+    With a bitmap, of what may be in it, and with l, c, r, repeats, sketch, and own: whether the window is the first in its
+    text of those with this key and the same shingles around the minimum.
+    """
+    names = ["key", "node"] + (["l", "c", "r", "own", "repeats", *_SKETCHES] if bitmap is not None else [])
+    types = {"l": pa.int32(), "c": pa.int32(), "r": pa.int32(), "own": pa.bool_(), "repeats": pa.int32()}
+    schema = pa.schema([(n, types.get(n, pa.int64())) for n in names])
 
     def run(batches):
         for batch in batches:
@@ -91,6 +123,7 @@ def _windows(docs: DataFrame, bitmap: bytes | None = None) -> DataFrame:
                     continue
                 seen.add(node)
                 s = shingles(h)
+                keys, found = [], []
                 for k in range(HASHES):
                     v = hashed(s, k)
                     w = np.array(compact_windows(v, PASSAGE - SHINGLE + 1), np.int32).reshape(-1, 3)
@@ -98,15 +131,25 @@ def _windows(docs: DataFrame, bitmap: bytes | None = None) -> DataFrame:
                     if bitmap is not None:
                         hit = in_map(key, bitmap, MAP_BITS)
                         w, key = w[hit], key[hit]
-                    parts.append((key, np.full(len(w), node, np.int64), w[:, 0], w[:, 1], w[:, 2]))
-                    size += len(w)
+                    keys.append(key)
+                    found.append(w)
+                key, w = np.concatenate(keys), np.concatenate(found)
+                row = [key, np.full(len(w), node, np.int64)]
+                if bitmap is not None:
+                    sketch, repeats, around = surroundings(s, w)
+                    own = np.zeros(len(w), bool)
+                    own[np.unique(np.stack((key.view(np.uint64), around), axis=1), axis=0, return_index=True)[1]] = True
+                    row += [w[:, 0], w[:, 1], w[:, 2], own, repeats, *np.ascontiguousarray(sketch.T)]
+                parts.append(row)
+                size += len(w)
                 if size > 200_000:
                     yield records(schema, dict(zip(names, map(np.concatenate, zip(*parts)))))
                     parts, size = [], 0
             if parts:
                 yield records(schema, dict(zip(names, map(np.concatenate, zip(*parts)))))
 
-    return docs.mapInArrow(run, "key long, node long, l int, c int, r int")
+    kinds = {"l": "int", "c": "int", "r": "int", "own": "boolean", "repeats": "int"}
+    return docs.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'long')}" for n in names))
 
 
 def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -163,18 +206,24 @@ def verified(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int, int, int,
     return found
 
 
-def _compared(windows: DataFrame, leaders: DataFrame, d: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+_OTHER = {"node": "other", "l": "bl", "c": "bc", "r": "br", "own": "b_own", "repeats": "b_repeats", **{s: f"b_{s}" for s in _SKETCHES}}
+
+
+def _compared(windows: DataFrame, leaders: DataFrame, on: list[str], d: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Passages (node, other; first and end in shingles of both; similarity) of the windows' nodes with the leaders
-    of their keys, as a stored table. The later text by the order of hashes is node."""
-    w = windows.join(leaders, "key").where("node <> other")
+    (windows, named as in _OTHER) of their keys, as a stored table. The later text by the order of hashes is node.
+
+    Every window of the later text is met, and of the earlier text the first of those that are alike around the minimum.
+    """
     later = F.col("node") > F.col("other")
+    common = sum((F.bit_count(F.col(s).bitwiseAND(F.col(f"b_{s}"))) for s in _SKETCHES[1:]), F.bit_count(F.col("s0").bitwiseAND(F.col("b_s0"))))
+    w = windows.join(leaders, on).where((F.col("node") != F.col("other")) & F.when(later, F.col("b_own")).otherwise(F.col("own")) & (common + F.least("repeats", "b_repeats") >= COMMON_BITS * percent // SIMILARITY_PERCENT))
     own, its = F.struct("l", "c", "r"), F.struct(F.col("bl").alias("l"), F.col("bc").alias("c"), F.col("br").alias("r"))
     w = w.select(
         F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"),
-        F.struct(F.when(later, own).otherwise(its).alias("a"), F.when(later, its).otherwise(own).alias("b"), F.expr("CAST(key & 3 AS int)").alias("k")).alias("p"),
+        F.struct(F.when(later, own).otherwise(its).alias("a"), F.when(later, its).otherwise(own).alias("b")).alias("p"),
     )
-    # the windows of one pair of documents: as many as the shorter of them has, at most
-    pairs = stored(w.groupBy("node", "other").agg(F.collect_set("p").alias("w")).where(_agreeing("w")))
+    pairs = stored(w.groupBy("node", "other").agg(F.collect_set("p").alias("w")))
     wanted = stored(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id", "node"))
     s = _sequences(d, wanted)
     both = pairs.join(s.withColumnRenamed("s", "s_a"), "node").join(s.withColumnsRenamed({"node": "other", "s": "s_b"}), "other")
@@ -197,10 +246,10 @@ def _compared(windows: DataFrame, leaders: DataFrame, d: DataFrame, nodes: DataF
 
 
 def _uncovered(windows: DataFrame, spans: DataFrame, past: DataFrame) -> DataFrame:
-    """(key, node) of the windows whose minimum is in no passage found, without those that led their key already."""
-    sides = spans.select("node", "first", "end").union(spans.select("other", "other_first", "other_end"))
-    inside = windows.join(sides, "node").where("c >= first AND c < end").select("key", "node")
-    return windows.select("key", "node").join(inside.union(past).distinct(), ["key", "node"], "left_anti")
+    """The windows whose minimum is in no passage that is reported in their text, without those of texts that led
+    their key already and so have met all its windows."""
+    inside = windows.join(spans.select("node", "first", "end"), "node").where("c >= first AND c < end").select("key", "node", "l", "c", "r").distinct()
+    return windows.join(inside, ["key", "node", "l", "c", "r"], "left_anti").join(past, ["key", "node"], "left_anti")
 
 
 def repeated_passages(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -213,9 +262,9 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> Dat
     texts: no rows. Repeated rows count as copies. Null doc_id: stands for its copies. Other columns are dropped;
     empty table: no rows.
 
-    No pairs within a group are listed: keys that only one text has are dropped, then each window is compared with
-    the smallest text of its key, found by a grouped minimum. Where windows of a key are left without a passage, the
-    smallest text among those leads the key in the next of ROUNDS rounds.
+    Keys that only one text has are dropped, then each window is compared with those of the smallest text of its key,
+    found by a grouped minimum. Where windows of a key are left without a passage, the smallest text among those leads
+    the key in the next of ROUNDS rounds. What is left then is compared with all windows of its key, in blocks.
     """
     d = documents_of(docs)
     rows = stored(_nodes(d))
@@ -224,21 +273,23 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> Dat
     shared = stored(shared.where("_first <> _last").select("key"))
     bitmap = key_map(shared, "key", MAP_BITS)
     windows = stored(_windows(d, bitmap).join(shared, "key").dropDuplicates(["key", "node", "l", "c", "r"]))
-    led, spans, past = windows.select("key", "node"), None, None
+    led, spans, past = windows, None, None
     for turn in range(ROUNDS):
-        first = stored(led.groupBy("key").agg(F.min("node").alias("other"), F.count("*").alias("n")))
+        first = stored(led.groupBy("key").agg(F.min("node").alias("node")))
         if turn and first.isEmpty():
             break
-        leaders = windows.join(first, (windows.key == first.key) & (windows.node == first.other)).groupBy(windows.key, "other").agg(F.min(F.struct("l", "c", "r")).alias("x"))
-        leaders = stored(leaders.select("key", "other", F.col("x.l").alias("bl"), F.col("x.c").alias("bc"), F.col("x.r").alias("br")))
-        found = _compared(windows, leaders, d, nodes, percent)
+        leaders = stored(windows.join(first, ["key", "node"]).withColumnsRenamed(_OTHER))
+        found = _compared(windows, leaders, ["key"], d, nodes, percent)
         spans = found if spans is None else spans.union(found)
-        own = leaders.select("key", F.col("other").alias("node"))
-        past = own if past is None else past.union(own)
-        if turn < ROUNDS - 1:
-            # keys of two texts are compared completely by now
-            windows = stored(windows.join(windows.groupBy("key").agg(F.count_distinct("node").alias("_n")).where(F.col("_n") > 2 + turn).select("key"), "key"))
-            led = _uncovered(windows, spans, past)
+        past = first if past is None else past.union(first)
+        # keys of which all pairs of texts have a leader are compared completely by now
+        windows = stored(windows.join(windows.groupBy("key").agg(F.count_distinct("node").alias("_n")).where(F.col("_n") > 2 + turn).select("key"), "key"))
+        led = stored(_uncovered(windows, spans, past))
+    else:
+        sizes = led.groupBy("key").agg(F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS int)").alias("_blocks"))
+        left = led.join(sizes, "key").withColumn("_block", F.expr("CAST(pmod(xxhash64(node, c, l), _blocks) AS int)")).drop("_blocks")
+        every = windows.join(sizes, "key").withColumn("_block", F.explode(F.expr("sequence(0, _blocks - 1)"))).drop("_blocks")
+        spans = spans.union(_compared(left, every.withColumnsRenamed(_OTHER), ["key", "_block"], d, nodes, percent))
     spans = spans.select("node", "other", "first", (F.col("end") + SHINGLE - 1).alias("end"), "similarity").distinct()
     names = nodes.select("node", "doc_id")
     spans = spans.join(names, "node").join(names.withColumnsRenamed({"node": "other", "doc_id": "dup_of"}), "other")
@@ -248,13 +299,6 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> Dat
     return spans.unionByName(copies.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), "dup_of", F.lit(1.0).alias("similarity")))
 
 
-def _agreeing(w: str):
-    """Whether window pairs of two hash functions overlap in both documents."""
-    return F.exists(w, lambda x: F.exists(w, lambda y: (
-        (x.k != y.k) & (x.a.l <= y.a.r) & (y.a.l <= x.a.r) & (x.b.l <= y.b.r) & (y.b.l <= x.b.r)
-    )))
-
-
 def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the words of the spans (doc_id, start_word, end_word) cut out of text, and n_chars set accordingly
     where there is such a column; documents of which no word is left go. Other documents stay as they are."""
