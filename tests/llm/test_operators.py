@@ -189,6 +189,17 @@ def test_passages_behind_an_earlier_occurrence(spark):
     assert {r.doc_id for r in got if r.start_word <= 60 and r.end_word >= 110} == set(range(1, 24, 2))
 
 
+def test_passages_agree_in_one_hash_function(spark):
+    # every text shares 60 words with one other alone, most of them in a line that all have
+    rows = []
+    for i in range(40):
+        line = prose(40, 44)
+        part = f"{prose(600 + i // 2, 8)} {line} {prose(700 + i // 2, 8)}"
+        rows.append((i, f"{prose(800 + i, 60)} {part} {prose(900 + i, 60)}"))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(min(r.doc_id, r.dup_of), max(r.doc_id, r.dup_of)) for r in got} == {(i, i + 1) for i in range(0, 40, 2)}
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 1 << 40, 60).astype(np.uint64)
