@@ -200,6 +200,15 @@ def test_passages_agree_in_one_hash_function(spark):
     assert {(min(r.doc_id, r.dup_of), max(r.doc_id, r.dup_of)) for r in got} == {(i, i + 1) for i in range(0, 40, 2)}
 
 
+def test_added_tokens_are_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+    from tickloom.llm.tokens import Encoder
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n y", "<|endoftext", "plain  text", "é <|endoftext|>é"]
+    assert Encoder(tokenizer_path()).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 1 << 40, 60).astype(np.uint64)

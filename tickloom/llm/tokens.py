@@ -60,10 +60,10 @@ class _Words(dict):
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids, as bytes, of each text (null: empty); special tokens are ordinary text.
+    """Little-endian unsigned 32-bit ids, as bytes, of each text (null: empty), as the library's encode() gives them without adding any.
 
-    The tokenizer must split into pieces by a byte-level pre-tokenizer and have neither a normalizer nor added words
-    other than special tokens.
+    The tokenizer must split into pieces by a byte-level pre-tokenizer and have no normalizer. Texts that hold one of
+    its added tokens, such as <|endoftext|>, are encoded by the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -73,6 +73,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.normalizer is not None:
             raise ValueError("texts would be normalized: the ids of a text aren't those of its parts")
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
         self.pieces = _Pieces(self.tokenizer)
         self.words = _Words(self.tokenizer, self.pieces)
 
@@ -83,6 +85,10 @@ class Encoder:
             if not text:
                 out.append(b"")
                 continue
+            if self.added.search(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+                continue
             first, *rest = _SAFE_SPLIT.split(text) if _SPACE_AFTER_SPACE.search(text) else text.split(" ")
             out.append(b"".join([*(pieces[p] for p in pieces_of(self.tokenizer, first)), *map(word, rest)]))
         return out
