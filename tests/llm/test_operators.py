@@ -209,6 +209,13 @@ def test_added_tokens_are_encoded_as_by_the_library():
     assert Encoder(tokenizer_path()).encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_short_items_are_found(spark):
+    items = [(i, prose(9000 + i, 5 + i % 8)) for i in range(400)]
+    rows = [(i, f"{prose(10_000 + i, 40)} {x} {prose(20_000 + i, 40)}") for i, x in items]
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(400)]
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 1 << 40, 60).astype(np.uint64)

@@ -20,7 +20,7 @@ from tickloom.llm.common import SHINGLE, SIMILARITY_PERCENT, documents_of, each_
 #: of its shingles with about (3/4)**32.
 HASHES = 32
 #: Size classes double, from items of up to this many shingles on.
-SMALLEST_CLASS = 16
+SMALLEST_CLASS = 1
 #: The largest benchmark that is sent to the executors whole, in characters; larger ones are searched in blocks.
 BLOCK_CHARACTERS = 20_000_000
 
@@ -61,7 +61,7 @@ class Items:
         for k in range(HASHES if len(s) else 0):
             h = _hashed(s, k)
             for size, (signature, members) in self.classes.items():
-                block = size // 2
+                block = max(size // 2, 1)
                 low = np.minimum.reduceat(h, np.arange(0, len(h), block))
                 if len(low) > 1:
                     low = np.minimum(low, np.append(low[1:], low[-1]))
