@@ -216,6 +216,17 @@ def test_short_items_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(400)]
 
 
+def test_more_than_64_languages(spark):
+    def written(lang, seed):
+        rng = random.Random(seed)
+        return " ".join("".join(chr(0x4E00 + 40 * lang + rng.randrange(8)) for _ in range(5)) for _ in range(40))
+
+    rows = [(2 * i + k, f"l{i:02d}", written(i, 2 * i + k)) for i in range(70) for k in range(2)]
+    pages = [(i, f"https://h{i}.example.com", f"<p>{written(i, 1000 + i)}</p>") for i in range(70)]
+    got = language_id(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert {r.page_id: r.lang for r in got.collect()} == {i: f"l{i:02d}" for i in range(70)}
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 1 << 40, 60).astype(np.uint64)

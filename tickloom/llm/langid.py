@@ -11,7 +11,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import records, stored
@@ -19,8 +20,6 @@ from tickloom.llm.common import records, stored
 ORDER, BUCKET_BITS = 3, 15
 #: Documents that the n-gram model is fitted on for each language, at most (in order of a hash of doc_id).
 MAX_FIT_DOCS = 1_000
-#: Languages of the model, at most: those with the most documents.
-MAX_LANGUAGES = 64
 #: Weight of a page's own text: its log-likelihood counts as that of at most so many n-grams, as neighbouring ones
 #: aren't independent.
 EVIDENCE_NGRAMS = 30.0
@@ -55,11 +54,9 @@ def fit(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> tuple[list[str], n
     """Languages, and log-probabilities of the n-gram buckets in each, from a bounded sample of labelled documents."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string").alias("text"))
     d = d.where("lang is not null and text is not null")
-    langs = sorted(r.lang for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    langs = sorted(r.lang for r in d.select("lang").distinct().collect())
     if not langs:
-        return ["und"], np.zeros((1, 1 << BUCKET_BITS))
-    counts = np.zeros((len(langs), 1 << BUCKET_BITS))
-    number = {x: i for i, x in enumerate(langs)}
+        return ["und"], np.zeros((1, 1 << BUCKET_BITS), np.float32)
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
@@ -72,15 +69,15 @@ def fit(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> tuple[list[str], n
             at = np.flatnonzero(c)
             yield records(schema, {"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": c[at]})
 
-    sample = None
-    for lang in langs:
-        part = d.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_docs)
-        sample = part if sample is None else sample.union(part)
+    # the limit on ranks is applied within each task before the shuffle
+    ranked = d.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    sample = ranked.where(F.col("_rank") <= max_fit_docs).drop("_rank")
     t = sample.repartition(8, F.xxhash64("doc_id")).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    for lang, bucket, n in zip(t["lang"].to_pylist(), t["bucket"].to_pylist(), t["n"].to_pylist()):
-        counts[number[lang], bucket] = n
-    counts += 0.1
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True))
+    counts = np.full((len(langs), 1 << BUCKET_BITS), 0.1, np.float32)
+    counts[pc.index_in(t["lang"], pa.array(langs)).to_numpy(), t["bucket"].to_numpy()] += t["n"].to_numpy()
+    for row in counts:
+        row[:] = np.log(row / row.sum(dtype=np.float64))
+    return langs, counts
 
 
 def evidence(pages: DataFrame, langs: list[str], log_probability: np.ndarray) -> DataFrame:
@@ -97,7 +94,10 @@ def evidence(pages: DataFrame, langs: list[str], log_probability: np.ndarray) ->
                 labels = host.split(".")
                 declared = _MARKUP.search(html or "")
                 grams = ngrams(visible(html))
-                total = log_probability[:, grams].sum(axis=1) if len(grams) else np.zeros(len(langs))
+                if len(grams) <= 1 << BUCKET_BITS:
+                    total = log_probability[:, grams].sum(axis=1, dtype=np.float64)
+                else:
+                    total = log_probability @ np.bincount(grams, minlength=1 << BUCKET_BITS).astype(np.float64)
                 total = (total - total.mean()) * min(1.0, EVIDENCE_NGRAMS / max(len(grams), 1))
                 row = (page_id, host, ".".join(labels[-2:]), declared[1].lower() if declared else "", labels[-1] if len(labels) > 1 else "", total.tolist(), int(total.argmax()) if len(grams) else None)
                 for name, value in zip(schema.names, row):
@@ -121,31 +121,31 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
     rows = stored(evidence(pages, langs, log_probability))
     known = rows.where("own is not null")
     size = len(langs)
-    vector = lambda key: known.groupBy(key).agg(*[F.sum((F.col("own") == i).cast("double")).alias(f"{key}_{i}") for i in range(size)])
-    total = known.agg(*[F.coalesce(F.sum((F.col("own") == i).cast("double")), F.lit(0.0)).alias(f"all_{i}") for i in range(size)])
-    host_key = known.groupBy("host", "domain").agg(*[F.sum((F.col("own") == i).cast("double")).alias(f"host_{i}") for i in range(size)])
-    alls = sum((F.col(f"all_{i}") for i in range(1, size)), F.col("all_0"))
-    top = lambda i: (F.col(f"all_{i}") + 1.0) / (alls + float(size))
-    n_domain = sum((F.coalesce(F.col(f"domain_{i}"), F.lit(0.0)) for i in range(1, size)), F.coalesce(F.col("domain_0"), F.lit(0.0)))
-    middle = lambda i: (F.coalesce(F.col(f"domain_{i}"), F.lit(0.0)) + DOMAIN_PRIOR * top(i)) / (n_domain + DOMAIN_PRIOR)
-    n_host = sum((F.col(f"host_{i}") for i in range(1, size)), F.col("host_0"))
-    prior = lambda i: (F.col(f"host_{i}") + HOST_PRIOR * middle(i)) / (n_host + HOST_PRIOR)
-    one = F.broadcast(total)  # a single row
-    hosts = host_key.join(vector("domain"), "domain").crossJoin(one)
-    hosts = hosts.select("host", F.array(*[F.log(prior(i)) for i in range(size)]).alias("prior_log"))
+    # counts by language are maps, turned into arrays of size numbers
+    one_each = lambda f: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), f)
+    count_in = lambda m, i: F.coalesce(F.try_element_at(F.col(m), i), F.lit(0.0))
+
+    def counted(name: str, *keys: str) -> DataFrame:
+        c = known.groupBy(*keys, "own").agg(F.count("*").cast("double").alias("n"))
+        return c.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("own", "n"))).alias(name), F.coalesce(F.sum("n"), F.lit(0.0)).alias(f"n_{name}"))
+
+    one = F.broadcast(stored(counted("all")))  # a single row
+    top = lambda i: (count_in("all", i) + 1.0) / (F.col("n_all") + float(size))
+    middle = lambda i: (count_in("domains", i) + DOMAIN_PRIOR * top(i)) / (F.col("n_domains") + DOMAIN_PRIOR)
+    prior = lambda i: (count_in("hosts", i) + HOST_PRIOR * middle(i)) / (F.col("n_hosts") + HOST_PRIOR)
+    hosts = counted("hosts", "host", "domain").join(counted("domains", "domain"), "domain").crossJoin(one)
+    hosts = hosts.select("host", one_each(lambda i: F.log(prior(i))).alias("prior_log"))
     # a channel's likelihood is smoothed with the shares of its values among all pages
     def channel(key: str) -> DataFrame:
-        c = vector(key).crossJoin(one)
-        n = sum((F.col(f"{key}_{i}") for i in range(1, size)), F.col(f"{key}_0"))
-        share = n / F.greatest(alls, F.lit(1.0))
-        like = [F.log((F.col(f"{key}_{i}") + CHANNEL_PRIOR * share) / (F.col(f"all_{i}") + CHANNEL_PRIOR)) for i in range(size)]
-        return c.select(key, F.when(F.col(key) == "", F.array(*[F.lit(0.0)] * size)).otherwise(F.array(*like)).alias(f"{key}_log"))
+        c = counted("values", key).crossJoin(one)
+        share = F.col("n_values") / F.greatest("n_all", F.lit(1.0))
+        like = one_each(lambda i: F.log((count_in("values", i) + CHANNEL_PRIOR * share) / (count_in("all", i) + CHANNEL_PRIOR)))
+        return c.select(key, F.when(F.col(key) != "", like).alias(f"{key}_log"))
 
     out = rows.join(hosts, "host", "left").join(channel("declared"), "declared", "left").join(channel("suffix"), "suffix", "left")
-    out = out.crossJoin(F.broadcast(total.select(F.array(*[F.log(top(i)) for i in range(size)]).alias("_top"))))
-    at = lambda c, i: F.coalesce(F.col(c)[i], F.lit(0.0))
-    log = [F.col("text_log")[i] + F.coalesce(F.col("prior_log")[i], F.col("_top")[i]) + at("declared_log", i) + at("suffix_log", i) for i in range(size)]
-    out = out.withColumn("_s", F.array(*log))
+    out = out.crossJoin(one).withColumn("_top", one_each(lambda i: F.log(top(i))))
+    at = lambda c, i: F.coalesce(F.get(F.col(c), i), F.lit(0.0))
+    out = out.withColumn("_s", one_each(lambda i: F.get("text_log", i) + F.coalesce(F.get("prior_log", i), F.get("_top", i)) + at("declared_log", i) + at("suffix_log", i)))
     out = out.withColumn("_m", F.array_max("_s"))
     out = out.withColumn("_k", F.array_position("_s", F.col("_m")).cast("int"))
     names = F.array(*[F.lit(x) for x in langs])
