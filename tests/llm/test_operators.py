@@ -227,6 +227,16 @@ def test_more_than_64_languages(spark):
     assert {r.page_id: r.lang for r in got.collect()} == {i: f"l{i:02d}" for i in range(70)}
 
 
+def test_chat_memory_beyond_the_context():
+    turns = [("user", f"t{i % 100}") for i in range(130)]
+    again = lambda ts: "".join(f"[{r}{'*' * (i >= 100)}]{t}" for i, (r, t) in enumerate(ts))
+    text, found, rewrites = chat.spans(turns, again)
+    assert not rewrites and [text[c:d] for _, _, c, d in found] == [t for _, t in turns]
+    grown = lambda ts: "".join(f"{r}{'#' * i}{t}." for i, (r, t) in enumerate(ts))
+    text, found, rewrites = chat.spans(turns[:30], grown)
+    assert not rewrites and [text[c:d] for _, _, c, d in found] == [t for _, t in turns[:30]]
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 1 << 40, 60).astype(np.uint64)
