@@ -115,3 +115,16 @@ def test_tiers_in_batch_and_stream_agree(spark, tmp_path):
 def test_sessions_on_a_stream(spark, tmp_path):
     s = sessions(event_stream(spark, SF).withWatermark("ts", "1 hour"))
     assert s.isStreaming
+
+
+def test_near_titles_folds_over_distinct_fingerprints(spark, capsys):
+    rows = [("u", i, float(i % 50), [0, 0xFF, 0xFFFF00, 1][i % 4]) for i in range(400)] + [("u", 1000 + i, 1.0, None) for i in range(2)]
+    got = near_titles(spark.createDataFrame(rows, "user string, id long, value double, f long"), ["user"], "value", "f")
+    want, kept = set(), []
+    for _, i, _, f in sorted(rows, key=lambda r: (-r[2], r[1])):
+        if f is None or all((f ^ g).bit_count() >= 8 for g in kept):
+            want.add(i)
+            kept += [f] if f is not None else []
+    assert {r.id for r in got.collect()} == want
+    got.explain()
+    assert "partial_min" in capsys.readouterr().out

@@ -66,9 +66,13 @@ def near_titles(rows: DataFrame, key: list[str], score: str, fingerprint: str, m
     """Rows whose fingerprint differs in most bits or more from all rows of the key with a higher score that were kept.
 
     The greedy pass goes over one key's rows in order of score, as a fold within the key; keys are hours or symbols.
+    Of rows with one fingerprint only the first can be kept (most is 1 at least), so the others go before the fold,
+    in a partial aggregate. Null fingerprints are close to none.
     """
     cols = [c for c in rows.columns if c not in key]
-    g = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(-F.col(score), *cols))).alias("s"))
+    x = rows.select(*key, fingerprint, F.struct(-F.col(score), *cols).alias("x"))
+    best = x.where(F.col(fingerprint).isNotNull()).groupBy(*key, fingerprint).agg(F.min("x").alias("x"))
+    g = best.select(*key, "x").union(x.where(F.col(fingerprint).isNull()).select(*key, "x")).groupBy(*key).agg(F.sort_array(F.collect_list("x")).alias("s"))
     kind = rows.select(F.struct(*cols).alias("x")).schema["x"].dataType.simpleString()
     kept = F.aggregate("s", F.array().cast(f"array<{kind}>"), lambda acc, x: F.when(
         F.exists(acc, lambda y: F.bit_count(y[fingerprint].bitwiseXOR(x[fingerprint])) < most), acc
