@@ -73,11 +73,49 @@ def test_quality_rejects_outliers(spark):
     assert not got[1000] and sum(got.values()) >= 147
 
 
+def test_quality_groups(spark):
+    rows = [(i, prose(i, 120), "en", "s" if i < 60 else "t") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for least, want in ((20, {"en / s": 60, "en / t": 30}), (50, {"en / s": 60, None: 30}), (61, {"en / *": 90}), (91, {None: 90})):
+        got = quality.quality_rules(df, min_group=least).collect()
+        assert {g: sum(r.judged_in == g for r in got) for g in want} == want and all(r.kept for r in got if r.d2 is None)
+
+
+def test_minimum_covariance_determinant(spark):
+    # one group against the same estimate in numpy: two starts, C-steps, reweighting
+    rng = np.random.default_rng(8)
+    x = np.rint(rng.normal(0, 1, (400, 5)) @ np.diag([300, 200, 250, 400, 150]) + 1000).astype(int)
+    x[:60] += 3000
+    floor = np.array(list(quality.STATISTICS.values())) ** 2.0
+
+    def moments(rows, factor):
+        return rows.mean(axis=0), factor * np.cov(rows.T, bias=True) + np.diag(floor)
+
+    def distance(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    md = np.median(x, axis=0)
+    z = np.abs(x - md) / (np.median(np.floor(np.abs(x - md)), axis=0) * 1.4826 + np.sqrt(floor))
+    found = []
+    for far in ((z**2).sum(axis=1), z.max(axis=1)):
+        for _ in range(quality.C_STEPS + 1):
+            q = np.floor(np.log1p(far) * 4096)
+            m, c = moments(x[q <= np.percentile(q, 100 * quality.SUPPORT)], quality.CONSISTENCY)
+            far = distance(m, c)
+        found.append((np.linalg.slogdet(c)[1], m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    m, c = moments(x[distance(m, c) <= quality.REWEIGHT], 1.0)
+    df = spark.createDataFrame([("a", *map(int, r)) for r in x], "g string, " + ", ".join(f"{k} long" for k in quality.STATISTICS))
+    got = quality.minimum_covariance_determinant(df).collect()[0]
+    assert np.allclose([got[f"m_{k}"] for k in quality.STATISTICS], m)
+    lower = np.array([[got[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    assert np.allclose(lower @ lower.T, c) and (distance(m, c)[:60] > quality.CUTOFF).all()
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     rows = best_fit_packing(docs, tokenizer_path(), with_ids=True).collect()
     by_doc, by_bin = {}, {}
     for r in rows:
@@ -157,9 +195,9 @@ def test_passages(spark):
 
 def _ordered(texts, first):
     """Whether the text of number first has the smallest content hash."""
-    from tickloom.llm.common import content_hash, each_text
+    from tickloom.llm.common import each_text, identity
 
-    order = [content_hash(h) for *_, h in each_text(texts, lower=True)]
+    order = [identity(h) for *_, h in each_text(texts, lower=True)]
     return min(order) == order[first]
 
 
@@ -210,7 +248,7 @@ def test_added_tokens_are_encoded_as_by_the_library():
 
 
 def test_short_items_are_found(spark):
-    items = [(i, prose(9000 + i, 5 + i % 8)) for i in range(400)]
+    items = [(i, prose(9000 + i, 2 + i % 11)) for i in range(400)]
     rows = [(i, f"{prose(10_000 + i, 40)} {x} {prose(20_000 + i, 40)}") for i, x in items]
     got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(400)]
@@ -240,7 +278,9 @@ def test_chat_memory_beyond_the_context():
 def test_compact_windows():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 1 << 40, 60).astype(np.uint64)
-    w = passages.compact_windows(v, 8)
+    v[40] = v[45]
+    w = passages.compact_windows(np.concatenate((v, v)), np.array([0, 60]), np.array([60, 120]), 8)
+    assert (w[w[:, 1] >= 60] - 60).tolist() == w[w[:, 1] < 60].tolist() and len(w) < 60
     for lo in range(60):
         for hi in range(lo + 7, 60):
             c = lo + int(v[lo : hi + 1].argmin())
@@ -281,7 +321,6 @@ def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got, at = {r.doc_id: r for r in tokenfile.token_files(docs, tokenizer_path()).collect()}, 0
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
         ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -309,6 +348,19 @@ def test_token_file_access(tmp_path):
     assert list(tokenfile.Reader(io.BytesIO(empty.getvalue()))) == []
 
 
+def test_a_damaged_index_is_noticed(tmp_path):
+    path = tmp_path / "f.zst"
+    w = tokenfile.Writer(path.open("wb"))
+    for i in range(50):
+        w.add(i, np.arange(i, dtype="<u4").tobytes())
+    w.close()
+    raw = bytearray(path.read_bytes())
+    reader = tokenfile.Reader(io.BytesIO(bytes(raw)))
+    raw[int(reader.begins[-2]) + 30] ^= 1
+    with pytest.raises(ValueError, match="index"):
+        tokenfile.Reader(io.BytesIO(bytes(raw)))
+
+
 def brute_components(ids, texts):
     s = sets(texts)
     root = list(range(len(s)))
@@ -341,13 +393,30 @@ def test_jaccard(spark, docs):
     assert got == brute_components([r[0] for r in rows], [r[1] for r in rows])
 
 
-def test_fine_counts_bound_the_overlap():
+def test_counts_bound_the_overlap():
     rng = np.random.default_rng(5)
     for n, m in ((10, 12), (300, 350), (5000, 6000)):
         a, b = (np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
         b = np.unique(np.concatenate((b, a[: n // 2])))
-        bound = jaccard.most_shared(jaccard.fine_counts(a).tobytes(), len(a), jaccard.fine_counts(b).tobytes(), len(b))
-        assert n // 2 <= bound <= min(len(a), len(b))
+        for groups in (jaccard.GROUPS, jaccard.FINE):
+            x, y = jaccard.count_vectors([a, b], groups)
+            assert x.sum(dtype=int) == len(a) and n // 2 <= np.minimum(x, y).sum(dtype=int) <= min(len(a), len(b))
+
+
+def test_jaccard_over_pages(spark, monkeypatch):
+    # one large group, cut into many pages, whose members are linked over chains and fall into several components
+    monkeypatch.setattr(jaccard, "PAGE", 20)
+    rng, rows = random.Random(4), []
+    for f in range(3):
+        w = prose(500 + f, 100).split() + prose(77, 60).split()
+        for i in range(90):
+            w = w.copy() if i % 30 else prose(500 + f, 100).split() + prose(77, 60).split()
+            w[rng.randrange(100)] = f"w{rng.randrange(1000)}"
+            rows.append((1000 * f + i, " ".join(w)))
+    rows += [(9000 + i, f"{prose(77, 60)} {prose(700 + i, 4 + i % 9)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == brute_components([r[0] for r in rows], [r[1] for r in rows])
 
 
 def test_components_of_a_chain(spark):

@@ -49,3 +49,11 @@ def test_stage_edges(spark, k):
     if k == 1:
         assert out.where("doc_id = 1").count() == 1
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_texts_that_share_a_doc_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a), (3, b + " more"), (9, None), (9, ""), (None, a), (None, "c " * 60)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in P.STAGES[1][1](spark, docs, SF).collect())
+    assert kept == sorted([(5, a), (3, b + " more"), (9, ""), (9, ""), (0, "c " * 60)])

@@ -37,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -96,13 +99,18 @@ def words(data: bytes, lower: bool = False, separator: np.ndarray = _SEPARATOR)
     inside[1:-1] = ~separator[b]
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[0::2], edges[1::2]
+    return starts, ends, hashes_of(b, starts, ends)
+
+
+def hashes_of(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes."""
     if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     up, down = _powers_to(len(b))
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * up[: len(b)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
-    return starts, ends, mix(h + (ends - starts).astype(np.uint64) * _MULT)
+    return mix(h + (ends - starts).astype(np.uint64) * _MULT)
 
 
 def each_text(
@@ -132,6 +140,23 @@ def each_text(
         yield from flush()
 
 
+def each_chunk(texts: list, lower: bool = False, least: int = 0) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Texts some at a time: their numbers, the hashes of all their words in turn, and where each text's words begin
+    (and, at last, end). Texts of fewer than `least` words are left out."""
+    pending: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for i, _, _, _, h in each_text(texts, lower):
+        if len(h) < least:
+            continue
+        pending.append((i, h))
+        size += len(h)
+        if size > CHUNK_BYTES // 8:
+            yield [i for i, _ in pending], np.concatenate([h for _, h in pending]), np.cumsum([0, *(len(h) for _, h in pending)])
+            pending, size = [], 0
+    if pending:
+        yield [i for i, _ in pending], np.concatenate([h for _, h in pending]), np.cumsum([0, *(len(h) for _, h in pending)])
+
+
 def shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Hashes of the k-word shingles in text order; a shorter sequence counts as one; no words: none."""
     n = len(h)
@@ -156,6 +181,13 @@ def content_hash(h: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def identity(h: np.ndarray) -> bytes:
+    """A 128-bit hash of a whole array of hashes: at any number of texts, equal identities are equal texts."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(np.ascontiguousarray(h).tobytes())
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -164,13 +196,94 @@ def records(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-#: Bits of the map with which rows are thinned out before a shuffle; 2**MAP_BITS / 8 bytes, whatever the input.
-MAP_BITS = 24
-
-
-def key_map(keys: DataFrame, column: str, bits: int = MAP_BITS) -> bytes:
-    """A bitmap of hashed keys, of fixed size. It only thins out rows before an exact join: at any size of the
-    input it never drops a row that has a partner, and at worst lets all pass."""
+def runs(batches, *keys: str) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys (whole numbers without nulls), one run in memory at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        if held and (k[:, 0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = k[:, -1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def whole_runs(batches, *keys: str, least: int = 4096) -> Iterator[pa.Table]:
+    """Some whole runs of equal keys at a time, of `least` rows together or more but for the last."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys])
+        cuts = [0] * bool(last is not None and (k[:, 0] != last).any()) + (np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist()
+        if cuts and n + cuts[-1] >= least:
+            yield pa.Table.from_batches([*held, batch.slice(0, cuts[-1])])
+            held, n = [batch.slice(cuts[-1])], batch.num_rows - cuts[-1]
+        else:
+            held.append(batch)
+            n += batch.num_rows
+        last = k[:, -1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def frequent_shingles(docs: DataFrame, sample: int = 4096, least: int = 4, most: int = 200_000) -> np.ndarray:
+    """The sorted hashes of shingles that at least this many documents of a hash sample of about `sample` hold, the
+    most frequent ones. They come last in orders of shingles, which keeps groups of unrelated documents small;
+    any order gives the same links."""
+    total = docs.count()
+    at = int(min(1.0, sample / max(total, 1)) * (1 << 30))
+    schema = pa.schema([("token", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for _, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True):
+                yield records(schema, {"token": signed(np.unique(shingles(h, SHINGLE)))})
+
+    few = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < at).select("text")
+    counts = few.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= least)
+    top = counts.orderBy(F.desc("count"), "token").limit(most).select("token").toArrow()
+    return np.sort(top["token"].to_numpy().view(np.uint64))
+
+
+def is_in(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted values."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+#: Rows of a table of two numbers a row that may be broadcast: some 16 MB.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df (a stored table with few, narrow columns), marked for a broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+#: Bits of the map with which rows are thinned out before a shuffle: 32 to 64 a key, between powers of these bounds.
+MAP_BITS, MOST_MAP_BITS = 16, 28
+
+
+def map_bits(n: int) -> int:
+    return min(max(MAP_BITS, (64 * n).bit_length() - 1), MOST_MAP_BITS)
+
+
+def key_map(keys: DataFrame, column: str, bits: int) -> bytes:
+    """A bitmap of hashed keys, of 2**bits / 8 bytes, 32 MB at most. It only thins out rows before an exact join: at
+    any size of the input it never drops a row that has a partner, and at worst lets all pass."""
     at = keys.select(F.pmod(F.col(column), F.lit(1 << bits)).alias("at"))
     rows = at.select(F.expr("shiftright(at, 5) AS w"), F.expr("shiftleft(1L, CAST(at % 32 AS int)) AS b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 5), np.uint32)
@@ -178,8 +291,9 @@ def key_map(keys: DataFrame, column: str, bits: int = MAP_BITS) -> bytes:
     return out.tobytes()
 
 
-def in_map(keys: np.ndarray, bitmap: bytes, bits: int = MAP_BITS) -> np.ndarray:
+def in_map(keys: np.ndarray, bitmap: bytes) -> np.ndarray:
     """Which of the signed 64-bit keys may be among those of key_map()."""
+    bits = (len(bitmap) * 8).bit_length() - 1
     at = keys.view(np.uint64) & np.uint64((1 << bits) - 1)
     found = np.frombuffer(bitmap, np.uint32)[(at >> np.uint64(5)).astype(np.int64)]
     return (found >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0

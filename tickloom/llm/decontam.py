@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import SHINGLE, SIMILARITY_PERCENT, documents_of, each_text, records, shingles
+from tickloom.llm.common import SHINGLE, SIMILARITY_PERCENT, documents_of, each_text, is_in, records, shingles
 
 #: Hash functions of a signature: an exact copy is missed with a chance of about (2/3)**32, a copy with four fifths
 #: of its shingles with about (3/4)**32.
@@ -39,7 +39,10 @@ class Items:
     def __init__(self, ids: list, texts: list):
         self.ids, self.sets = [], []
         classes: dict[int, list[int]] = {}
+        short: dict[int, list[tuple[int, int]]] = {}
         for i, _, _, _, h in each_text(texts, lower=True):
+            if 0 < len(h) < SHINGLE:
+                short.setdefault(len(h), []).append((int(shingles(h, len(h))[0]), i))
             if len(h) >= SHINGLE:
                 s = np.unique(shingles(h))
                 size = SMALLEST_CLASS
@@ -48,6 +51,8 @@ class Items:
                 classes.setdefault(size, []).append(len(self.ids))
                 self.ids.append(ids[i])
                 self.sets.append(s)
+        #: Items of fewer words than a shingle: the sorted hashes of their whole word sequences, by their length.
+        self.short = {n: (np.array([h for h, _ in sorted(x)], np.uint64), [ids[i] for _, i in sorted(x)]) for n, x in short.items()}
         self.classes = {}
         for size, members in classes.items():
             signature = np.array([[_hashed(self.sets[m], k).min() for k in range(HASHES)] for m in members], np.uint64)
@@ -77,6 +82,15 @@ class Items:
                     found.append(np.stack((first, np.minimum(first + 3 * block, len(s)), members[at, k]), axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
+    def whole(self, h: np.ndarray) -> list:
+        """Ids of the short items whose word sequence is among the words h."""
+        found = []
+        for n, (hashes, ids) in self.short.items():
+            if len(h) >= n:
+                own = np.unique(shingles(h, n))
+                found += [ids[i] for i in np.flatnonzero(is_in(hashes, own))]
+        return found
+
     def pairs(self, sequences: list[np.ndarray]) -> list[tuple[int, int]]:
         """Candidates (number of the sequence, item) of several sequences, searched as one; a window that spans
         neighbours makes a candidate of each."""
@@ -109,8 +123,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILARIT
     """doc_id, item_id, n_item_shingles, n_shared, containment of each document and item of which it holds at least
     the given share of distinct five-word shingles (words lower-cased in A-Z).
 
-    Items with fewer than five words or null text have no such shingle and are found nowhere; neither is anything in
-    such documents. Repeated items and documents give a row for each pair of rows. Null ids are carried as they are.
+    An item of one to four words is its whole word sequence, found where a document has these words in a row. Items
+    without words or with null text are found nowhere. Repeated items and documents give a row for each pair of rows. Null ids are carried as they are.
     Other columns are dropped; an empty table on either side gives no rows. The benchmark is a query set: it is read
     in blocks of bounded size, each searched against all documents.
     """
@@ -124,6 +138,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILARIT
             for batch in batches:
                 out: dict[str, list] = {f: [] for f in schema.names}
                 doc_ids = batch.column("doc_id").to_pylist()
+                for i, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True) if block.short else ():
+                    for item_id in block.whole(h):
+                        for name, value in zip(schema.names, (doc_ids[i], item_id, 1, 1, 1.0)):
+                            out[name].append(value)
                 for rows, sequences in _together(batch):
                     own: dict[int, np.ndarray] = {}
                     for d, m in block.pairs(sequences):

@@ -1,14 +1,16 @@
-"""N-gram Jaccard join: count-vector R-trees bound the overlap of candidate pairs, exact set comparison decides.
+"""N-gram Jaccard join: count-vector R-trees find candidate pairs, exact set comparison decides.
 
 A document's set of shingles is a point whose coordinates are the counts of its shingles in GROUPS hashed groups; the
-overlap of two sets is at most the sum of the coordinates' minima. In one tree over all points that bound alone can't
-keep unrelated documents apart (their counts look alike), so the points are first dealt out by the shingles that
-linked sets must share: in any fixed order, two sets of similarity t have one of their first n - ceil(t n) + 1
-shingles in common. Each shared shingle is the root of a small R-tree.
-
-Groups of copies are met in two steps, so that no pairs within a group are listed: every member is first compared with
-the leader of each of its groups, the one that shares most with others; only members of groups that still fall into several components then meet in the
-R-trees, and only across components.
+overlap of two sets is at most the sum of the coordinates' minima, and for two boxes of an R-tree at most that of
+their highest corners. In one tree over all points that bound alone can't keep unrelated documents apart (their counts
+look alike), so the points are first dealt out by the shingles that linked sets must share: in any fixed order, two
+sets of similarity t have one of their first n - ceil(t n) + 1 shingles in common. Those who share such a shingle form
+a group, and groups led by the same member (the one that shares most) one forest of R-trees.
+
+All pairs of a group are searched in its R-trees. The pairs that the bounds leave join members to clusters of possible
+links; then each cluster's sets are brought together, once each, and the pairs that an R-tree leaves are compared by
+their whole sets. Pairs that are joined already are passed over, and only links that join two parts are returned,
+fewer than there are members. So output and shuffle follow the members, not their pairs.
 """
 
 from __future__ import annotations
@@ -19,273 +21,248 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import (
-    SHINGLE, SIMILARITY_PERCENT, components, content_hash, documents_of, each_text, in_map, key_map, records, shingles, signed, stored,
+    SHINGLE, SIMILARITY_PERCENT, components, documents_of, each_text, frequent_shingles, identity, in_map, is_in, key_map, map_bits,
+    records, runs, shingles, signed, stored,
 )
 
-GROUPS = 64
-#: The tree's pairs are bounded once more by finer counts: one group for 2 to 4 shingles, this many at most.
-MAX_GROUPS = 4096
-#: Documents whose shingles are counted to find frequent ones, which come last in the order. Any order gives the
-#: same links; this one only keeps groups of unrelated documents small.
-ORDER_SAMPLE, ORDER_COUNT, ORDER_SIZE = 4096, 4, 200_000
-LEAF, PAGE = 16, 512
-MAP_BITS = 25
+#: Coordinates of the R-tree's boxes, and of the points in its leaves, whose neighbours add up to the former.
+GROUPS, FINE = 64, 256
+#: Rows of a leaf; members and shingles of a page: what one task holds at a time.
+LEAF, PAGE, PAGE_SHINGLES = 32, 4096, 8_000_000
+
+_SPREAD = np.uint64(0xD1342543DE82EF95)
 
 
 def shingle_set(h: np.ndarray) -> np.ndarray:
     return np.unique(shingles(h, SHINGLE))
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s * np.uint64(0xD1342543DE82EF95) >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
-
-
-def fine_counts(s: np.ndarray) -> np.ndarray:
-    """Counts in as many groups as suit the set, a power of two; halving them adds neighbours up."""
-    bits = min(max((len(s) // 4).bit_length(), 6), MAX_GROUPS.bit_length() - 1)
-    return np.bincount((s * np.uint64(0xD1342543DE82EF95) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16 if len(s) < 1 << 16 else np.uint32)
-
-
-def most_shared(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
-    """The largest overlap that fine_counts() of two sets of n_a and n_b elements allow."""
-    x, y = (np.frombuffer(v, np.uint16 if n < 1 << 16 else np.uint32) for v, n in ((a, n_a), (b, n_b)))
-    size = min(len(x), len(y))
-    return int(np.minimum(x.reshape(size, -1).sum(axis=1), y.reshape(size, -1).sum(axis=1)).sum())
+def count_vectors(sets: list[np.ndarray], groups: int) -> np.ndarray:
+    """Counts of each set's shingles in so many groups (a power of two), one row for each set."""
+    bits = np.uint64(64 - (groups - 1).bit_length())
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    group = (np.concatenate(sets) * _SPREAD >> bits).astype(np.int64)
+    counts = np.bincount(row * groups + group, minlength=len(sets) * groups).reshape(len(sets), groups)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """The shingles of which linked sets share one: the first in the order (frequent last, then by hash)."""
     n = len(s)
     length = n - (percent * n + 99) // 100 + 1
-    if len(frequent):
-        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-        s = np.concatenate((s[~often], s[often]))
-    return s[:length]
+    often = is_in(s, frequent)
+    return np.concatenate((s[~often], s[often]))[:length]
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the set; null: empty), n, counts, fine. Documents with the same set are one node."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("fine", pa.binary())])
+class Box:
+    """A node of an R-tree over count vectors: halves along the widest coordinate down to leaves."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, members: np.ndarray):
+        p = points[members]
+        self.high, self.members, self.parts = p.max(axis=0).astype(np.int64), members, ()
+        self.smallest, self.largest = int(sizes[members].min()), int(sizes[members].max())
+        if len(members) > LEAF:
+            order = members[np.argsort(p[:, int((self.high - p.min(axis=0)).argmax())], kind="stable")]
+            half = len(order) // 2
+            self.parts = Box(points, sizes, order[:half]), Box(points, sizes, order[half:])
+
+
+class Group:
+    """Points, and the part (a number) that each belongs to so far. Pairs whose bounds allow a link join their parts;
+    with the sets themselves, only true links do, and links has those that joined two parts."""
+
+    def __init__(self, fine: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent: int, sets: list[np.ndarray] | None = None):
+        self.fine, self.sizes, self.part, self.percent, self.sets = fine, sizes, parts.copy(), percent, sets
+        self.links: list[tuple[int, int]] = []
+
+    def fit(self, overlap: np.ndarray, i: np.ndarray | int, j: np.ndarray | int) -> np.ndarray:
+        """Whether so large an overlap is enough for a link."""
+        return (100 + self.percent) * overlap >= self.percent * (self.sizes[i] + self.sizes[j])
+
+    def bounded(self, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        """Whether the sums of the coordinates' minima are enough for a link."""
+        return self.fit(np.minimum(self.fine[i], self.fine[j]).sum(axis=1, dtype=np.int64), i, j)
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Joins the parts of i and of those of the others, all within the bounds, that it is linked with."""
+        others = others[self.part[others] != self.part[i]]
+        if not len(others):
+            return
+        if self.sets is not None:
+            hit = is_in(np.concatenate([self.sets[j] for j in others]), self.sets[i])
+            shared = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(self.sizes[others])[:-1])))
+            others = others[self.fit(shared, i, others)]
+        joined, first = np.unique(self.part[others], return_index=True)
+        self.links += [(i, int(j)) for j in others[first]]
+        self.part[np.isin(self.part, joined)] = self.part[i]
+
+    def search(self, first: int, one: np.ndarray, other: np.ndarray | None = None) -> None:
+        """All pairs within one (those with the member first at first), or of one and other, by their R-trees."""
+        if other is None:
+            self.join(first, one[self.bounded(first, one)])
+        if (self.part == self.part[0]).all():
+            return
+        points = self.fine.reshape(len(self.fine), GROUPS, -1).sum(axis=2, dtype=np.int64)
+        root = Box(points, self.sizes, one)
+        stack = [(root, root if other is None else Box(points, self.sizes, other))]
+        while stack:
+            a, b = stack.pop()
+            part = self.part[a.members[0]]
+            if 100 * a.largest < self.percent * b.smallest or 100 * b.largest < self.percent * a.smallest:
+                continue
+            if (100 + self.percent) * int(np.minimum(a.high, b.high).sum()) < self.percent * (a.smallest + b.smallest):
+                continue
+            if (self.part[a.members] == part).all() and (self.part[b.members] == part).all():
+                continue
+            if a is b and a.parts:
+                x, y = a.parts
+                stack += [(x, y), (y, y), (x, x)]
+            elif a.parts and (not b.parts or len(a.members) >= len(b.members)):
+                stack += [(x, b) for x in a.parts]
+            elif b.parts:
+                stack += [(a, y) for y in b.parts]
+            else:
+                self._leaves(points, a.members, b.members, a is b)
+
+    def _leaves(self, points: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        most = np.minimum(points[a][:, None, :], points[b][None, :, :]).sum(axis=2)
+        both = (100 + self.percent) * most >= self.percent * (self.sizes[a][:, None] + self.sizes[b][None, :])
+        both &= self.part[a][:, None] != self.part[b][None, :]
+        i, j = np.nonzero(np.triu(both, 1) if same else both)
+        i, j = a[i], b[j]
+        left = self.bounded(i, j)
+        i, j = i[left], j[left]
+        for x in np.unique(i):
+            self.join(int(x), j[i == x])
+
+
+def _rows(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+    """doc_id, text_hash, node (identity of the set; null: empty), n, prefix, and fine, the counts that are the set's point."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("fine", pa.binary())])
 
     def run(batches):
         for batch in batches:
             out: dict[str, list] = {f: [] for f in schema.names}
-            doc_ids = batch.column("doc_id").to_pylist()
+            doc_ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             for i, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True):
                 s = shingle_set(h)
-                for name, value in zip(schema.names, (doc_ids[i], content_hash(s) if len(s) else None, len(s), count_vector(s).tobytes(), fine_counts(s).tobytes())):
+                row = (doc_ids[i], hashes[i], identity(s) if len(s) else None, len(s), signed(prefix(s, frequent, percent)), count_vectors([s], FINE).tobytes())
+                for name, value in zip(schema.names, row):
                     out[name].append(value)
             yield records(schema, out)
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, counts binary, fine binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, node binary, n long, prefix array<long>, fine binary")
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    schema = pa.schema([("token", pa.int64())])
+def _members(rows: DataFrame, bitmap: bytes) -> DataFrame:
+    """(token, node, share) of the prefix shingles that may be in the bitmap; share: parts of a thousand of the prefix."""
+    schema = pa.schema([("token", pa.int64()), ("node", pa.binary()), ("share", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            for _, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True):
-                yield records(schema, {"token": signed(shingle_set(h))})
+            lists = batch.column("prefix")
+            token, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            hit = in_map(token, bitmap)
+            share = 1000 * np.bincount(row[hit], minlength=batch.num_rows) // np.maximum(np.diff(ends), 1)
+            token, row = token[hit], row[hit]
+            for at in range(0, len(row), 200_000):
+                r = row[at : at + 200_000]
+                yield records(schema, {"token": token[at : at + 200_000], "node": batch.column("node").take(pa.array(r)), "share": share[r]})
 
-    sample = docs.join(docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ORDER_SAMPLE).distinct(), "doc_id", "left_semi")
-    counts = sample.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= ORDER_COUNT)
-    top = counts.orderBy(F.desc("count"), "token").limit(ORDER_SIZE).select("token").toArrow()
-    return np.sort(top["token"].to_numpy().view(np.uint64))
+    return rows.where("node is not null").select("node", "prefix").mapInArrow(run, "token long, node binary, share long")
 
 
-def _postings(docs: DataFrame, frequent: np.ndarray, percent: int, bitmap: bytes | None = None) -> DataFrame:
-    """(token, node) of all prefixes, each node once a batch; with a bitmap only what may be in it."""
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64())])
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and its set x (binary) for the wanted (doc_id, node), made again from these documents' texts."""
+    wanted = stored(wanted)
+    bitmap = key_map(wanted.withColumn("k", F.xxhash64("doc_id")), "k", map_bits(wanted.count()))
+    schema = pa.schema([("node", pa.binary()), ("x", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            tokens, nodes, seen, size = [], [], set(), 0
-            for _, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True):
-                s = shingle_set(h)
-                if not len(s) or (node := content_hash(s)) in seen:
-                    continue
-                seen.add(node)
-                t = signed(prefix(s, frequent, percent))
-                t = t if bitmap is None else t[in_map(t, bitmap, MAP_BITS)]
-                tokens.append(t)
-                nodes.append(np.full(len(t), node, np.int64))
-                size += len(t)
-                if size > 200_000:
-                    yield records(schema, {"token": np.concatenate(tokens), "node": np.concatenate(nodes)})
-                    tokens, nodes, size = [], [], 0
-            if tokens:
-                yield records(schema, {"token": np.concatenate(tokens), "node": np.concatenate(nodes)})
-
-    return docs.mapInArrow(run, "token long, node long")
-
-
-def _led(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Adds leader to (token, node): the member of the group that shares the largest part of its prefix with others.
-
-    Of a text and its altered copies that is the text itself, to which the copies are closest.
-    """
-    length = F.expr(f"n - ceil({percent} * n / 100) + 1")
-    share = members.groupBy("node").agg(F.count("*").alias("_c")).join(nodes.select("node", "n"), "node")
-    share = share.select("node", F.floor(1000 * F.col("_c") / length).cast("int").alias("_share"))
-    leaders = members.join(share, "node").groupBy("token").agg(F.max(F.struct("_share", "node")).alias("_x"))
-    return stored(members.join(leaders.select("token", F.col("_x.node").alias("leader")), "token"))
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS)
-
+            texts = batch.column("text").filter(pa.array(in_map(batch.column("k").to_numpy(), bitmap))).to_pylist()
+            found = [s for *_, h in each_text(texts, lower=True) if len(s := shingle_set(h))]
+            yield records(schema, {"node": [identity(s) for s in found], "x": [s.tobytes() for s in found]})
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose overlap may be large enough by the sum of the minima of their fine counts."""
-    end = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"c_{x}"))
-    size = nodes.select("node", "n")
-    pairs = pairs.join(size.withColumnsRenamed({"node": "a", "n": "_m"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "_n"}), "b")
-    pairs = pairs.where(f"100 * least(_m, _n) >= {percent} * greatest(_m, _n)").select("a", "b")
-    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    # a node's set comes from any of its documents that passes the map; the wanted one always does
+    made = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(run, "node binary, x binary")
+    return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("x").alias("x"))
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for n_a, n_b, x, y in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("c_a"), batch.column("c_b")):
-                keep.append((100 + percent) * most_shared(x.as_buffer(), n_a, y.as_buffer(), n_b) >= percent * (n_a + n_b))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(run, "a long, b long")
+def _points(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of counts; those above 255 are stored in more bytes."""
+    raw = column.to_pylist()
+    if all(len(x) == FINE for x in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, FINE)
+    return np.array([np.frombuffer(x, np.uint8 if len(x) == FINE else np.uint32) for x in raw], np.uint32)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs that are linked, by their whole sets, which are made again for the documents concerned."""
-    pairs = stored(pairs)
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id", "node"))
-    bitmap = key_map(wanted.withColumn("k", F.xxhash64("doc_id")), "k")
-    schema = pa.schema([("node", pa.int64()), ("s", pa.binary())])
+def _edges(tasks: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links (a, b) that join parts, from tasks of the rows (g, p, q, page, lead, node, part, n, x); possible links,
+    where x is a point, and true ones (exact), where it is a set.
 
-    def sets(batches):
-        for batch in batches:
-            hit = in_map(batch.column("k").to_numpy(), bitmap)
-            texts = batch.column("text").filter(pa.array(hit)).to_pylist()
-            out: dict[str, list] = {"node": [], "s": []}
-            for _, _, _, _, h in each_text(texts, lower=True):
-                s = shingle_set(h)
-                if len(s):
-                    out["node"].append(content_hash(s))
-                    out["s"].append(s.tobytes())
-            yield records(schema, out)
-
-    # a node's set comes from any of its documents that passes the map; the wanted one always does
-    found = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(sets, "node long, s binary").join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
-    both = pairs.join(found.withColumnsRenamed({"node": "a", "s": "s_a"}), "a").join(found.withColumnsRenamed({"node": "b", "s": "s_b"}), "b")
+    The members of page p of group g are searched among themselves where p = q, and with those of page q otherwise.
+    part: a number for each part that the nodes are in already.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("s_a"), batch.column("s_b")):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
-                if len(x) > len(y):
-                    x, y = y, x
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for t in runs(batches, "g", "p", "q"):
+            part, page, lead = (t[c].to_numpy() for c in ("part", "page", "lead"))
+            p, q = (t[c][0].as_py() for c in "pq")
+            if (part == part[0]).all() or p != q and (page == page[0]).all():
+                continue
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["x"]] if exact else None
+            group = Group(count_vectors(sets, FINE) if exact else _points(t["x"]), t["n"].to_numpy(), part, percent, sets)
+            rows = np.arange(len(part))
+            group.search(int(lead.argmax()), *((rows,) if p == q else (np.flatnonzero(page == p), np.flatnonzero(page != p))))
+            if group.links:
+                node = t["node"]
+                yield records(schema, {k: [node[x[i]].as_py() for x in group.links] for i, k in enumerate("ab")})
 
-    return stored(both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
+    count = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tasks.repartition(count, "g", "p", "q").sortWithinPartitions("g", "p", "q").select("g", "p", "q", "page", "lead", "node", "part", "n", "x")
+    return stored(dealt.mapInArrow(run, "a binary, b binary").distinct())
 
 
-class Tree:
-    """A packed R-tree over count vectors: halves along the widest coordinate down to leaves."""
+def _searched(members: DataFrame, payload: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links (a, b), as of _edges(), within the groups of the stored members (g, node, n, lead); payload: (node, x).
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, members: np.ndarray):
-        self.high, self.smallest, self.members, self.parts = points[members].max(axis=0), int(sizes[members].min()), members, ()
-        if len(members) > LEAF:
-            p = points[members]
-            axis = int((p.max(axis=0) - p.min(axis=0)).argmax())
-            order = members[np.argsort(p[:, axis], kind="stable")]
-            half = len(order) // 2
-            self.parts = Tree(points, sizes, order[:half]), Tree(points, sizes, order[half:])
-
-
-def tree_join(points: np.ndarray, sizes: np.ndarray, apart: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of rows of different components (apart) whose summed coordinate minima allow a link."""
-    found: list[tuple[int, int]] = []
-    points = points.astype(np.int64)
-    root = Tree(points, sizes, np.arange(len(points)))
-    stack = [(root, root)]
-    while stack:
-        a, b = stack.pop()
-        if (100 + percent) * int(np.minimum(a.high, b.high).sum()) < percent * (a.smallest + b.smallest):
-            continue
-        if a.parts and (a is b):
-            x, y = a.parts
-            stack += [(x, x), (x, y), (y, y)]
-        elif a.parts and (not b.parts or len(a.members) >= len(b.members)):
-            stack += [(x, b) for x in a.parts]
-        elif b.parts:
-            stack += [(a, y) for y in b.parts]
-        else:
-            most = np.minimum(points[a.members][:, None, :], points[b.members][None, :, :]).sum(axis=2)
-            both = sizes[a.members][:, None] + sizes[b.members][None, :]
-            fit = ((100 + percent) * most >= percent * both) & (apart[a.members][:, None] != apart[b.members][None, :])
-            if a is b:
-                fit = np.triu(fit, 1)
-            for i, j in zip(*np.nonzero(fit)):
-                found.append((int(a.members[i]), int(b.members[j])))
-    return found
-
-
-def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a group that are in different components, from the groups' R-trees.
-
-    Pairs with the group's leader have been compared already. A group of more than PAGE members is cut into
-    pages, and each pair of pages is a task's work of bounded size.
+    A group of more than a page is cut into pages within bands of like sizes (sizes that differ by more than a fourth
+    allow no link), each searched with the group's leaders. Pages are searched with each other where their sizes allow
+    links and the group is still in several parts.
     """
-    m = members.where("node <> leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    m = stored(m.select("token", "node", "root"))
-    split = m.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 <> r1")
-    split = split.select("token", F.ceil(F.col("c") / PAGE).cast("int").alias("pages"))
-    m = m.join(split, "token").withColumn("page", F.pmod(F.xxhash64("node"), F.col("pages")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-    m = m.withColumns({"p": F.least("page", "other"), "q": F.greatest("page", "other")}).join(nodes.select("node", "n", "counts"), "node")
-    count = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    m = m.repartition(count, "token", "p", "q").sortWithinPartitions("token", "p", "q").select("token", "p", "q", "node", "root", "n", "counts")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        held, told = None, set()
-        for batch in _with_end(batches):
-            t = batch if held is None else held if batch is None else pa.concat_tables([held, batch])
-            if t is None or not t.num_rows:
-                continue
-            key = np.stack([t[c].to_numpy() for c in ("token", "p", "q")])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            last = t.num_rows if batch is None else int(cuts[-1]) if len(cuts) else 0
-            held = t.slice(last)
-            node, root, n = (t[c].to_numpy() for c in ("node", "root", "n"))
-            points = _matrix(t["counts"].combine_chunks()) if last else None
-            pairs = []
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows]):
-                if hi <= last and hi - lo > 1 and (root[lo:hi] != root[lo]).any():
-                    for i, j in tree_join(points[lo:hi], n[lo:hi], root[lo:hi], percent):
-                        pair = tuple(sorted((int(node[lo + i]), int(node[lo + j]))))
-                        if pair not in told:
-                            told.add(pair)
-                            pairs.append(pair)
-            if len(told) > 500_000:
-                told.clear()
-            if pairs:
-                yield records(schema, {"a": [x for x, _ in pairs], "b": [y for _, y in pairs]})
-
-    return m.mapInArrow(run, "a long, b long").where("a <> b").distinct()
-
-
-def _with_end(batches):
-    """Each batch as a table, and None at the end."""
-    for batch in batches:
-        yield pa.Table.from_batches([batch])
-    yield None
+    payload = stored(payload)
+    sizes = members.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where(f"c > {PAGE} or w > {PAGE_SHINGLES}")
+    sizes = stored(sizes.select("g"))
+    whole = members if (none := sizes.isEmpty()) else members.join(sizes, "g", "left_anti")
+    first = whole.select("g", F.lit(0).alias("page"), "lead", "node", "n")
+    if not none:
+        band = F.expr(f"CAST(floor(ln(n) / ln({100 / percent})) AS int)")
+        large = stored(members.join(sizes, "g", "left_semi").withColumn("band", band))
+        bands = large.groupBy("g", "band").agg(F.expr(f"CAST(ceil(greatest(count(*) / {PAGE}, sum(n) / {PAGE_SHINGLES})) AS int)").alias("pages"))
+        number = F.expr("band * 100000 + sub")
+        pages = stored(bands.select("g", "band", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("sub")).select("g", "band", number.alias("page")))
+        paged = large.join(bands, ["g", "band"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("pages")).cast("int"))
+        paged = stored(paged.select("g", "lead", "node", "n", "band", number.alias("page")))
+        everywhere = paged.where("lead").select("g", "lead", "node", "n").join(pages, "g").select("g", "page", "lead", "node", "n")
+        first = first.union(paged.where("not lead").select("g", "page", "lead", "node", "n")).union(everywhere)
+    first = first.withColumns({"p": F.col("page"), "q": F.col("page"), "part": F.xxhash64("node")})
+    edges = _edges(first.join(payload, "node"), percent, exact)
+    if not none:
+        at = paged.join(components(edges), "node", "left").withColumn("part", F.xxhash64(F.coalesce("root", "node"))).drop("root")
+        split = at.groupBy("g").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("g")
+        other = pages.select("g", F.col("band").alias("_band"), F.col("page").alias("_other"))
+        at = stored(at.join(split, "g", "left_semi")).join(other, "g").where("_other <> page and abs(_band - band) <= 1")
+        at = at.select("g", F.least("page", "_other").alias("p"), F.greatest("page", "_other").alias("q"), "page", "lead", "node", "part", "n")
+        edges = edges.union(_edges(at.join(payload, "node"), percent, exact))
+    return edges
 
 
 def jaccard_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for each row of docs.
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for each row of docs; and, to tell apart
+    rows that share a doc_id, text_hash (Spark's xxhash64 of the text) and component (a name; null without shingles).
 
     Words are lower-cased in A-Z; a set holds the distinct five-word shingles, or the whole sequence of fewer words.
     Documents are linked where 100 * intersection >= percent * union. Null or empty text: no shingles, no links.
@@ -293,18 +270,29 @@ def jaccard_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> Da
     the component of its links, or null.
     """
     d = documents_of(docs)
-    rows = stored(_nodes(d))
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine")))
-    frequent = _frequent(d)
-    shared = _postings(d, frequent, percent).groupBy("token").agg(F.min("node").alias("_first"), F.max("node").alias("_last"))
-    shared = stored(shared.where("_first <> _last").select("token"))
-    bitmap = key_map(shared, "token", MAP_BITS)
-    members = _led(stored(_postings(d, frequent, percent, bitmap).join(shared, "token").distinct()), nodes, percent)
-    first = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    edges = _verified(_bounded(first, nodes, percent), d, nodes, percent)
-    more = _verified(_bounded(_across(members, nodes, components(edges), percent), nodes, percent), d, nodes, percent)
-    roots = components(edges.union(more))
-    placed = rows.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    rows = stored(_rows(d, frequent_shingles(d), percent))
+    some = rows.where("node is not null")
+    nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    shared = some.select(F.explode("prefix").alias("token"), F.xxhash64("node").alias("half"))
+    shared = shared.groupBy("token").agg(F.min("half").alias("_first"), F.max("half").alias("_last")).where("_first <> _last").select("token")
+    shared = stored(shared)
+    members = _members(rows, key_map(shared, "token", map_bits(shared.count()))).join(shared, "token")
+    # the leader of a group is known by a number that holds its share and a part of its hash
+    rank = F.expr("shiftleft(share, 50) | (xxhash64(node) & 1125899906842623L)")
+    members = stored(members.groupBy("token", "node").agg(F.max("share").alias("share")).select("token", "node", rank.alias("rank")))
+    led = members.groupBy("token").agg(F.max("rank").alias("g"))
+    members = members.join(led, "token").select("g", "node", (F.col("rank") == F.col("g")).alias("lead")).distinct().join(nodes, "node")
+    members = stored(members.select("g", "node", "n", "lead", "doc_id"))
+    wanted = members.groupBy("node", "doc_id").agg(F.max("lead").alias("lead"), F.max("n").alias("n"))
+    wanted = stored(wanted)
+    # of rows with the same set, that of the node's document has its point
+    points = rows.select("node", "doc_id", F.col("fine").alias("x")).withColumnRenamed("doc_id", "_id").join(wanted.select("node", "doc_id"), "node", "inner")
+    points = points.where(F.col("_id").eqNullSafe(F.col("doc_id"))).groupBy("node").agg(F.first("x").alias("x"))
+    clusters = components(_searched(members, points, percent, exact=False))
+    clusters = stored(clusters.join(wanted, "node").select(F.xxhash64("root").alias("g"), "node", "n", "lead", "doc_id"))
+    edges = _searched(clusters, _sets(d, clusters.select("doc_id", "node")), percent, exact=True)
+    roots = components(edges)
+    placed = rows.select("doc_id", "text_hash", "node", "n").join(roots, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", F.hex("root").alias("component"))

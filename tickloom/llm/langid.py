@@ -12,13 +12,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import records, stored
 
 ORDER, BUCKET_BITS = 3, 15
-#: Documents that the n-gram model is fitted on for each language, at most (in order of a hash of doc_id).
+#: Documents that the n-gram model is fitted on for each language, about: those with a small enough hash.
 MAX_FIT_DOCS = 1_000
 #: Weight of a page's own text: its log-likelihood counts as that of at most so many n-grams, as neighbouring ones
 #: aren't independent.
@@ -54,7 +54,8 @@ def fit(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> tuple[list[str], n
     """Languages, and log-probabilities of the n-gram buckets in each, from a bounded sample of labelled documents."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string").alias("text"))
     d = d.where("lang is not null and text is not null")
-    langs = sorted(r.lang for r in d.select("lang").distinct().collect())
+    sizes = d.groupBy("lang").count()
+    langs = sorted(r.lang for r in sizes.select("lang").collect())
     if not langs:
         return ["und"], np.zeros((1, 1 << BUCKET_BITS), np.float32)
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -69,10 +70,11 @@ def fit(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> tuple[list[str], n
             at = np.flatnonzero(c)
             yield records(schema, {"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": c[at]})
 
-    # the limit on ranks is applied within each task before the shuffle
-    ranked = d.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    sample = ranked.where(F.col("_rank") <= max_fit_docs).drop("_rank")
-    t = sample.repartition(8, F.xxhash64("doc_id")).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    # a threshold on the hash, by the number of the language's documents: no text is sorted or sent on
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    limits = sizes.select("lang", (F.least(F.lit(1.0), max_fit_docs / F.col("count")) * (1 << 40)).cast("long").alias("_below"))
+    sample = d.join(limits, "lang").where(place < F.col("_below")).select("lang", "text")
+    t = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(langs), 1 << BUCKET_BITS), 0.1, np.float32)
     counts[pc.index_in(t["lang"], pa.array(langs)).to_numpy(), t["bucket"].to_numpy()] += t["n"].to_numpy()
     for row in counts:
@@ -112,7 +114,8 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, lang, probability, text_lang, declared, suffix, host for each row of pages.
 
     Likelihoods of the declared language and of the suffix given the language, and the smoothed priors of hosts, are
-    shares of the pages whose text points to a language; every count is a grouped sum over all pages. Null url: the
+    shares of the pages whose text points to a language; every count is a grouped sum over all pages, without the page
+    itself in its host's prior. Null url: the
     empty host. Null or empty html: decided by host and suffix alone. A page without any evidence gets the language
     of most pages. Ties go to the first language in alphabetical order. Repeated rows each get a row; other columns
     are dropped; empty table: no rows; no labelled documents: "und".
@@ -132,9 +135,13 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
     one = F.broadcast(stored(counted("all")))  # a single row
     top = lambda i: (count_in("all", i) + 1.0) / (F.col("n_all") + float(size))
     middle = lambda i: (count_in("domains", i) + DOMAIN_PRIOR * top(i)) / (F.col("n_domains") + DOMAIN_PRIOR)
-    prior = lambda i: (count_in("hosts", i) + HOST_PRIOR * middle(i)) / (F.col("n_hosts") + HOST_PRIOR)
     hosts = counted("hosts", "host", "domain").join(counted("domains", "domain"), "domain").crossJoin(one)
-    hosts = hosts.select("host", one_each(lambda i: F.log(prior(i))).alias("prior_log"))
+    hosts = hosts.select("host", "hosts", "n_hosts", one_each(middle).alias("middle"), "n_domains")
+    # a page's own vote, which its text has already, is taken out of its host's and domain's counts
+    mine = lambda i: F.when(F.col("own") == i, 1.0).otherwise(0.0)
+    voted = F.when(F.col("own").isNotNull(), 1.0).otherwise(0.0)
+    rest = lambda i: F.greatest(F.get("middle", i) * (F.col("n_domains") + DOMAIN_PRIOR) - mine(i), F.lit(1e-3)) / (F.col("n_domains") - voted + DOMAIN_PRIOR)
+    prior = lambda i: (count_in("hosts", i) - mine(i) + HOST_PRIOR * rest(i)) / (F.col("n_hosts") - voted + HOST_PRIOR)
     # a channel's likelihood is smoothed with the shares of its values among all pages
     def channel(key: str) -> DataFrame:
         c = counted("values", key).crossJoin(one)
@@ -142,10 +149,10 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
         like = one_each(lambda i: F.log((count_in("values", i) + CHANNEL_PRIOR * share) / (count_in("all", i) + CHANNEL_PRIOR)))
         return c.select(key, F.when(F.col(key) != "", like).alias(f"{key}_log"))
 
-    out = rows.join(hosts, "host", "left").join(channel("declared"), "declared", "left").join(channel("suffix"), "suffix", "left")
+    out = rows.join(hosts, "host", "left").withColumn("hosts", F.coalesce("hosts", F.create_map().cast("map<int,double>"))).join(channel("declared"), "declared", "left").join(channel("suffix"), "suffix", "left")
     out = out.crossJoin(one).withColumn("_top", one_each(lambda i: F.log(top(i))))
     at = lambda c, i: F.coalesce(F.get(F.col(c), i), F.lit(0.0))
-    out = out.withColumn("_s", one_each(lambda i: F.get("text_log", i) + F.coalesce(F.get("prior_log", i), F.get("_top", i)) + at("declared_log", i) + at("suffix_log", i)))
+    out = out.withColumn("_s", one_each(lambda i: F.get("text_log", i) + F.coalesce(F.log(prior(i)), F.get("_top", i)) + at("declared_log", i) + at("suffix_log", i)))
     out = out.withColumn("_m", F.array_max("_s"))
     out = out.withColumn("_k", F.array_position("_s", F.col("_m")).cast("int"))
     names = F.array(*[F.lit(x) for x in langs])

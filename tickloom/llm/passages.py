@@ -3,37 +3,47 @@
 A document is its sequence of five-word shingles. Under one hash function, the node of a Cartesian tree over the
 shingles' hashes stands for all subsequences whose minimum is at its place; those of PASSAGE words or more form a
 compact window (left, place, right), of which there are about 2 n / PASSAGE. Windows of two documents with the same
-minimum hold subsequences that agree in that hash function. Windows are joined by minimum; pairs whose surroundings
-of the minimum are alike are candidates, and the shared passage is verified on the shingles.
+minimum hold subsequences that agree in that hash function; they meet in one task, where the intervals around their
+minima are joined and the shared passage is verified on the shingles. Frequent shingles come last in the order of
+hashes, so that a window's minimum is one of them only where there is nothing else.
+
+Every window is compared with the smallest text of its minimum, and those that aren't linked to it with all smaller
+ones. A minimum that very many windows have is dealt out in blocks; what is first in its block is then compared with
+the other blocks. Each window is reported with one text that it is linked to, so rows follow windows, not pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import (
-    SHINGLE, SIMILARITY_PERCENT, content_hash, documents_of, each_text, in_map, key_map, records, shingles, stored,
+    SHINGLE, SIMILARITY_PERCENT, broadcast_if_small, documents_of, each_chunk, each_text, frequent_shingles, identity, in_map, is_in, key_map, map_bits,
+    records, shingles, stored, whole_runs,
 )
 
-#: Words of the shortest passage.
+#: Words and shingles of the shortest passage.
 PASSAGE = 50
+LEAST = PASSAGE - SHINGLE + 1
 #: Hash functions. One of them must agree: passages of similarity 0.8 fail with a chance of 0.002, exact copies never.
 HASHES = 4
-#: How often a new leader is taken for keys that have windows without a passage, before all of these are compared.
-ROUNDS = 3
-#: Windows of a key in a block, of those that are compared with all windows of the key.
-BLOCK = 2000
-#: The shingles of a window within REACH of its minimum are sketched by a bit each, in SKETCH longs. A passage of 46
-#: or more shingles around the minimum has as many of them in both texts; sketches of fewer common bits (for a
-#: similarity of 80 percent) are no candidates.
-REACH, SKETCH, COMMON_BITS = PASSAGE - SHINGLE, 8, 30
-MAP_BITS = 25
+#: Windows of one minimum that meet at once; of more, blocks of about so many.
+BLOCK = 1024
+#: Shingles on either side of a minimum that are compared: with those, every subsequence of LEAST around it is whole.
+REACH = LEAST - 1
+WIDTH = 2 * REACH + 1
+#: Bits of the sketches by which pairs are sorted out first. A shared passage gives 41 common shingles at least, and
+#: fewer than COMMON_BITS common bits only by an unlikely number of collisions (or by repetitions, which are allowed for).
+SKETCH_BITS, COMMON_BITS = 2048, 37
 
 _A = np.random.default_rng(4711).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
+_PLACES = np.random.default_rng(815).integers(1 << 62, 1 << 63, WIDTH, dtype=np.uint64) | np.uint64(1)
+_LATE = np.uint64(1 << 63)
 
 
 def hashed(s: np.ndarray, k: int) -> np.ndarray:
@@ -44,258 +54,341 @@ def hashed(s: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
-def compact_windows(v: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(left, place of the minimum, right) of all Cartesian tree nodes that span least elements or more.
+def _sliding(v: np.ndarray, width: int, choose: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of each `width` neighbours, by spans that double."""
+    span = 1
+    while 2 * span <= width:
+        v = choose(v[:-span], v[span:])
+        span *= 2
+    return choose(v[: len(v) - (width - span)], v[width - span :]) if span < width else v
 
-    Of equal minima the one nearest to the middle is taken, so repeated text gives no deep trees.
-    """
-    found, stack = [], [(0, len(v))]
-    ties = len(np.unique(v)) < len(v)
-    while stack:
-        lo, hi = stack.pop()
-        if hi - lo < least:
-            continue
-        part = v[lo:hi]
-        c = int(part.argmin())
-        if ties:
-            equal = np.flatnonzero(part == part[c])
-            c = int(equal[np.abs(equal - (hi - lo) // 2).argmin()])
-        c += lo
-        found.append((lo, c, hi - 1))
-        stack.append((lo, c))
-        stack.append((c + 1, hi))
-    return found
-
-
-def _nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the words), n_words of the documents that are long enough to hold a passage."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n_words", pa.int64())])
 
-    def run(batches):
-        for batch in batches:
-            out: dict[str, list] = {f: [] for f in schema.names}
-            doc_ids = batch.column("doc_id").to_pylist()
-            for i, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True):
-                if len(h) >= PASSAGE:
-                    for name, value in zip(schema.names, (doc_ids[i], content_hash(h), len(h))):
-                        out[name].append(value)
-            yield records(schema, out)
-
-    return docs.mapInArrow(run, "doc_id long, node long, n_words long")
+def minima(v: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """Places that are a minimum of `least` neighbours within one of the stretches [begins[i], ends[i])."""
+    if len(v) < least:
+        return np.zeros(0, np.int64)
+    low = _sliding(v, least, np.minimum)
+    allowed = np.zeros(len(low) + 1, np.int32)
+    last = ends - least + 1
+    np.add.at(allowed, begins[last > begins], 1)
+    np.add.at(allowed, last[last > begins], -1)
+    low = np.where(np.cumsum(allowed[:-1]) > 0, low, np.uint64(0))
+    edge = np.zeros(least - 1, np.uint64)
+    best = _sliding(np.concatenate((edge, low, edge)), least, np.maximum)
+    return np.flatnonzero((best == v) & (best > 0))
 
 
-_SKETCHES = [f"s{i}" for i in range(SKETCH)]
-_PLACES = np.random.default_rng(815).integers(1 << 62, 1 << 63, 2 * REACH + 1, dtype=np.uint64) | np.uint64(1)
+def compact_windows(v: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """Rows (left, place of the minimum, right) of the Cartesian tree nodes of each stretch that span least elements.
 
+    All ancestors of such a node span as many, so only places that are minima of `least` neighbours are looked at.
+    Of equal minima the first counts as the smaller; values are above 0.
+    """
+    at = minima(v, begins, ends, least)
+    if not len(at):
+        return np.zeros((0, 3), np.int64)
+    stretch = np.searchsorted(begins, at, "right") - 1
+    first, left, right = begins[stretch].tolist(), np.empty(len(at), np.int64), ends[stretch] - 1
+    values, places = v[at].tolist(), at.tolist()
+    stack: list[int] = []
+    for i, x in enumerate(values):
+        if stack and first[stack[-1]] != first[i]:
+            stack = []
+        while stack and values[stack[-1]] > x:
+            right[stack.pop()] = places[i] - 1
+        left[i] = places[stack[-1]] + 1 if stack else first[i]
+        stack.append(i)
+    return np.stack((left, at, right), axis=1)[right - left + 1 >= least]
+
+
+def _windows_of(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of the words h of several texts (text i: bounds[i] to bounds[i + 1]), their windows, and the windows'
+    keys (minimum, and the hash function in the last two bits)."""
+    s = shingles(h)
+    late = np.where(is_in(s, frequent), _LATE, np.uint64(1))
+    windows, keys = [], []
+    for k in range(HASHES):
+        v = hashed(s, k) >> np.uint64(1) | late
+        w = compact_windows(v, bounds[:-1], bounds[1:] - SHINGLE + 1, LEAST)
+        windows.append(w)
+        keys.append((v[w[:, 1]] & ~np.uint64(3) | np.uint64(k)).view(np.int64))
+    return s, np.concatenate(windows), np.concatenate(keys)
+
+
+def _rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """doc_id, node (identity of the words), n_words and keys of the documents that are long enough to hold a passage."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
-def surroundings(s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sketches of windows (rows l, c, r) of shingles s, how many of the shingles in them are repetitions (each may
-    cost a common bit), and hashes of what stands around their minima."""
-    sketches, repeats, hashes = [np.zeros((0, SKETCH), np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
-    for at in range(0, len(w), 4096):
-        l, c, r = (w[at : at + 4096, i].astype(np.int64) for i in range(3))
-        lo, hi = np.maximum(l, c - REACH), np.minimum(r, c + REACH)
-        x = s[np.clip(c[:, None] + np.arange(-REACH, REACH + 1), lo[:, None], hi[:, None])]
-        bits = np.zeros((len(x), 64 * SKETCH), bool)
-        bits[np.arange(len(x))[:, None], (x >> np.uint64(20)) % np.uint64(64 * SKETCH)] = True
-        ordered = np.sort(x, axis=1)
-        repeats.append((hi - lo - (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1)).astype(np.int32))
-        sketches.append(np.packbits(bits, axis=1).view(np.int64))
-        hashes.append((x * _PLACES).sum(axis=1, dtype=np.uint64) ^ ((c - lo) * 128 + hi - c).astype(np.uint64))
-    return np.concatenate(sketches), np.concatenate(repeats), np.concatenate(hashes)
+    def run(batches):
+        for batch in batches:
+            doc_ids = batch.column("doc_id").to_pylist()
+            for numbers, h, bounds in each_chunk(batch.column("text").to_pylist(), lower=True, least=PASSAGE):
+                _, w, key = _windows_of(h, bounds, frequent)
+                text = np.searchsorted(bounds, w[:, 1], "right") - 1
+                order = np.argsort(text, kind="stable")
+                offsets = np.searchsorted(text[order], np.arange(len(numbers) + 1)).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order]))
+                node = [identity(h[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([doc_ids[i] for i in numbers], pa.int64()), pa.array(node), pa.array(np.diff(bounds)), keys], schema=schema)
 
+    return docs.mapInArrow(run, "doc_id long, node binary, n_words long, keys array<long>")
 
-def _windows(docs: DataFrame, bitmap: bytes | None = None) -> DataFrame:
-    """key (minimum, and the hash function in the last two bits) and node of all compact windows.
 
-    With a bitmap, of what may be in it, and with l, c, r, repeats, sketch, and own: whether the window is the first in its
-    text of those with this key and the same shingles around the minimum.
-    """
-    names = ["key", "node"] + (["l", "c", "r", "own", "repeats", *_SKETCHES] if bitmap is not None else [])
-    types = {"l": pa.int32(), "c": pa.int32(), "r": pa.int32(), "own": pa.bool_(), "repeats": pa.int32()}
-    schema = pa.schema([(n, types.get(n, pa.int64())) for n in names])
+def _windows(docs: DataFrame, frequent: np.ndarray, bitmap: bytes, first: bytes) -> DataFrame:
+    """key, node, cx (the WIDTH shingles around the minimum that are in the window, 32 bits each, 0 outside) and places
+    (of the minima of the node's windows that look so) of what may be in the bitmap of keys. Documents that aren't in
+    the bitmap of ids are left out: they are copies of others."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.binary()), ("cx", pa.binary()), ("places", pa.list_(pa.int32()))])
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            parts, seen, size = [], set(), 0
-            for _, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True):
-                if len(h) < PASSAGE or (node := content_hash(h)) in seen:
-                    continue
-                seen.add(node)
-                s = shingles(h)
-                keys, found = [], []
-                for k in range(HASHES):
-                    v = hashed(s, k)
-                    w = np.array(compact_windows(v, PASSAGE - SHINGLE + 1), np.int32).reshape(-1, 3)
-                    key = (v[w[:, 1]] & ~np.uint64(3) | np.uint64(k)).view(np.int64)
-                    if bitmap is not None:
-                        hit = in_map(key, bitmap, MAP_BITS)
-                        w, key = w[hit], key[hit]
-                    keys.append(key)
-                    found.append(w)
-                key, w = np.concatenate(keys), np.concatenate(found)
-                row = [key, np.full(len(w), node, np.int64)]
-                if bitmap is not None:
-                    sketch, repeats, around = surroundings(s, w)
-                    own = np.zeros(len(w), bool)
-                    own[np.unique(np.stack((key.view(np.uint64), around), axis=1), axis=0, return_index=True)[1]] = True
-                    row += [w[:, 0], w[:, 1], w[:, 2], own, repeats, *np.ascontiguousarray(sketch.T)]
-                parts.append(row)
-                size += len(w)
-                if size > 200_000:
-                    yield records(schema, dict(zip(names, map(np.concatenate, zip(*parts)))))
-                    parts, size = [], 0
-            if parts:
-                yield records(schema, dict(zip(names, map(np.concatenate, zip(*parts)))))
-
-    kinds = {"l": "int", "c": "int", "r": "int", "own": "boolean", "repeats": "int"}
-    return docs.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'long')}" for n in names))
-
-
-def _sequences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its shingles (binary), made again for the wanted nodes alone."""
-    bitmap = key_map(wanted.withColumn("k", F.xxhash64("doc_id")), "k")
+            texts = batch.column("text").filter(pa.array(in_map(batch.column("k").to_numpy(), first))).to_pylist()
+            for _, h, bounds in each_chunk(texts, lower=True, least=PASSAGE):
+                nodes = [identity(h[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:])]
+                new = np.array([not (x in seen or seen.add(x)) for x in nodes])
+                s, w, key = _windows_of(h, bounds, frequent)
+                text = np.searchsorted(bounds, w[:, 1], "right") - 1
+                hit = in_map(key, bitmap) & new[text]
+                w, key, text = w[hit], key[hit], text[hit]
+                s = np.maximum((s >> np.uint64(32)).astype(np.uint32), 2)
+                for at in range(0, len(w), 8192):
+                    yield from _looks(s, w[at : at + 8192], key[at : at + 8192], text[at : at + 8192], bounds, nodes)
+
+    def _looks(s, w, key, text, bounds, nodes):
+        place = w[:, 1:2] + np.arange(-REACH, REACH + 1)
+        cx = np.where((place >= w[:, :1]) & (place <= w[:, 2:]), s[np.clip(place, 0, len(s) - 1)], np.uint32(0))
+        look = (cx * _PLACES).sum(axis=1, dtype=np.uint64) * np.uint64(3) + key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + text.astype(np.uint64) * _PLACES[0]
+        order = np.argsort(look, kind="stable")
+        begins = np.flatnonzero(np.concatenate(([True], look[order][1:] != look[order][:-1])))
+        one = order[begins]
+        places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)).astype(np.int32)), pa.array((w[order, 1] - bounds[text[order]]).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array([nodes[i] for i in text[one]], pa.binary()), pa.array([x.tobytes() for x in cx[one]], pa.binary()), places], schema=schema)
+
+    return docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(run, "key long, node binary, cx binary, places array<int>")
+
+
+def _needed(percent: int) -> int:
+    """Common shingles of two passages of LEAST shingles that are similar enough."""
+    return -(-2 * LEAST * percent // (100 + percent))
+
+
+def _slices(x: np.ndarray, y: np.ndarray, size: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, max(len(x), 1), size):
+        yield x[at : at + size], y[at : at + size]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values above 0 of each row."""
+    x = np.sort(x, axis=1)
+    return ((x[:, 1:] != x[:, :-1]) & (x[:, 1:] > 0)).sum(axis=1) + (x[:, 0] > 0)
+
+
+def _stretches(inside: np.ndarray, valid: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Begins and ends of stretches around the minimum of each row, of two kinds: that which scores best (shared +1,
+    others minus as much as the similarity allows for), and, of those with a score of 0 or more and LEAST shingles, the
+    shortest that has the most shared ones."""
+    cost = 2.0 * percent / (100 - percent) if percent < 100 else 1e6
+    score = np.where(inside, 1.0, np.where(valid, -cost, -1e6))
+    back, ahead = np.cumsum(score[:, :REACH][:, ::-1], axis=1), np.cumsum(score[:, REACH:], axis=1)
+    best = REACH - np.where(back.max(axis=1) > 0, back.argmax(axis=1) + 1, 0), REACH + ahead.argmax(axis=1) + 1
+    zero = np.zeros((len(inside), 1))
+    back, shared_back = np.hstack((zero, back)), np.hstack((zero, np.cumsum(inside[:, :REACH][:, ::-1], axis=1)))
+    length = np.arange(REACH + 1)
+    length = length[:, None] + length[None, :] + 1
+    shared = shared_back[:, :, None] + np.cumsum(inside[:, REACH:], axis=1)[:, None, :]
+    worth = np.where((back[:, :, None] + ahead[:, None, :] >= 0) & (length >= LEAST), WIDTH * shared - length, -1.0).reshape(len(inside), -1)
+    at = worth.argmax(axis=1)
+    none = worth.max(axis=1) < 0
+    return [best, (np.where(none, REACH, REACH - at // (REACH + 1)), np.where(none, REACH, REACH + at % (REACH + 1) + 1))]
+
+
+def shared_passages(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows x[i], y[i] of shingles around minima: which share a passage around them, its begin and end in y, and
+    the similarity of the two passages. An exactly equal one comes before a similar one."""
+    begin, end, similarity = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.zeros(len(x))
+    same = (x == y) & (x > 0)
+    z0 = REACH - np.cumprod(same[:, :REACH][:, ::-1], axis=1).sum(axis=1)
+    z1 = REACH + np.cumprod(same[:, REACH:], axis=1).sum(axis=1)
+    ok = z1 - z0 >= LEAST
+    begin[ok], end[ok], similarity[ok] = z0[ok], z1[ok], 1.0
+    some = np.flatnonzero(~ok)
+    x, y = x[some], y[some]
+    equal = (x[:, :, None] == y[:, None, :]) & (x > 0)[:, :, None]
+    in_y, in_x = equal.any(axis=2), equal.any(axis=1)
+    need = _needed(percent)
+    left = np.flatnonzero((in_y.sum(axis=1) >= need) & (in_x.sum(axis=1) >= need))
+    if not len(left):
+        return ok, begin, end, similarity
+    some, x, y, equal, in_y, in_x, at = some[left], x[left], y[left], equal[left], in_y[left], in_x[left], np.arange(WIDTH)
+    for (x0, x1), (y0, y1) in zip(_stretches(in_y, x > 0, percent), _stretches(in_x, y > 0, percent)):
+        in_p, in_q = ((at >= lo[:, None]) & (at < hi[:, None]) for lo, hi in ((x0, x1), (y0, y1)))
+        p, q = _distinct(np.where(in_p, x, 0)), _distinct(np.where(in_q, y, 0))
+        both = _distinct(np.where((equal & in_q[:, None, :]).any(axis=2) & in_p, x, 0))
+        new = (x1 - x0 >= LEAST) & (y1 - y0 >= LEAST) & (100 * both >= percent * (p + q - both)) & ~ok[some]
+        ok[some[new]], begin[some[new]], end[some[new]] = True, y0[new], y1[new]
+        similarity[some[new]] = both[new] / np.maximum(p + q - both, 1)[new]
+    return ok, begin, end, similarity
+
+
+class Windows:
+    """Windows of some keys, sorted by run of key and then by node."""
+
+    def __init__(self, t: pa.Table, *keys: str):
+        run = np.cumsum(np.concatenate(([False], np.any([t[k].to_numpy()[1:] != t[k].to_numpy()[:-1] for k in keys], axis=0))))
+        node = np.frombuffer(b"".join(t["node"].to_pylist()), ">u8").reshape(-1, 2)
+        order = np.lexsort((node[:, 1], node[:, 0], run))
+        self.table, run = t.take(pa.array(order)), run[order]
+        node = node[order].astype(np.uint64)
+        self.node = np.cumsum(np.concatenate(([False], (node[1:] != node[:-1]).any(axis=1)))) - 1  # numbers; only for comparison within a run
+        self.cx = np.frombuffer(b"".join(self.table["cx"].to_pylist()), np.uint32).reshape(-1, WIDTH)
+        self.begin = np.searchsorted(run, run)
+        self.bit = (self.cx % SKETCH_BITS).astype(np.uint16)
+        self.bits = np.zeros((len(run), SKETCH_BITS), bool)
+        self.bits[np.arange(len(run))[:, None], self.bit] = True
+        self.sketch = np.packbits(self.bits, axis=1).view(np.uint64)
+        self.repeats = (self.cx > 0).sum(axis=1) - _distinct(self.cx)
+        self.linked = np.full(len(run), -1)
+        self.spans = np.zeros((len(run), 2), np.int64)
+        self.similarity = np.zeros(len(run))
+
+    def search(self, ys: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int, allowed=None) -> None:
+        """Links each window of ys that isn't yet with the first it can be among the windows lo to hi."""
+        least, need = COMMON_BITS * percent // SIMILARITY_PERCENT, _needed(percent)
+        at = np.concatenate(([0], np.cumsum(hi - lo)))
+        cuts = np.unique(np.append(np.searchsorted(at, np.arange(0, at[-1], 50_000)), len(ys)))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            some = np.arange(a, b)[self.linked[ys[a:b]] < 0]
+            n = (hi - lo)[some]
+            y = np.repeat(ys[some], n)
+            x = np.repeat(lo[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            keep = self.node[x] != self.node[y]
+            if allowed is not None:
+                keep &= allowed(x, y)
+            x, y = x[keep], y[keep]
+            common = np.bitwise_count(self.sketch[x] & self.sketch[y]).sum(axis=1, dtype=np.int64)
+            keep = common + np.minimum(self.repeats[x], self.repeats[y]) >= least
+            x, y = x[keep], y[keep]
+            # with repetitions: how many places of one have a bit of the other
+            for back in (False, True):
+                p, q = (y, x) if back else (x, y)
+                keep = np.concatenate([(self.bits[b[:, None], self.bit[a]] & (self.cx[a] > 0)).sum(axis=1) for a, b in _slices(p, q)]) >= need
+                x, y = x[keep], y[keep]
+            turn = 1
+            while len(y):  # the first of each window's candidates that is left, then the next two, and so on
+                rank = np.arange(len(y)) - np.searchsorted(y, y)
+                for p, q in _slices(x[rank < turn], y[rank < turn], 512):
+                    ok, begin, end, similarity = shared_passages(self.cx[p], self.cx[q], percent)
+                    for j in np.flatnonzero(ok & (self.linked[q] < 0))[::-1]:
+                        self.linked[q[j]], self.spans[q[j]], self.similarity[q[j]] = p[j], (begin[j], end[j]), similarity[j]
+                left = (rank >= turn) & (self.linked[y] < 0)
+                x, y, turn = x[left], y[left], 2 * turn
+
+    def found(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Rows (node, other, first, end, similarity) of the windows that are linked, one for each place."""
+        y = np.flatnonzero(self.linked >= 0)
+        if len(y):
+            lists = self.table["places"].combine_chunks().take(pa.array(y))
+            row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+            at = lists.flatten().to_numpy().astype(np.int64)
+            node = self.table["node"].combine_chunks()
+            out = {"node": node.take(pa.array(y[row])), "other": node.take(pa.array(self.linked[y][row])), "similarity": self.similarity[y][row]}
+            out |= {k: at + self.spans[y, i][row] - REACH for i, k in enumerate(("first", "end"))}
+            yield records(schema, out | {f.name: pa.nulls(len(row), f.type) for f in schema if f.name not in out})
+
+
+_SPAN = [("node", pa.binary()), ("other", pa.binary()), ("first", pa.int64()), ("end", pa.int64()), ("similarity", pa.float64())]
+_SPAN_DDL = "node binary, other binary, first long, end long, similarity double"
+
+
+def _within_blocks(windows: DataFrame, percent: int) -> DataFrame:
+    """Spans from the windows (key, block, blocks, node, cx, places), and, with a key, the windows themselves where a
+    key has several blocks; head: that no smaller window of the block is linked to it."""
+    schema = pa.schema([*_SPAN, ("key", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("head", pa.bool_()), ("cx", pa.binary()), ("places", pa.list_(pa.int32()))])
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text").filter(pa.array(in_map(batch.column("k").to_numpy(), bitmap))).to_pylist()
-            found = [(content_hash(h), shingles(h).tobytes()) for _, _, _, _, h in each_text(texts, lower=True) if len(h) >= PASSAGE]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["node", "s"])
-
-    made = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(run, "node long, s binary")
-    return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
-
-
-def _reach(inside: np.ndarray, percent: int) -> int:
-    """Length of the stretch from an anchor on that scores best: shared +1, others so that the share stays high."""
-    score = np.cumsum(np.where(inside, 1.0, -2.0 * percent / (100 - percent)))
-    return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
-
-
-def _stretch(x: np.ndarray, y: np.ndarray, c: int, percent: int) -> tuple[int, int]:
-    """First and end of the part of x around its place c that y's shingles make up."""
-    ys = np.unique(y)
-    inside = ys[np.minimum(np.searchsorted(ys, x), len(ys) - 1)] == x
-    return c - _reach(inside[:c][::-1], percent), c + _reach(inside[c:], percent)
-
-
-def verified(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int, int, int, int, int]], percent: int) -> list[tuple[int, int, int, int, float]]:
-    """(first shingle and end in a, the same in b, similarity) of the passages that a and b share, around the anchors
-    of the window pairs (l, c, r of a, then of b)."""
-    found: list[tuple[int, int, int, int, float]] = []
-    least = PASSAGE - SHINGLE + 1
-    for l, c, r, bl, bc, br in sorted(pairs, key=lambda p: (p[0] - p[2], p)):
-        if any(lo <= c < hi for lo, hi, _, _, _ in found):
-            continue
-        x, y = a[l : r + 1], b[bl : br + 1]
-        lo, hi = (l + k for k in _stretch(x, y, c - l, percent))
-        blo, bhi = (bl + k for k in _stretch(y, x, bc - bl, percent))
-        p, q = np.unique(a[lo:hi]), np.unique(b[blo:bhi])
-        shared = len(np.intersect1d(p, q, assume_unique=True))
-        similarity = shared / max(len(p) + len(q) - shared, 1)
-        if not (min(hi - lo, bhi - blo) >= least and 100 * shared >= percent * (len(p) + len(q) - shared)):
-            # the similar stretch isn't one; an exactly equal one around the anchor still may be
-            n, m = min(c - l, bc - bl), min(r - c, br - bc) + 1
-            back = np.flatnonzero(a[c - n : c][::-1] != b[bc - n : bc][::-1])
-            ahead = np.flatnonzero(a[c : c + m] != b[bc : bc + m])
-            n, m = int(back[0]) if len(back) else n, int(ahead[0]) if len(ahead) else m
-            lo, hi, blo, bhi, similarity = c - n, c + m, bc - n, bc + m, 1.0
-            if hi - lo < least:
-                continue
-        found.append((lo, hi, blo, bhi, similarity))
-    return found
-
-
-_OTHER = {"node": "other", "l": "bl", "c": "bc", "r": "br", "own": "b_own", "repeats": "b_repeats", **{s: f"b_{s}" for s in _SKETCHES}}
-
-
-def _compared(windows: DataFrame, leaders: DataFrame, on: list[str], d: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Passages (node, other; first and end in shingles of both; similarity) of the windows' nodes with the leaders
-    (windows, named as in _OTHER) of their keys, as a stored table. The later text by the order of hashes is node.
-
-    Every window of the later text is met, and of the earlier text the first of those that are alike around the minimum.
+        for t in whole_runs(batches, "key", "block"):
+            w = Windows(t, "key", "block")
+            rows = np.arange(len(w.begin))
+            ys = rows[rows > w.begin]
+            w.search(ys, w.begin[ys], w.begin[ys] + 1, percent)
+            ys = rows[(rows > w.begin + 1) & (w.linked < 0)]
+            w.search(ys, w.begin[ys] + 1, ys, percent)
+            yield from w.found(schema)
+            many = w.table.append_column("head", pa.array(w.linked < 0)).filter(pa.compute.greater(w.table["blocks"], 1))
+            if many.num_rows:
+                some = {f.name: many[f.name].combine_chunks() if f.name in many.column_names else pa.nulls(many.num_rows, f.type) for f in schema}
+                yield records(schema, some)
+
+    import pyarrow.compute  # noqa: F401  (pa.compute)
+
+    n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = windows.repartition(n, "key", "block").sortWithinPartitions("key", "block").select("key", "block", "blocks", "node", "cx", "places")
+    return dealt.mapInArrow(run, f"{_SPAN_DDL}, key long, block int, blocks int, head boolean, cx binary, places array<int>")
+
+
+def _across_blocks(many: DataFrame, percent: int) -> DataFrame:
+    """Spans of the heads of blocks that are linked to a smaller window of another block of their key.
+
+    The heads are dealt out in pages, and each block meets each page of its key's heads.
     """
-    later = F.col("node") > F.col("other")
-    common = sum((F.bit_count(F.col(s).bitwiseAND(F.col(f"b_{s}"))) for s in _SKETCHES[1:]), F.bit_count(F.col("s0").bitwiseAND(F.col("b_s0"))))
-    w = windows.join(leaders, on).where((F.col("node") != F.col("other")) & F.when(later, F.col("b_own")).otherwise(F.col("own")) & (common + F.least("repeats", "b_repeats") >= COMMON_BITS * percent // SIMILARITY_PERCENT))
-    own, its = F.struct("l", "c", "r"), F.struct(F.col("bl").alias("l"), F.col("bc").alias("c"), F.col("br").alias("r"))
-    w = w.select(
-        F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other"),
-        F.struct(F.when(later, own).otherwise(its).alias("a"), F.when(later, its).otherwise(own).alias("b")).alias("p"),
-    )
-    pairs = stored(w.groupBy("node", "other").agg(F.collect_set("p").alias("w")))
-    wanted = stored(pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id", "node"))
-    s = _sequences(d, wanted)
-    both = pairs.join(s.withColumnRenamed("s", "s_a"), "node").join(s.withColumnsRenamed({"node": "other", "s": "s_b"}), "other")
-    names = ["node", "other", "first", "end", "other_first", "other_end", "similarity"]
-    schema = pa.schema([*((n, pa.int64()) for n in names[:-1]), ("similarity", pa.float64())])
+    heads = many.where("head").withColumnRenamed("block", "own")
+    pages = heads.groupBy("key").agg(F.expr(f"CAST(ceil(count(*) / {2 * BLOCK}) AS int)").alias("pages"))
+    page = F.expr("CAST(pmod(xxhash64(node, own), pages) AS int)")
+    left = heads.join(pages, "key").withColumn("page", page).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    right = many.withColumn("own", F.col("block")).join(pages, "key").withColumn("page", F.explode(F.expr("sequence(0, pages - 1)")))
+    names = ["key", "block", "page", "own", "searched", "node", "cx", "places"]
+    both = left.withColumn("searched", F.lit(True)).select(names).union(right.withColumn("searched", F.lit(False)).select(names))
+    schema = pa.schema(_SPAN)
 
     def run(batches):
-        for batch in batches:
-            out: dict[str, list] = {f: [] for f in names}
-            rows = zip(batch.column("node").to_pylist(), batch.column("other").to_pylist(), batch.column("w").to_pylist(), batch.column("s_a"), batch.column("s_b"))
-            for node, other, found, x, y in rows:
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                flat = [(*(p["a"][c] for c in "lcr"), *(p["b"][c] for c in "lcr")) for p in found]
-                for row in verified(a, b, flat, percent):
-                    for name, value in zip(names, (node, other, *row)):
-                        out[name].append(value)
-            yield records(schema, out)
-
-    return stored(both.select("node", "other", "w", "s_a", "s_b").mapInArrow(run, ", ".join([f"{n} long" for n in names[:-1]] + ["similarity double"])))
+        for t in whole_runs(batches, "key", "block", "page"):
+            w = Windows(t, "key", "block", "page")
+            searched, own = w.table["searched"].to_numpy(), w.table["own"].to_numpy()
+            ys = np.flatnonzero(searched)
+            w.search(ys, w.begin[ys], ys, percent, lambda x, y: ~searched[x] & (own[x] != own[y]))
+            yield from w.found(schema)
 
-
-def _uncovered(windows: DataFrame, spans: DataFrame, past: DataFrame) -> DataFrame:
-    """The windows whose minimum is in no passage that is reported in their text, without those of texts that led
-    their key already and so have met all its windows."""
-    inside = windows.join(spans.select("node", "first", "end"), "node").where("c >= first AND c < end").select("key", "node", "l", "c", "r").distinct()
-    return windows.join(inside, ["key", "node", "l", "c", "r"], "left_anti").join(past, ["key", "node"], "left_anti")
+    n = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(n, "key", "block", "page").sortWithinPartitions("key", "block", "page").mapInArrow(run, _SPAN_DDL)
 
 
 def repeated_passages(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), dup_of, similarity: passages of at least PASSAGE words that the
     document dup_of also holds, at a similarity of five-word shingle sets of percent or more.
 
-    Words are lower-cased in A-Z. Of documents with the same words, the one with the smallest doc_id stands for all;
-    each other is one passage as a whole. Of two others, the passage is reported in the one that is later in a fixed
-    order of content hashes, so at least one copy is never reported. Passages may overlap. Null, empty and shorter
-    texts: no rows. Repeated rows count as copies. Null doc_id: stands for its copies. Other columns are dropped;
-    empty table: no rows.
-
-    Keys that only one text has are dropped, then each window is compared with those of the smallest text of its key,
-    found by a grouped minimum. Where windows of a key are left without a passage, the smallest text among those leads
-    the key in the next of ROUNDS rounds. What is left then is compared with all windows of its key, in blocks.
+    Words are lower-cased in A-Z. Of documents with the same words, one without a doc_id, or else the one with the
+    smallest, stands for all; each other is one passage as a whole. Of two others, the passage is reported in the one
+    that is later in a fixed order of content hashes, so at least one copy is never reported. Each window of a text is
+    reported with one text that it is linked to; what overlaps with the same text is one passage, with the least
+    similarity of its parts. Null, empty and shorter texts: no rows. Repeated rows count as copies. Null doc_id: stands
+    for its copies. Other columns are dropped; empty table: no rows.
     """
     d = documents_of(docs)
-    rows = stored(_nodes(d))
+    frequent = frequent_shingles(d)
+    rows = stored(_rows(d, frequent))
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("x"), F.count("*").alias("copies")).select("node", F.col("x.doc_id").alias("doc_id"), "copies"))
-    shared = _windows(d).groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"))
-    shared = stored(shared.where("_first <> _last").select("key"))
-    bitmap = key_map(shared, "key", MAP_BITS)
-    windows = stored(_windows(d, bitmap).join(shared, "key").dropDuplicates(["key", "node", "l", "c", "r"]))
-    led, spans, past = windows, None, None
-    for turn in range(ROUNDS):
-        first = stored(led.groupBy("key").agg(F.min("node").alias("node")))
-        if turn and first.isEmpty():
-            break
-        leaders = stored(windows.join(first, ["key", "node"]).withColumnsRenamed(_OTHER))
-        found = _compared(windows, leaders, ["key"], d, nodes, percent)
-        spans = found if spans is None else spans.union(found)
-        past = first if past is None else past.union(first)
-        # keys of which all pairs of texts have a leader are compared completely by now
-        windows = stored(windows.join(windows.groupBy("key").agg(F.count_distinct("node").alias("_n")).where(F.col("_n") > 2 + turn).select("key"), "key"))
-        led = stored(_uncovered(windows, spans, past))
-    else:
-        sizes = led.groupBy("key").agg(F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS int)").alias("_blocks"))
-        left = led.join(sizes, "key").withColumn("_block", F.expr("CAST(pmod(xxhash64(node, c, l), _blocks) AS int)")).drop("_blocks")
-        every = windows.join(sizes, "key").withColumn("_block", F.explode(F.expr("sequence(0, _blocks - 1)"))).drop("_blocks")
-        spans = spans.union(_compared(left, every.withColumnsRenamed(_OTHER), ["key", "_block"], d, nodes, percent))
-    spans = spans.select("node", "other", "first", (F.col("end") + SHINGLE - 1).alias("end"), "similarity").distinct()
+    shared = rows.select(F.explode("keys").alias("key"), F.xxhash64("node").alias("half")).groupBy("key")
+    shared = stored(shared.agg(F.min("half").alias("_first"), F.max("half").alias("_last"), F.count("*").alias("n")).where("_first <> _last").select("key", "n"))
+    first = key_map(nodes.select(F.xxhash64("doc_id").alias("k")), "k", map_bits(nodes.count()))
+    windows = _windows(d, frequent, key_map(shared, "key", map_bits(shared.count())), first)
+    hot = shared.where(F.col("n") > BLOCK).select("key", F.expr(f"CAST(ceil(n / {BLOCK}) AS int)").alias("blocks"))
+    windows = windows.join(broadcast_if_small(stored(hot)), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    windows = windows.withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS int)"))
+    met = stored(_within_blocks(windows, percent))
+    spans = met.where("key is null").select("node", "other", "first", "end", "similarity")
+    many = met.where("key is not null").select("key", "block", "blocks", "head", "node", "cx", "places")
+    spans = spans.union(_across_blocks(many, percent))
+    # what overlaps is one passage
+    before = Window.partitionBy("node", "other").orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1)
+    begins = (F.col("first") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int")
+    spans = spans.withColumn("_b", begins).withColumn("_i", F.sum("_b").over(Window.partitionBy("node", "other").orderBy("first", "end")))
+    spans = spans.groupBy("node", "other", "_i").agg(F.min("first").alias("first"), (F.max("end") + SHINGLE - 1).alias("end"), F.min("similarity").alias("similarity"))
     names = nodes.select("node", "doc_id")
     spans = spans.join(names, "node").join(names.withColumnsRenamed({"node": "other", "doc_id": "dup_of"}), "other")
     spans = spans.select("doc_id", F.col("first").alias("start_word"), F.col("end").alias("end_word"), "dup_of", "similarity")
-    many = nodes.where("copies > 1").select("node", F.col("doc_id").alias("dup_of"))
-    copies = rows.join(many, "node").where(~F.col("doc_id").eqNullSafe(F.col("dup_of")))
+    several = nodes.where("copies > 1").select("node", F.col("doc_id").alias("dup_of"))
+    copies = rows.select("doc_id", "node", "n_words").join(several, "node").where(~F.col("doc_id").eqNullSafe(F.col("dup_of")))
     return spans.unionByName(copies.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), "dup_of", F.lit(1.0).alias("similarity")))
 
 

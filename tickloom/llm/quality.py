@@ -22,6 +22,8 @@ STATISTICS = {"word_length": 60, "symbols": 60, "dup_lines": 120, "repeats": 120
 SUPPORT, CONSISTENCY, REWEIGHT, CUTOFF = 0.75, 1.412, 12.833, 35.888
 #: Groups with fewer documents than this are pooled, first with those of their language, then with all others.
 MIN_GROUP = 50
+#: Groups whose estimates may be broadcast: some 20 MB.
+BROADCAST_GROUPS = 100_000
 C_STEPS = 3
 _D = list(STATISTICS)
 _PAIRS = [(i, j) for i in range(len(_D)) for j in range(i + 1)]
@@ -82,20 +84,25 @@ def transformed(stats: DataFrame) -> DataFrame:
     return stats.withColumns({k: F.floor(v * 1000 + 0.5).cast("long") for k, v in values.items()})
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
+def _per_group(groups: int):
+    """What a table of one row a group is passed through before a join: a broadcast if there are few enough groups,
+    so that rows of a hot group stay where they are."""
+    return F.broadcast if groups <= BROADCAST_GROUPS else lambda df: df
+
+
+def _grouped(rows: DataFrame, sizes: DataFrame, min_group: int, few) -> DataFrame:
     """Adds g, the group that each row is judged in; null where even the pool of all small groups is too small."""
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("_n"))
-    by_lang = sizes.where(F.col("_n") < MIN_GROUP).groupBy("lang").agg(F.sum("_n").alias("_nl"))
-    rest = by_lang.where(F.col("_nl") < MIN_GROUP).agg(F.coalesce(F.sum("_nl"), F.lit(0)).alias("_nr"))
+    by_lang = sizes.where(F.col("_n") < min_group).groupBy("lang").agg(F.sum("_n").alias("_nl"))
+    rest = by_lang.where(F.col("_nl") < min_group).agg(F.coalesce(F.sum("_nl"), F.lit(0)).alias("_nr"))
     own = sizes.join(by_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").crossJoin(F.broadcast(rest))
     part = lambda c: F.coalesce(F.regexp_replace(F.col(c), "/", "//"), F.lit("/null"))
     own = own.select(
         F.col("lang").alias("_gl"), F.col("source").alias("_gs"),
-        F.when(F.col("_n") >= MIN_GROUP, F.concat(part("lang"), F.lit(" / "), part("source")))
-        .when(F.col("_nl") >= MIN_GROUP, F.concat(part("lang"), F.lit(" / *")))
-        .when(F.col("_nr") >= MIN_GROUP, F.lit("* / *")).alias("g"),
+        F.when(F.col("_n") >= min_group, F.concat(part("lang"), F.lit(" / "), part("source")))
+        .when(F.col("_nl") >= min_group, F.concat(part("lang"), F.lit(" / *")))
+        .when(F.col("_nr") >= min_group, F.lit("* / *")).alias("g"),
     )
-    return rows.join(own, F.col("lang").eqNullSafe(F.col("_gl")) & F.col("source").eqNullSafe(F.col("_gs")), "left").drop("_gl", "_gs")
+    return rows.join(few(own), F.col("lang").eqNullSafe(F.col("_gl")) & F.col("source").eqNullSafe(F.col("_gs")), "left").drop("_gl", "_gs")
 
 
 def _moments(rows: DataFrame, keys: list[str], factor: float) -> DataFrame:
@@ -125,47 +132,51 @@ def _squared_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", total).drop(*[f"_y{i}" for i in range(len(_D))])
 
 
-def _nearest(rows: DataFrame, distance: Column, keys: list[str]) -> DataFrame:
-    """The share SUPPORT of each group's rows that is nearest, with ties, by distance in steps of 1/64."""
-    q = rows.withColumn("_q", F.floor(F.least(distance, F.lit(1e4)) * 64).cast("long"))
+def _nearest(rows: DataFrame, distance: Column, keys: list[str], few) -> DataFrame:
+    """The share SUPPORT of each group's rows that is nearest, with ties, by distance in steps of about 1/4000 of it.
+
+    The steps are those of a logarithm, so that an aggregation buffer has few different values at any distance.
+    """
+    q = rows.withColumn("_q", F.floor(F.log1p(distance) * 4096).cast("long"))
     limit = stored(q.groupBy(*keys).agg(F.percentile("_q", SUPPORT).alias("_limit")))
-    return q.join(limit, keys).where(F.col("_q") <= F.col("_limit"))
+    return q.join(few(limit), keys).where(F.col("_q") <= F.col("_limit"))
 
 
-def minimum_covariance_determinant(rows: DataFrame) -> DataFrame:
+def minimum_covariance_determinant(rows: DataFrame, few=lambda df: df) -> DataFrame:
     """For each group g of rows(g, statistics): location and Cholesky factor of the reweighted MCD estimate.
 
     Two deterministic starts (nearest by scaled Euclidean and by scaled maximum norm around the coordinate medians)
     each take C_STEPS concentration steps; the smaller determinant wins, and all rows within REWEIGHT of it give the
-    final estimate.
+    final estimate. few: see _per_group().
     """
     medians = stored(rows.groupBy("g").agg(*[F.percentile(c, 0.5).alias(f"md_{c}") for c in _D]))
-    off = rows.join(medians, "g")
+    off = rows.join(few(medians), "g")
     scales = stored(off.groupBy("g").agg(*[F.percentile(F.floor(F.abs(F.col(c) - F.col(f"md_{c}"))), 0.5).alias(f"sc_{c}") for c in _D]))
     z = lambda c: F.abs(F.col(c) - F.col(f"md_{c}")) / (F.col(f"sc_{c}") * 1.4826 + F.lit(float(STATISTICS[c])))
-    starts = off.join(scales, "g").select("g", *_D, F.explode(F.array(
+    starts = off.join(few(scales), "g").select("g", *_D, F.explode(F.array(
         F.struct(F.lit(0).alias("start"), sum((z(c) * z(c) for c in _D[1:]), z(_D[0]) * z(_D[0])).alias("far")),
         F.struct(F.lit(1).alias("start"), F.greatest(*[z(c) for c in _D]).alias("far")),
     )).alias("x")).select("g", *_D, "x.*")
     both = rows.select("g", *_D).crossJoin(F.broadcast(rows.sparkSession.range(2).select(F.col("id").cast("int").alias("start"))))
     keys = ["g", "start"]
-    moments = _moments(_nearest(starts, F.col("far"), keys), keys, CONSISTENCY)
+    moments = _moments(_nearest(starts, F.col("far"), keys, few), keys, CONSISTENCY)
     for _ in range(C_STEPS):
-        near = _nearest(_squared_distance(both.join(moments, keys)), F.col("d2"), keys)
+        near = _nearest(_squared_distance(both.join(few(moments), keys)), F.col("d2"), keys, few)
         moments = _moments(near.select(*keys, *_D), keys, CONSISTENCY)
     best = moments.groupBy("g").agg(F.min(F.struct("log_det", "start")).alias("b")).select("g", F.col("b.start").alias("start"))
-    raw = _squared_distance(rows.join(moments.join(best, keys).drop("start"), "g"))
+    raw = _squared_distance(rows.join(few(moments.join(best, keys).drop("start")), "g"))
     return _moments(raw.where(F.col("d2") <= REWEIGHT).select("g", *_D), ["g"], 1.0)
 
 
-def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, lang, source, the base statistics, base_failed, d2 and kept for each row of docs.
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+    """doc_id, lang, source, the base statistics, base_failed, judged_in, d2 and kept for each row of docs.
 
     base_failed: fewer than 50 words, or over half of the words in three-word windows that recur in the document.
     Of the others, those whose squared robust distance in their language and source exceeds the cutoff are not kept
     either. Null text: no words, so base_failed. Null lang or source: a group of its own. Repeated rows: each counts.
-    Groups too small to estimate are pooled (MIN_GROUP); documents of a pool that is still too small have no
-    distance and are kept. Empty table: no rows. Other columns are dropped.
+    Groups of fewer than min_group such documents are pooled: a covariance of five statistics can't be estimated from
+    a handful. judged_in names the group or pool ("en / web", "en / *", "* / *"); it is null, and the document has
+    no distance and is kept, where even the pool of all is too small. Empty table: no rows. Other columns are dropped.
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     d = docs.select(
@@ -176,8 +187,12 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     )
     stats = stored(stats.select("doc_id", "lang", "source", *counts, "base_failed", *_D))
-    rows = stored(_grouped(stats.where(~F.col("base_failed"))))
-    found = minimum_covariance_determinant(rows.where(F.col("g").isNotNull()))
-    judged = _squared_distance(rows.join(found, "g", "left")).select("doc_id", "lang", "source", *counts, "base_failed", "d2")
-    failed = stats.where("base_failed").select("doc_id", "lang", "source", *counts, "base_failed", F.lit(None).cast("double").alias("d2"))
+    good = stats.where(~F.col("base_failed"))
+    sizes = stored(good.groupBy("lang", "source").agg(F.count("*").alias("_n")))
+    few = _per_group(sizes.count())
+    rows = stored(_grouped(good, sizes, min_group, few))
+    found = minimum_covariance_determinant(rows.where(F.col("g").isNotNull()), few)
+    judged = _squared_distance(rows.join(few(found), "g", "left")).select("doc_id", "lang", "source", *counts, "base_failed", F.col("g").alias("judged_in"), "d2")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("judged_in", "string"), ("d2", "double"))]
+    failed = stats.where("base_failed").select("doc_id", "lang", "source", *counts, "base_failed", *none)
     return judged.unionByName(failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False)))

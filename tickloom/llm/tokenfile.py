@@ -1,7 +1,7 @@
 """Token files: independent zstandard frames, a document index, and a trailing seek table with checksums.
 
-Layout: zstandard frames, each of whole documents; a skippable frame with the index (document ids, ids of each
-document, documents of each frame); a skippable frame with the seek table. Ids are little-endian unsigned 32-bit.
+Layout: zstandard frames, each of whole documents; a skippable frame with the index (a checksum; document ids, ids of
+each document, documents of each frame); a skippable frame with the seek table. Ids are little-endian unsigned 32-bit.
 The seek table follows the public zstandard seekable format (version 0.1.0), so other readers can use it.
 """
 
@@ -55,6 +55,8 @@ class Writer:
 
     def _flush(self) -> None:
         data = b"".join(self.pending)
+        if len(data) >= 1 << 32:
+            raise ValueError("a document of 4 GiB of ids doesn't fit into a frame of the seekable format")
         frame = self.compressor.compress(data)
         self.out.write(frame)
         self.table.append((len(frame), len(data), _checksum(data)))
@@ -68,6 +70,7 @@ class Writer:
             np.array(x, kind).tobytes() for x, kind in ((self.doc_ids, "<i8"), (self.lengths, "<u4"), (self.docs_of_frame, "<u4"))
         )
         body = self.compressor.compress(body)
+        body = struct.pack("<I", _checksum(body)) + body
         self.out.write(struct.pack("<II", INDEX_MAGIC, len(body)) + body)
         self.table.append((len(body) + 8, 0, 0))
         entries = b"".join(struct.pack("<III", *x) for x in self.table) + struct.pack("<IBI", len(self.table), HAS_CHECKSUMS, SEEKABLE_MAGIC)
@@ -91,7 +94,10 @@ class Reader:
         self.table = np.frombuffer(file.read(12 * n), "<u4").reshape(n, 3).astype(np.int64)
         self.begins = np.concatenate(([0], np.cumsum(self.table[:, 0])))
         file.seek(int(self.begins[n - 1]) + 8)
-        body = self.decompressor.decompress(file.read(int(self.table[n - 1, 0]) - 8))
+        body = file.read(int(self.table[n - 1, 0]) - 8)
+        if _checksum(body[4:]) != struct.unpack("<I", body[:4])[0]:
+            raise ValueError("the index is damaged")
+        body = self.decompressor.decompress(body[4:])
         docs, frames = struct.unpack("<II", body[:8])
         self.doc_ids = np.frombuffer(body, "<i8", docs, 8)
         self.lengths = np.frombuffer(body, "<u4", docs, 8 + 8 * docs).astype(np.int64)

@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with bounded caches of words and of the pieces in them.
 
 A byte-level pre-tokenizer always begins a new piece at a space that follows a character other than white space, and
-merges never cross pieces. So the ids of a text are those of its parts between such spaces, and parts recur.
+merges never cross pieces. So the ids of a text are those of its parts between such spaces, and parts recur: those of
+many texts are hashed at once, only distinct ones are encoded, and the ids are gathered in the order of the text.
 """
 
 from __future__ import annotations
@@ -9,14 +10,24 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
+
+import numpy as np
+import pandas as pd
+
+from tickloom.llm.common import hashes_of
 
 #: Words and pieces whose ids are kept, and the longest that are; they bound the memory of a Python worker.
-CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 400_000, 250_000, 40
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
-_SAFE_SPLIT = re.compile(r"(?<=\S) ")
+CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 1_000_000, 100_000, 40
+#: Texts with a space after one of these are encoded by the library as a whole; so are those with added tokens.
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+#: Bytes of text that are encoded together.
+TOGETHER = 1 << 21
 # The pre-tokenizer's pattern for ASCII text, and the characters that stand for bytes in its pieces
 _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
-_BYTE_CHARS = {b: chr(256 + b if b < 33 else 289) for b in [*range(33), 127]}
+_BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 def pieces_of(tokenizer, text: str) -> list[str]:
@@ -43,22 +54,6 @@ class _Pieces(dict):
         return found
 
 
-class _Words(dict):
-    """Ids of words, by their pieces; before every word stands a space."""
-
-    def __init__(self, tokenizer, pieces: _Pieces):
-        super().__init__()
-        self.tokenizer, self.pieces = tokenizer, pieces
-
-    def __missing__(self, word: str) -> bytes:
-        found = b"".join([self.pieces[p] for p in pieces_of(self.tokenizer, " " + word)])
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-
 class Encoder:
     """Little-endian unsigned 32-bit ids, as bytes, of each text (null: empty), as the library's encode() gives them without adding any.
 
@@ -76,21 +71,69 @@ class Encoder:
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
         self.pieces = _Pieces(self.tokenizer)
-        self.words = _Words(self.tokenizer, self.pieces)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words: dict[int, bytes] = {}
+
+    def _word(self, key: int, part: bytes) -> bytes:
+        """Ids of a part of a text, by its pieces; a space and Latin letters are one."""
+        text = part.decode("utf-8", "surrogatepass")
+        if text[0] == " " and text[1:].isalpha() and max(text) < "\u0250":
+            found = array("I", [t.id for t in self.tokenize(part.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        else:
+            found = b"".join([self.pieces[p] for p in pieces_of(self.tokenizer, text)])
+        if len(part) <= CACHE_CHARS:
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            self.words[key] = found
+        return found
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts that aren't empty."""
+        data = b"".join(texts)
+        b = np.frombuffer(data, np.uint8)
+        begins = np.cumsum([0, *map(len, texts)])
+        cut = np.zeros(len(b), bool)
+        cut[1:] = (b[1:] == 32) & ~_WHITE[b[:-1]]
+        cut[begins[:-1]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(b))
+        code, keys = pd.factorize(hashes_of(b, starts, ends))
+        first = np.empty(len(keys), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        keys = keys.tolist()
+        ids = list(map(self.words.get, keys))
+        for i, x in enumerate(ids):
+            if x is None:
+                ids[i] = self._word(keys[i], data[starts[first[i]] : ends[first[i]]])
+        size = np.array([len(x) for x in ids]) // 4
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[code]
+        total = np.concatenate(([0], np.cumsum(n)))
+        out = flat[np.repeat(at[code] - total[:-1], n) + np.arange(total[-1])]
+        edges = total[np.searchsorted(starts, begins)]
+        return [out[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:])]
 
     def encode(self, texts: list) -> list[bytes]:
-        pieces, word = self.pieces, self.words.__getitem__
-        out = []
-        for text in texts:
+        out, plain, size = [b""] * len(texts), [], 0
+
+        def flush():
+            for i, x in zip([i for i, _ in plain], self._plain([x for _, x in plain]) if plain else ()):
+                out[i] = x
+            plain.clear()
+
+        for i, text in enumerate(texts):
             if not text:
-                out.append(b"")
                 continue
-            if self.added.search(text):
+            if self.added.search(text) or not text.isascii() and _WIDE_SPACE.search(text):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
                 continue
-            first, *rest = _SAFE_SPLIT.split(text) if _SPACE_AFTER_SPACE.search(text) else text.split(" ")
-            out.append(b"".join([*(pieces[p] for p in pieces_of(self.tokenizer, first)), *map(word, rest)]))
+            plain.append((i, text.encode("utf-8", "surrogatepass")))
+            size += len(plain[-1][1])
+            if size >= TOGETHER:
+                flush()
+                size = 0
+        flush()
         return out
 
 
@@ -104,7 +147,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded_batches(batch, path: str, characters: int = 500_000):
+def encoded_batches(batch, path: str, characters: int = 2_000_000):
     """(row, ids) of a record batch's text column, a bounded number of characters at a time."""
     at, texts, size = 0, [], 0
     encode = encoder(path).encode

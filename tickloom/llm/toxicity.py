@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import documents_of, records
+from tickloom.llm.common import documents_of, records, stored
 
 ORDERS = (3, 4, 5)
 #: n-grams are hashed into this many buckets; the model keeps those whose log-count ratio is most certain.
 BUCKET_BITS, FEATURES = 18, 4096
-#: Labelled rows that the weights are fitted on, at most; the counts come from all labelled training rows.
+#: Labelled documents that the classifier is fitted on, at most: those whose ids have the smallest hashes.
 MAX_FIT_ROWS = 20_000
-SMOOTHING, RIDGE, STEPS = 0.5, 1e-3, 300
+SMOOTHING, RIDGE, STEPS = 0.5, 1e-3, 150
 
 
 def ngram_buckets(text: str | None, chunk: int = 1 << 18):
@@ -39,35 +39,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, y of the labelled rows outside the held-out fold; rows without text or label say nothing."""
+def training_ids(labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list[tuple[int, int]]:
+    """(doc_id, y) of at most so many labelled ids outside the held-out fold, those with the smallest hashes.
+
+    The ids are thinned out by a threshold on the hash first, so that few more than asked for are ever sorted.
+    """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1)")
-    y = y.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return documents_of(docs).where("text is not null").join(y, "doc_id")
+    y = y.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+    total = y.count()
+    below = int(min(1.0, (1.2 * max_fit_rows + 1000) / max(total, 1)) * (1 << 40))
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    return [(r.doc_id, r.y) for r in y.where(order < below).orderBy(order, "doc_id").limit(max_fit_rows).collect()]
 
 
-def class_counts(rows: DataFrame) -> DataFrame:
-    """bucket, c0, c1: documents of either class that hold an n-gram of the bucket; summed within tasks first."""
-    schema = pa.schema([("bucket", pa.int32()), ("c0", pa.int64()), ("c1", pa.int64())])
+def training_rows(docs: DataFrame, ids: list[tuple[int, int]]) -> DataFrame:
+    """doc_id, y, buckets (the distinct ones of the text) of the documents with these ids, as a stored table.
+
+    The ids are broadcast: there are MAX_FIT_ROWS of them at most, whatever the input, and only these documents'
+    buckets move. Of several texts with the same id, the smallest counts.
+    """
+    few = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int"))
+    rows = documents_of(docs).where("text is not null").join(few, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("buckets", pa.list_(pa.int32()))])
 
     def count(batches):
-        seen, counts = np.zeros(1 << BUCKET_BITS, bool), np.zeros((2, 1 << BUCKET_BITS), np.int64)
-        n = [0, 0]
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                for buckets in ngram_buckets(text):
-                    seen[buckets] = True
-                counts[y] += seen
-                seen[:] = False
-                n[y] += 1
-        found = np.flatnonzero(counts.any(axis=0))
-        for at in range(0, len(found), 100_000):
-            f = found[at : at + 100_000]
-            yield records(schema, {"bucket": f.astype(np.int32), "c0": counts[0, f], "c1": counts[1, f]})
-        yield records(schema, {"bucket": [-1], "c0": [n[0]], "c1": [n[1]]})  # the documents themselves
-
-    out = rows.select("text", "y").mapInArrow(count, "bucket int, c0 long, c1 long")
-    return out.groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+            found = [np.unique(np.concatenate(list(ngram_buckets(t)))).astype(np.int32) for t in batch.column("text").to_pylist()]
+            yield records(schema, {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "buckets": found})
+
+    return stored(rows.select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, buckets array<int>"))
+
+
+def class_counts(rows: DataFrame) -> DataFrame:
+    """bucket, c0, c1: documents of either class that hold an n-gram of the bucket; bucket -1: all documents."""
+    one = lambda k: F.sum((F.col("y") == k).cast("long")).alias(f"c{k}")
+    held = rows.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(one(0), one(1))
+    return held.union(rows.agg(*(F.coalesce(one(k), F.lit(0)).alias(f"c{k}") for k in (0, 1))).select(F.lit(-1), "c0", "c1"))
 
 
 class Model:
@@ -105,20 +112,19 @@ def _ratios(counts: DataFrame) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
-    """Log-count ratios from all training rows, then a ridge logistic regression on the scaled features of a bounded,
-    hash-ordered sample of them. Without labelled rows of both classes the score is the smoothed base rate."""
-    rows = training_rows(docs, labels)
+    """Log-count ratios, and then a ridge logistic regression on the features scaled by them, from a bounded hash sample
+    of labelled documents outside the held-out fold. The rows are sorted, so that the model is the same for any
+    partitioning. Without labelled rows of both classes the score is the smoothed base rate."""
+    rows = training_rows(docs, training_ids(labels, max_fit_rows))
     model = _ratios(class_counts(rows))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("f", pa.list_(pa.int32()))])
 
     def features(batches):
         for batch in batches:
-            found = [model.present(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([f.tolist() for f in found], pa.list_(pa.int32()))], ["y", "f"])
+            found = [np.sort(f[f >= 0]) for f in (model.feature[b.values.to_numpy()] for b in batch.column("buckets"))]
+            yield records(schema, {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "f": found})
 
-    near = sample.select("doc_id", "y")
-    fitted = rows.select("doc_id", "text", "y").join(near.select("doc_id").distinct(), "doc_id").select("y", "text")
-    t = fitted.mapInArrow(features, "y int, f array<int>").toArrow()
+    t = rows.mapInArrow(features, "doc_id long, y int, f array<int>").toArrow().sort_by("doc_id")  # max_fit_rows at most
     y = t["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return model
@@ -129,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
     w, b = np.ones(len(model.ratio)) * 0.1, model.bias
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):  # Adam on the whole sample
-        margin = b + np.bincount(row, value * w[column], len(y))
+        margin = b + np.bincount(row, (model.ratio * w)[column], len(y))
         off = 1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y
         g = np.append(np.bincount(column, value * off[row], len(w)) / len(y) + RIDGE * w, off.mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
