@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage reads what its predecessor has written, and returns a DataFrame.
 
-Decisions are joined to the documents by doc_id. Rows that share a doc_id are told apart by nothing else, so they
-share a decision; rows without a doc_id are one such group, except where a stage says otherwise. Null and empty texts,
+Decisions are joined to the documents by doc_id. Rows that share a doc_id share a decision; rows without a doc_id are
+one such group, except where a stage says otherwise. Null and empty texts,
 extra columns and empty tables pass as each stage's operator defines.
 """
 
@@ -31,16 +31,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join stays: the one with the smallest doc_id, once.
+    """One document of each component of the n-gram Jaccard join stays: the one with the smallest doc_id (rows without
+    one come last) and, of texts that share it, the smallest hash; of rows that are equal in both, one stays.
 
-    Documents without words are linked with nothing and stay; so do rows without a doc_id.
+    Documents without words are linked with nothing and stay.
     """
-    first = jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
-    first = first.withColumnRenamed("doc_id", "_id")
-    kept = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("_id"))
-    # dealt out by doc_id already, so this sends no row anywhere
-    once = kept.dropDuplicates(["_id"]).select(*docs.columns)
-    return once.unionByName(docs.where("doc_id is null"))
+    rows = jaccard_components(docs)
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"), F.lit(True).alias("_once"))
+    wordless = rows.where("component is null").select("doc_id", "text_hash", F.lit(False)).distinct()
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    kept = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.col("text").cast("string"))}).join(first.union(wordless), same)
+    once = kept.where("_once").dropDuplicates(["_own", "_text"])
+    return once.unionByName(kept.where("not _once")).select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
