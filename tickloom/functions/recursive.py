@@ -1,33 +1,42 @@
 """First-order recurrences along a symbol's bars: exponential means, Wilder's means, stochastic lines, zigzag.
 
-A symbol's series is gathered in order and folded with aggregate(); nothing leaves the JVM. A group is one symbol's
-bars, a few thousand rows; symbols are what the work is spread over.
+A symbol's bars are one group of a grouped pass over Arrow batches, in order of time; the recurrences themselves are
+pandas' compiled exponential means, linear in the number of rows. A group is one symbol's bars, a few thousand rows;
+symbols are what the work is spread over. Rows that are dealt out by symbol already stay where they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def grouped(df: DataFrame, run, added: str, key: str = "symbol", time: str = "d") -> DataFrame:
+    """df with the columns (DDL) that run(the rows of a key in order of time) adds."""
+    schema = StructType(df.schema.fields + StructType.fromDDL(added).fields)
+    names = schema.names
 
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        return run(rows.sort_values(time, ignore_index=True))[names]
 
-def series(bars: DataFrame, *values: Column, key: str = "symbol", time: str = "d") -> DataFrame:
-    """key and s: the array of (time, values...) structs in order of time, one row for each key."""
-    return bars.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(time), *values))).alias("s"))
+    return df.groupBy(key).applyInPandas(each, schema)
 
 
-def folded(groups: DataFrame, first: Callable[[Column], Column], step: Callable[[Column, Column], Column], kind: str, key: str = "symbol") -> DataFrame:
-    """One row for each element: key and the fields of the state after it.
+def recurrences(df: DataFrame, spec: list[tuple[str, str, float | str]], key: str = "symbol", time: str = "d") -> DataFrame:
+    """df with y = alpha x + (1 - alpha) y for each (name of y, x, alpha), seeded with the first x that isn't null.
 
-    first(x) is the state at the first element, step(state, x) at each further one; kind is the state's struct type.
+    x is an expression of columns and of recurrences before it; alpha a number, or a column that is constant in a key.
     """
-    none = F.array().cast(f"array<{kind}>")
-    run = F.aggregate(
-        "s", none,
-        lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, first(x)).otherwise(step(F.element_at(acc, -1), x)).cast(kind))),
-    )
-    return groups.select(key, F.inline(run))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        for name, x, alpha in spec:
+            a = float(rows[alpha].iloc[-1]) if isinstance(alpha, str) else alpha
+            rows[name] = pd.to_numeric(rows.eval(x)).astype(float).ewm(alpha=a, adjust=False).mean()
+        return rows
+
+    return grouped(df, run, ", ".join(f"{name} double" for name, _, _ in spec), key, time)
 
 
 def ema_alpha(span: int) -> float:
@@ -37,37 +46,29 @@ def ema_alpha(span: int) -> float:
 def exponential(bars: DataFrame, alphas: dict[str, tuple[str, float]], key: str = "symbol", time: str = "d") -> DataFrame:
     """key, time and, for each name: (column, alpha), the recurrence y = alpha x + (1 - alpha) y, seeded with the first x."""
     columns = sorted({c for c, _ in alphas.values()})
-    groups = series(bars, *[F.col(c).cast("double").alias(c) for c in columns], key=key, time=time)
-    kind = bars.schema[time].dataType.simpleString()
-    shape = f"struct<{time}:{kind}," + ",".join(f"{n}:double" for n in alphas) + ">"
-    first = lambda x: F.struct(x[time].alias(time), *[x[c].alias(n) for n, (c, _) in alphas.items()])
-    step = lambda s, x: F.struct(x[time].alias(time), *[(F.lit(a) * x[c] + F.lit(1.0 - a) * s[n]).alias(n) for n, (c, a) in alphas.items()])
-    return folded(groups, first, step, shape, key)
+    given = bars.select(key, time, *[F.col(c).cast("double").alias(f"_{c}") for c in columns])
+    return recurrences(given, [(n, f"_{c}", a) for n, (c, a) in alphas.items()], key, time).drop(*[f"_{c}" for c in columns])
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """symbol, d, dif, dea and macd = 2 (dif - dea), in one fold."""
-    a, b, c = ema_alpha(fast), ema_alpha(slow), ema_alpha(signal)
-    groups = series(bars, F.col("close"))
-
-    def step(s: Column, x: Column) -> Column:
-        f, g = F.lit(a) * x["close"] + F.lit(1.0 - a) * s["f"], F.lit(b) * x["close"] + F.lit(1.0 - b) * s["g"]
-        return F.struct(x["d"].alias("d"), f.alias("f"), g.alias("g"), (F.lit(c) * (f - g) + F.lit(1.0 - c) * s["dea"]).alias("dea"))
-
-    out = folded(groups, lambda x: F.struct(x["d"].alias("d"), x["close"].alias("f"), x["close"].alias("g"), F.lit(0.0).alias("dea")), step, "struct<d:date,f:double,g:double,dea:double>")
+    """symbol, d, dif, dea and macd = 2 (dif - dea)."""
+    spec = [("f", "close", ema_alpha(fast)), ("g", "close", ema_alpha(slow)), ("dea", "f - g", ema_alpha(signal))]
+    out = recurrences(bars.select("symbol", "d", "close"), spec)
     return out.select("symbol", "d", (F.col("f") - F.col("g")).alias("dif"), "dea", (2 * (F.col("f") - F.col("g") - F.col("dea"))).alias("macd"))
 
 
 def stochastic(rsv: DataFrame, start: float = 50.0) -> DataFrame:
     """symbol, d, k, d_line, j from rsv(symbol, d, rsv): k and d_line are means of weight 1/3 that start from 50."""
-    groups = series(rsv, F.col("rsv"))
-    third = 1.0 / 3.0
 
-    def after(k: Column, d: Column, x: Column) -> Column:
-        new = F.lit(1 - third) * k + F.lit(third) * x["rsv"]
-        return F.struct(x["d"].alias("d"), new.alias("k"), (F.lit(1 - third) * d + F.lit(third) * new).alias("d_line"))
+    def line(x: pd.Series) -> pd.Series:
+        return pd.concat([pd.Series([start]), x]).ewm(alpha=1.0 / 3.0, adjust=False).mean().iloc[1:].reset_index(drop=True)
 
-    out = folded(groups, lambda x: after(F.lit(start), F.lit(start), x), lambda s, x: after(s["k"], s["d_line"], x), "struct<d:date,k:double,d_line:double>")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows["k"] = line(rows["rsv"])
+        rows["d_line"] = line(rows["k"])
+        return rows
+
+    out = grouped(rsv.select("symbol", "d", "rsv"), run, "k double, d_line double").drop("rsv")
     return out.withColumn("j", 3 * F.col("k") - 2 * F.col("d_line"))
 
 
@@ -77,13 +78,22 @@ def zigzag(bars: DataFrame, percent: float = 5.0) -> DataFrame:
     A leg turns once the close has moved by percent against its extreme.
     """
     up, down = 1 + percent / 100, 1 - percent / 100
-    groups = series(bars, F.col("close"))
-
-    def step(s: Column, x: Column) -> Column:
-        c, e, way = x["close"], s["extreme"], s["direction"]
-        turn_down, turn_up = (way >= 0) & (c <= e * down), (way <= 0) & (c >= e * up)
-        new_way = F.when(turn_down, -1).when(turn_up, 1).otherwise(way)
-        new_e = F.when(turn_down | turn_up, c).when(way > 0, F.greatest(e, c)).when(way < 0, F.least(e, c)).otherwise(e)
-        return F.struct(x["d"].alias("d"), new_way.alias("direction"), new_e.alias("extreme"))
 
-    return folded(groups, lambda x: F.struct(x["d"].alias("d"), F.lit(0).alias("direction"), x["close"].alias("extreme")), step, "struct<d:date,direction:int,extreme:double>")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ways, extremes = [], []
+        way, e = 0, None
+        for c in rows["close"].tolist():
+            if e is None:
+                e = c
+            elif way >= 0 and c <= e * down:
+                way, e = -1, c
+            elif way <= 0 and c >= e * up:
+                way, e = 1, c
+            elif way:
+                e = max(e, c) if way > 0 else min(e, c)
+            ways.append(way)
+            extremes.append(e)
+        rows["direction"], rows["extreme"] = ways, extremes
+        return rows
+
+    return grouped(bars.select("symbol", "d", "close"), run, "direction int, extreme double").drop("close")

@@ -19,6 +19,9 @@ QUERIES, SQL = {}, {}
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, or under one of our own where that is unset."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not top and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{top or 'file://' + tempfile.mkdtemp(prefix='tickloom-stream-')}/{uuid.uuid4().hex}"
 
 
@@ -41,6 +44,7 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     spark = stream.sparkSession
     folder = shared_folder(spark)
     state: dict[str, str] = {}
+    stream_schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
         state["path"] = f"{folder}/batch-{number}"
@@ -48,6 +52,8 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     q.awaitTermination()
+    if "path" not in state:  # nothing was available
+        return spark.createDataFrame([], stream_schema)
     return spark.read.parquet(state["path"])
 
 
@@ -107,16 +113,18 @@ def tier_stream(stream: DataFrame) -> DataFrame:
 
 
 def tiers(rows: DataFrame) -> DataFrame:
-    """The same state machine over a table (symbol, d, probability), as a fold; one row for each of a symbol's days."""
-    from tickloom.functions.recursive import folded, series
-
-    def after(tier, low, x):
-        p = x["probability"]
-        count = F.when(p >= ACTIVE, 0).when(p < OBSERVE, low + 1).otherwise(0)
-        new = F.when(p >= ACTIVE, "active").when(count >= DORMANT_DAYS, "dormant").when((tier == "dormant") & (p < OBSERVE), "dormant").when((tier == "active") & (p >= OBSERVE), "active").otherwise("observe")
-        return F.struct(x["d"].alias("d"), new.alias("tier"), count.alias("low_days"))
-
-    return folded(series(rows, F.col("probability")), lambda x: after(F.lit("observe"), F.lit(0), x), lambda s, x: after(s["tier"], s["low_days"], x), "struct<d:date,tier:string,low_days:int>")
+    """The same state machine over a table (symbol, d, probability); one row for each of a symbol's days."""
+    from tickloom.functions.recursive import grouped
+
+    def run(days: pd.DataFrame) -> pd.DataFrame:
+        state, found = ("observe", 0), []
+        for p in days["probability"].tolist():
+            state = next_tier(*state, p)
+            found.append(state)
+        days["tier"], days["low_days"] = zip(*found)
+        return days
+
+    return grouped(rows.select("symbol", "d", "probability"), run, "tier string, low_days int").drop("probability")
 
 
 def pool_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
