@@ -212,6 +212,19 @@ def test_passages_beyond_the_leaders(spark):
     assert all(r.end_word - r.start_word >= 50 for r in got) and not {r.doc_id for r in got} & set(range(60))
 
 
+def test_passages_over_blocks(spark, monkeypatch):
+    # the keys of a common passage are dealt out in many blocks; the results are the same
+    monkeypatch.setattr(passages, "BLOCK", 8)
+    part, near = prose(60, 70).split(), None
+    rows = []
+    for i in range(120):
+        near = part.copy()
+        near[10 + i % 50] = f"q{i}"
+        rows.append((i, f"{prose(6000 + i, 60)} {' '.join(near if i % 2 else part)} {prose(7000 + i, 60)}"))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id for r in got}) == 119 and all(50 <= r.end_word - r.start_word <= 90 for r in got)
+
+
 def test_passages_behind_an_earlier_occurrence(spark):
     # the leader has the shared line twice, and only the second time what follows it
     rows, seed = [], 0
@@ -398,9 +411,10 @@ def test_counts_bound_the_overlap():
     for n, m in ((10, 12), (300, 350), (5000, 6000)):
         a, b = (np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
         b = np.unique(np.concatenate((b, a[: n // 2])))
-        for groups in (jaccard.GROUPS, jaccard.FINE):
-            x, y = jaccard.count_vectors([a, b], groups)
-            assert x.sum(dtype=int) == len(a) and n // 2 <= np.minimum(x, y).sum(dtype=int) <= min(len(a), len(b))
+        x, y = jaccard.count_vector(a), jaccard.count_vector(b)
+        for groups in (jaccard.GROUPS, min(len(x), len(y))):
+            p, q = jaccard.folded(x, groups), jaccard.folded(y, groups)
+            assert p.sum(dtype=int) == len(a) and n // 2 <= np.minimum(p, q).sum(dtype=int) <= min(len(a), len(b))
 
 
 def test_jaccard_over_pages(spark, monkeypatch):

@@ -25,8 +25,9 @@ from tickloom.llm.common import (
     records, runs, shingles, signed, stored,
 )
 
-#: Coordinates of the R-tree's boxes, and of the points in its leaves, whose neighbours add up to the former.
-GROUPS, FINE = 64, 256
+#: Coordinates of the R-tree's boxes, and least and most of the points in its leaves: one for two shingles, as a power
+#: of two. Neighbouring coordinates add up to those of fewer groups.
+GROUPS, FINE = 64, (256, 16384)
 #: Rows of a leaf; members and shingles of a page: what one task holds at a time.
 LEAF, PAGE, PAGE_SHINGLES = 32, 4096, 8_000_000
 
@@ -37,13 +38,20 @@ def shingle_set(h: np.ndarray) -> np.ndarray:
     return np.unique(shingles(h, SHINGLE))
 
 
-def count_vectors(sets: list[np.ndarray], groups: int) -> np.ndarray:
-    """Counts of each set's shingles in so many groups (a power of two), one row for each set."""
-    bits = np.uint64(64 - (groups - 1).bit_length())
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    group = (np.concatenate(sets) * _SPREAD >> bits).astype(np.int64)
-    counts = np.bincount(row * groups + group, minlength=len(sets) * groups).reshape(len(sets), groups)
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
+def width(n: int) -> int:
+    """Coordinates of the point of a set of n shingles."""
+    return min(max(1 << (max(n, 1) // 2).bit_length(), FINE[0]), FINE[1])
+
+
+def count_vector(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles in width(n) groups."""
+    groups = width(len(s))
+    counts = np.bincount((s * _SPREAD >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8 if len(s) < 256 or counts.max() < 256 else np.uint32)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    return point if len(point) == groups else point.reshape(groups, -1).sum(axis=1, dtype=np.uint32)
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -71,8 +79,12 @@ class Group:
     """Points, and the part (a number) that each belongs to so far. Pairs whose bounds allow a link join their parts;
     with the sets themselves, only true links do, and links has those that joined two parts."""
 
-    def __init__(self, fine: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent: int, sets: list[np.ndarray] | None = None):
-        self.fine, self.sizes, self.part, self.percent, self.sets = fine, sizes, parts.copy(), percent, sets
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray, parts: np.ndarray, percent: int, sets: list[np.ndarray] | None = None):
+        self.sizes, self.part, self.percent, self.sets = sizes, parts.copy(), percent, sets
+        self.points = np.array([folded(p, GROUPS) for p in points]).astype(np.int64)
+        self.width = np.array([len(p) for p in points])
+        # for each width the points that have as many coordinates or more, with so many
+        self.fine = {w: np.array([folded(p, w) if len(p) >= w else np.zeros(w, p.dtype) for p in points]) for w in np.unique(self.width)}
         self.links: list[tuple[int, int]] = []
 
     def fit(self, overlap: np.ndarray, i: np.ndarray | int, j: np.ndarray | int) -> np.ndarray:
@@ -81,7 +93,15 @@ class Group:
 
     def bounded(self, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
         """Whether the sums of the coordinates' minima are enough for a link."""
-        return self.fit(np.minimum(self.fine[i], self.fine[j]).sum(axis=1, dtype=np.int64), i, j)
+        i, j = np.broadcast_arrays(i, j)
+        most, at = np.zeros(len(j), np.int64), np.minimum(self.width[i], self.width[j])
+        near = 100 * np.minimum(self.sizes[i], self.sizes[j]) >= self.percent * np.maximum(self.sizes[i], self.sizes[j])
+        for w in np.unique(at[near]):
+            some = np.flatnonzero(near & (at == w))
+            for k in range(0, len(some), 2048):
+                x = some[k : k + 2048]
+                most[x] = np.minimum(self.fine[w][i[x]], self.fine[w][j[x]]).sum(axis=1, dtype=np.int64)
+        return near & self.fit(most, i, j)
 
     def join(self, i: int, others: np.ndarray) -> None:
         """Joins the parts of i and of those of the others, all within the bounds, that it is linked with."""
@@ -102,7 +122,7 @@ class Group:
             self.join(first, one[self.bounded(first, one)])
         if (self.part == self.part[0]).all():
             return
-        points = self.fine.reshape(len(self.fine), GROUPS, -1).sum(axis=2, dtype=np.int64)
+        points = self.points
         root = Box(points, self.sizes, one)
         stack = [(root, root if other is None else Box(points, self.sizes, other))]
         while stack:
@@ -146,7 +166,7 @@ def _rows(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
             doc_ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             for i, _, _, _, h in each_text(batch.column("text").to_pylist(), lower=True):
                 s = shingle_set(h)
-                row = (doc_ids[i], hashes[i], identity(s) if len(s) else None, len(s), signed(prefix(s, frequent, percent)), count_vectors([s], FINE).tobytes())
+                row = (doc_ids[i], hashes[i], identity(s) if len(s) else None, len(s), signed(prefix(s, frequent, percent)), count_vector(s).tobytes())
                 for name, value in zip(schema.names, row):
                     out[name].append(value)
             yield records(schema, out)
@@ -190,12 +210,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("x").alias("x"))
 
 
-def _points(column: pa.ChunkedArray) -> np.ndarray:
-    """Rows of counts; those above 255 are stored in more bytes."""
-    raw = column.to_pylist()
-    if all(len(x) == FINE for x in raw):
-        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, FINE)
-    return np.array([np.frombuffer(x, np.uint8 if len(x) == FINE else np.uint32) for x in raw], np.uint32)
+def _points(column: pa.ChunkedArray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Points of sets of these sizes; counts above 255 are stored in more bytes."""
+    return [np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) == width(int(n)) else np.uint32) for x, n in zip(column, sizes)]
 
 
 def _edges(tasks: DataFrame, percent: int, exact: bool) -> DataFrame:
@@ -214,7 +231,8 @@ def _edges(tasks: DataFrame, percent: int, exact: bool) -> DataFrame:
             if (part == part[0]).all() or p != q and (page == page[0]).all():
                 continue
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["x"]] if exact else None
-            group = Group(count_vectors(sets, FINE) if exact else _points(t["x"]), t["n"].to_numpy(), part, percent, sets)
+            n = t["n"].to_numpy()
+            group = Group([count_vector(x) for x in sets] if exact else _points(t["x"], n), n, part, percent, sets)
             rows = np.arange(len(part))
             group.search(int(lead.argmax()), *((rows,) if p == q else (np.flatnonzero(page == p), np.flatnonzero(page != p))))
             if group.links:
@@ -233,7 +251,8 @@ def _searched(members: DataFrame, payload: DataFrame, percent: int, exact: bool)
     allow no link), each searched with the group's leaders. Pages are searched with each other where their sizes allow
     links and the group is still in several parts.
     """
-    payload = stored(payload)
+    if not exact:
+        payload = stored(payload)
     sizes = members.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where(f"c > {PAGE} or w > {PAGE_SHINGLES}")
     sizes = stored(sizes.select("g"))
     whole = members if (none := sizes.isEmpty()) else members.join(sizes, "g", "left_anti")

@@ -4,8 +4,7 @@ A document is its sequence of five-word shingles. Under one hash function, the n
 shingles' hashes stands for all subsequences whose minimum is at its place; those of PASSAGE words or more form a
 compact window (left, place, right), of which there are about 2 n / PASSAGE. Windows of two documents with the same
 minimum hold subsequences that agree in that hash function; they meet in one task, where the intervals around their
-minima are joined and the shared passage is verified on the shingles. Frequent shingles come last in the order of
-hashes, so that a window's minimum is one of them only where there is nothing else.
+minima are joined and the shared passage is verified on the shingles.
 
 Every window is compared with the smallest text of its minimum, and those that aren't linked to it with all smaller
 ones. A minimum that very many windows have is dealt out in blocks; what is first in its block is then compared with
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import (
-    SHINGLE, SIMILARITY_PERCENT, broadcast_if_small, documents_of, each_chunk, each_text, frequent_shingles, identity, in_map, is_in, key_map, map_bits,
+    SHINGLE, SIMILARITY_PERCENT, broadcast_if_small, documents_of, each_chunk, each_text, identity, in_map, key_map, map_bits,
     records, shingles, stored, whole_runs,
 )
 
@@ -43,7 +42,6 @@ SKETCH_BITS, COMMON_BITS = 2048, 37
 
 _A = np.random.default_rng(4711).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _PLACES = np.random.default_rng(815).integers(1 << 62, 1 << 63, WIDTH, dtype=np.uint64) | np.uint64(1)
-_LATE = np.uint64(1 << 63)
 
 
 def hashed(s: np.ndarray, k: int) -> np.ndarray:
@@ -101,21 +99,20 @@ def compact_windows(v: np.ndarray, begins: np.ndarray, ends: np.ndarray, least:
     return np.stack((left, at, right), axis=1)[right - left + 1 >= least]
 
 
-def _windows_of(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of the words h of several texts (text i: bounds[i] to bounds[i + 1]), their windows, and the windows'
     keys (minimum, and the hash function in the last two bits)."""
     s = shingles(h)
-    late = np.where(is_in(s, frequent), _LATE, np.uint64(1))
     windows, keys = [], []
     for k in range(HASHES):
-        v = hashed(s, k) >> np.uint64(1) | late
+        v = hashed(s, k) | np.uint64(4)  # above 0, and so is its key
         w = compact_windows(v, bounds[:-1], bounds[1:] - SHINGLE + 1, LEAST)
         windows.append(w)
         keys.append((v[w[:, 1]] & ~np.uint64(3) | np.uint64(k)).view(np.int64))
     return s, np.concatenate(windows), np.concatenate(keys)
 
 
-def _rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, node (identity of the words), n_words and keys of the documents that are long enough to hold a passage."""
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
@@ -123,7 +120,7 @@ def _rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for numbers, h, bounds in each_chunk(batch.column("text").to_pylist(), lower=True, least=PASSAGE):
-                _, w, key = _windows_of(h, bounds, frequent)
+                _, w, key = _windows_of(h, bounds)
                 text = np.searchsorted(bounds, w[:, 1], "right") - 1
                 order = np.argsort(text, kind="stable")
                 offsets = np.searchsorted(text[order], np.arange(len(numbers) + 1)).astype(np.int32)
@@ -134,7 +131,7 @@ def _rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, node binary, n_words long, keys array<long>")
 
 
-def _windows(docs: DataFrame, frequent: np.ndarray, bitmap: bytes, first: bytes) -> DataFrame:
+def _windows(docs: DataFrame, bitmap: bytes, first: bytes) -> DataFrame:
     """key, node, cx (the WIDTH shingles around the minimum that are in the window, 32 bits each, 0 outside) and places
     (of the minima of the node's windows that look so) of what may be in the bitmap of keys. Documents that aren't in
     the bitmap of ids are left out: they are copies of others."""
@@ -147,7 +144,7 @@ def _windows(docs: DataFrame, frequent: np.ndarray, bitmap: bytes, first: bytes)
             for _, h, bounds in each_chunk(texts, lower=True, least=PASSAGE):
                 nodes = [identity(h[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:])]
                 new = np.array([not (x in seen or seen.add(x)) for x in nodes])
-                s, w, key = _windows_of(h, bounds, frequent)
+                s, w, key = _windows_of(h, bounds)
                 text = np.searchsorted(bounds, w[:, 1], "right") - 1
                 hit = in_map(key, bitmap) & new[text]
                 w, key, text = w[hit], key[hit], text[hit]
@@ -330,13 +327,14 @@ def _within_blocks(windows: DataFrame, percent: int) -> DataFrame:
 def _across_blocks(many: DataFrame, percent: int) -> DataFrame:
     """Spans of the heads of blocks that are linked to a smaller window of another block of their key.
 
-    The heads are dealt out in pages, and each block meets each page of its key's heads.
+    The blocks were sized by the texts of a key; here, the windows and the heads that there really are make blocks and
+    pages of bounded size, and each block meets each page. Where both are few, that is one task's work.
     """
-    heads = many.where("head").withColumnRenamed("block", "own")
-    pages = heads.groupBy("key").agg(F.expr(f"CAST(ceil(count(*) / {2 * BLOCK}) AS int)").alias("pages"))
-    page = F.expr("CAST(pmod(xxhash64(node, own), pages) AS int)")
-    left = heads.join(pages, "key").withColumn("page", page).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    right = many.withColumn("own", F.col("block")).join(pages, "key").withColumn("page", F.explode(F.expr("sequence(0, pages - 1)")))
+    sizes = many.groupBy("key").agg(F.expr(f"CAST(ceil(count(*) / {4 * BLOCK}) AS int)").alias("blocks"), F.expr(f"CAST(ceil(count_if(head) / {2 * BLOCK}) AS int)").alias("pages"))
+    at = many.withColumnRenamed("block", "own").drop("blocks").join(sizes, "key")
+    place = lambda n: F.expr(f"CAST(pmod(xxhash64(node, cx, own), {n}) AS int)")
+    left = at.where("head").withColumn("page", place("pages")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    right = at.withColumn("block", place("blocks")).withColumn("page", F.explode(F.expr("sequence(0, pages - 1)")))
     names = ["key", "block", "page", "own", "searched", "node", "cx", "places"]
     both = left.withColumn("searched", F.lit(True)).select(names).union(right.withColumn("searched", F.lit(False)).select(names))
     schema = pa.schema(_SPAN)
@@ -365,13 +363,12 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> Dat
     for its copies. Other columns are dropped; empty table: no rows.
     """
     d = documents_of(docs)
-    frequent = frequent_shingles(d)
-    rows = stored(_rows(d, frequent))
+    rows = stored(_rows(d))
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("x"), F.count("*").alias("copies")).select("node", F.col("x.doc_id").alias("doc_id"), "copies"))
-    shared = rows.select(F.explode("keys").alias("key"), F.xxhash64("node").alias("half")).groupBy("key")
+    shared = rows.select(F.explode(F.array_distinct("keys")).alias("key"), F.xxhash64("node").alias("half")).groupBy("key")
     shared = stored(shared.agg(F.min("half").alias("_first"), F.max("half").alias("_last"), F.count("*").alias("n")).where("_first <> _last").select("key", "n"))
     first = key_map(nodes.select(F.xxhash64("doc_id").alias("k")), "k", map_bits(nodes.count()))
-    windows = _windows(d, frequent, key_map(shared, "key", map_bits(shared.count())), first)
+    windows = _windows(d, key_map(shared, "key", map_bits(shared.count())), first)
     hot = shared.where(F.col("n") > BLOCK).select("key", F.expr(f"CAST(ceil(n / {BLOCK}) AS int)").alias("blocks"))
     windows = windows.join(broadcast_if_small(stored(hot)), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     windows = windows.withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS int)"))
