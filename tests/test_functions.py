@@ -128,3 +128,30 @@ def test_near_titles_folds_over_distinct_fingerprints(spark, capsys):
     assert {r.id for r in got.collect()} == want
     got.explain()
     assert "partial_min" in capsys.readouterr().out
+
+
+def test_greedy_locks_against_a_plain_scan():
+    import numpy as np
+
+    from tickloom.operators.features import greedy_locks
+
+    def plain(c):
+        ok = lambda w, first: all(0.85 * m <= x <= 1.15 * m for m in [float(np.median(w)) or 1.0] for x in w) and (np.std(w) / (np.median(w) or 1.0) * 100 < 8 if first else np.std(w) / (np.median(w) or 1.0) * 100 <= 8)
+        found, i = [], 0
+        while i <= len(c) - 20:
+            if not ok(c[i : i + 20], True):
+                i += 1
+                continue
+            start, i = i, i + 1
+            while i <= len(c) - 20 and ok(c[i : i + 20], False) and i < len(c) - 1:
+                i += 1
+            end = min(i + 19, len(c) - 1)
+            if end - start >= 10:
+                found.append((start, end))
+        return found
+
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        c = 100 * np.exp(np.cumsum(rng.normal(0, rng.choice([0.005, 0.03, 0.08]), 150)))
+        assert greedy_locks(c) == plain(c)
+    assert greedy_locks(np.ones(10)) == []

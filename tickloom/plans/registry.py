@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.operators import learning, market, patterns, relational, rolling, scorers, scoring, signals, structures, text
+from tickloom.operators import features, learning, market, patterns, relational, rolling, scorers, scoring, signals, structures, text
 from tickloom.streaming import bars as streaming
 
-_MODULES = (scoring, signals, scorers, structures, rolling, relational, patterns, market, text, learning, streaming)
+_MODULES = (scoring, signals, scorers, structures, features, rolling, relational, patterns, market, text, learning, streaming)
 QUERIES = {"latest_scan": scoring.latest_scan} | {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
