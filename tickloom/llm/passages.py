@@ -36,9 +36,10 @@ BLOCK = 1024
 #: Shingles on either side of a minimum that are compared: with those, every subsequence of LEAST around it is whole.
 REACH = LEAST - 1
 WIDTH = 2 * REACH + 1
-#: Bits of the sketches by which pairs are sorted out first. A shared passage gives 41 common shingles at least, and
-#: fewer than COMMON_BITS common bits only by an unlikely number of collisions (or by repetitions, which are allowed for).
-SKETCH_BITS, COMMON_BITS = 2048, 37
+#: Bits of the sketches by which pairs are sorted out first, and the share of the common shingles that a passage needs
+#: (41, or as many different ones as make up so many places) that must be common bits: fewer are an unlikely number of
+#: collisions.
+SKETCH_BITS, COMMON_SHARE, COARSE_BITS, COARSE_SHARE = 2048, 0.9, 512, 0.73
 
 _A = np.random.default_rng(4711).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _PLACES = np.random.default_rng(815).integers(1 << 62, 1 << 63, WIDTH, dtype=np.uint64) | np.uint64(1)
@@ -101,14 +102,21 @@ def compact_windows(v: np.ndarray, begins: np.ndarray, ends: np.ndarray, least:
 
 def _windows_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of the words h of several texts (text i: bounds[i] to bounds[i + 1]), their windows, and the windows'
-    keys (minimum, and the hash function in the last two bits)."""
+    keys (48 bits of the minimum, and the hash function)."""
     s = shingles(h)
+    # of equal shingles that with the smallest successor is the minimum: repetitive texts then have fewer minima
+    follows = np.zeros(len(s), np.uint64)
+    follows[: max(len(s) - SHINGLE, 0)] = s[SHINGLE:]
+    last = bounds[1:] - SHINGLE + 1
+    for k in range(SHINGLE):
+        follows[np.clip(last - 1 - k, 0, max(len(s) - 1, 0))] = 0
+    follows = follows >> np.uint64(48) | np.uint64(4)
     windows, keys = [], []
     for k in range(HASHES):
-        v = hashed(s, k) | np.uint64(4)  # above 0, and so is its key
-        w = compact_windows(v, bounds[:-1], bounds[1:] - SHINGLE + 1, LEAST)
+        v = hashed(s, k) & ~np.uint64(0xFFFF) | follows
+        w = compact_windows(v, bounds[:-1], last, LEAST)
         windows.append(w)
-        keys.append((v[w[:, 1]] & ~np.uint64(3) | np.uint64(k)).view(np.int64))
+        keys.append((v[w[:, 1]] >> np.uint64(16) << np.uint64(2) | np.uint64(k)).view(np.int64))
     return s, np.concatenate(windows), np.concatenate(keys)
 
 
@@ -165,9 +173,16 @@ def _windows(docs: DataFrame, bitmap: bytes, first: bytes) -> DataFrame:
     return docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(run, "key long, node binary, cx binary, places array<int>")
 
 
-def _needed(percent: int) -> int:
-    """Common shingles of two passages of LEAST shingles that are similar enough."""
-    return -(-2 * LEAST * percent // (100 + percent))
+def _needed(cx: np.ndarray, percent: int) -> np.ndarray:
+    """How many different shingles of each row make up the places that two similar passages of LEAST share."""
+    need = -(-2 * LEAST * percent // (100 + percent))
+    cx = np.sort(cx, axis=1)
+    at = np.arange(WIDTH)
+    begins = np.concatenate((np.ones((len(cx), 1), bool), cx[:, 1:] != cx[:, :-1]), axis=1)
+    ends = np.concatenate((begins[:, 1:], np.ones((len(cx), 1), bool)), axis=1)
+    runs = np.where(ends & (cx > 0), at - np.maximum.accumulate(np.where(begins, at, 0), axis=1) + 1, 0)
+    total = np.cumsum(-np.sort(-runs, axis=1), axis=1)
+    return (total < need).sum(axis=1) + 1
 
 
 def _slices(x: np.ndarray, y: np.ndarray, size: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -181,23 +196,36 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return ((x[:, 1:] != x[:, :-1]) & (x[:, 1:] > 0)).sum(axis=1) + (x[:, 0] > 0)
 
 
-def _stretches(inside: np.ndarray, valid: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Begins and ends of stretches around the minimum of each row, of two kinds: that which scores best (shared +1,
-    others minus as much as the similarity allows for), and, of those with a score of 0 or more and LEAST shingles, the
-    shortest that has the most shared ones."""
-    cost = 2.0 * percent / (100 - percent) if percent < 100 else 1e6
-    score = np.where(inside, 1.0, np.where(valid, -cost, -1e6))
-    back, ahead = np.cumsum(score[:, :REACH][:, ::-1], axis=1), np.cumsum(score[:, REACH:], axis=1)
-    best = REACH - np.where(back.max(axis=1) > 0, back.argmax(axis=1) + 1, 0), REACH + ahead.argmax(axis=1) + 1
-    zero = np.zeros((len(inside), 1))
-    back, shared_back = np.hstack((zero, back)), np.hstack((zero, np.cumsum(inside[:, :REACH][:, ::-1], axis=1)))
-    length = np.arange(REACH + 1)
+def _sides(inside: np.ndarray, valid: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the stretches of 0 to REACH shingles before the minimum, and of 1 to REACH + 1 from it on: 0 or more
+    where the shared ones are as many as the similarity needs."""
+    score = np.where(inside, 100 - percent, np.where(valid, -2 * percent, -20_000)).astype(np.int32)
+    back = np.zeros((len(score), REACH + 1), np.int32)
+    np.cumsum(score[:, :REACH][:, ::-1], axis=1, out=back[:, 1:])
+    return back, np.cumsum(score[:, REACH:], axis=1, dtype=np.int32)
+
+
+def possible(inside: np.ndarray, valid: np.ndarray, percent: int) -> np.ndarray:
+    """Whether some stretch of LEAST shingles or more around the minimum has a score of 0 or more."""
+    back, ahead = _sides(inside, valid, percent)
+    best = np.maximum.accumulate(back[:, ::-1], axis=1)  # of the stretches before it that are long enough
+    return (best + ahead >= 0).any(axis=1)
+
+
+def _stretches(inside: np.ndarray, valid: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Begins and ends of stretches around the minimum of each row, of two kinds: that which scores best, and, of those
+    with a score of 0 or more and LEAST shingles, the shortest that has the most shared ones."""
+    back, ahead = _sides(inside, valid, percent)
+    yield REACH - back.argmax(axis=1), REACH + ahead.argmax(axis=1) + 1
+    length = np.arange(REACH + 1, dtype=np.int32)
     length = length[:, None] + length[None, :] + 1
-    shared = shared_back[:, :, None] + np.cumsum(inside[:, REACH:], axis=1)[:, None, :]
-    worth = np.where((back[:, :, None] + ahead[:, None, :] >= 0) & (length >= LEAST), WIDTH * shared - length, -1.0).reshape(len(inside), -1)
+    before = np.zeros(back.shape, np.int32)
+    np.cumsum(inside[:, :REACH][:, ::-1], axis=1, out=before[:, 1:])
+    shared = before[:, :, None] + np.cumsum(inside[:, REACH:], axis=1, dtype=np.int32)[:, None, :]
+    worth = np.where((back[:, :, None] + ahead[:, None, :] >= 0) & (length >= LEAST), WIDTH * shared - length, -1).reshape(len(inside), -1)
     at = worth.argmax(axis=1)
-    none = worth.max(axis=1) < 0
-    return [best, (np.where(none, REACH, REACH - at // (REACH + 1)), np.where(none, REACH, REACH + at % (REACH + 1) + 1))]
+    none = worth[np.arange(len(at)), at] < 0
+    yield np.where(none, REACH, REACH - at // (REACH + 1)), np.where(none, REACH, REACH + at % (REACH + 1) + 1)
 
 
 def shared_passages(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -213,8 +241,7 @@ def shared_passages(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndar
     x, y = x[some], y[some]
     equal = (x[:, :, None] == y[:, None, :]) & (x > 0)[:, :, None]
     in_y, in_x = equal.any(axis=2), equal.any(axis=1)
-    need = _needed(percent)
-    left = np.flatnonzero((in_y.sum(axis=1) >= need) & (in_x.sum(axis=1) >= need))
+    left = np.flatnonzero(possible(in_y, x > 0, percent) & possible(in_x, y > 0, percent))
     if not len(left):
         return ok, begin, end, similarity
     some, x, y, equal, in_y, in_x, at = some[left], x[left], y[left], equal[left], in_y[left], in_x[left], np.arange(WIDTH)
@@ -225,13 +252,16 @@ def shared_passages(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndar
         new = (x1 - x0 >= LEAST) & (y1 - y0 >= LEAST) & (100 * both >= percent * (p + q - both)) & ~ok[some]
         ok[some[new]], begin[some[new]], end[some[new]] = True, y0[new], y1[new]
         similarity[some[new]] = both[new] / np.maximum(p + q - both, 1)[new]
+        if new.all():
+            break
     return ok, begin, end, similarity
 
 
 class Windows:
     """Windows of some keys, sorted by run of key and then by node."""
 
-    def __init__(self, t: pa.Table, *keys: str):
+    def __init__(self, t: pa.Table, percent: int, *keys: str):
+        self.percent = percent
         run = np.cumsum(np.concatenate(([False], np.any([t[k].to_numpy()[1:] != t[k].to_numpy()[:-1] for k in keys], axis=0))))
         node = np.frombuffer(b"".join(t["node"].to_pylist()), ">u8").reshape(-1, 2)
         order = np.lexsort((node[:, 1], node[:, 0], run))
@@ -244,43 +274,73 @@ class Windows:
         self.bits = np.zeros((len(run), SKETCH_BITS), bool)
         self.bits[np.arange(len(run))[:, None], self.bit] = True
         self.sketch = np.packbits(self.bits, axis=1).view(np.uint64)
-        self.repeats = (self.cx > 0).sum(axis=1) - _distinct(self.cx)
+        self.coarse = np.packbits(self.bits.reshape(len(run), -1, COARSE_BITS).any(axis=1), axis=1).view(np.uint64)
+        needed = _needed(self.cx, percent)
+        self.least, self.coarse_least = np.floor(COMMON_SHARE * needed).astype(np.int64), np.floor(COARSE_SHARE * needed).astype(np.int64)
         self.linked = np.full(len(run), -1)
         self.spans = np.zeros((len(run), 2), np.int64)
         self.similarity = np.zeros(len(run))
 
-    def search(self, ys: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int, allowed=None) -> None:
-        """Links each window of ys that isn't yet with the first it can be among the windows lo to hi."""
-        least, need = COMMON_BITS * percent // SIMILARITY_PERCENT, _needed(percent)
+    def _near(self, ys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (x, y) of windows y of ys and x of lo to hi whose coarse sketches allow a passage, some at a time in
+        order of y. Long ranges are compared as products of matrices of bits."""
         at = np.concatenate(([0], np.cumsum(hi - lo)))
-        cuts = np.unique(np.append(np.searchsorted(at, np.arange(0, at[-1], 50_000)), len(ys)))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            some = np.arange(a, b)[self.linked[ys[a:b]] < 0]
-            n = (hi - lo)[some]
-            y = np.repeat(ys[some], n)
-            x = np.repeat(lo[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            keep = self.node[x] != self.node[y]
+        long = hi - lo >= 64
+        cut = np.flatnonzero(np.concatenate(([True], (long[1:] != long[:-1]) | (long[1:] & (lo[1:] != lo[:-1])))))
+        for a, b in zip(cut, np.append(cut[1:], len(ys))):
+            if not long[a]:
+                edges = np.unique(np.append(np.searchsorted(at[a:b], np.arange(at[a], at[b], 50_000)) + a, b))
+                for c, d in zip(edges[:-1], edges[1:]):
+                    some = np.arange(c, d)[self.linked[ys[c:d]] < 0]
+                    n = (hi - lo)[some]
+                    y = np.repeat(ys[some], n)
+                    x = np.repeat(lo[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    common = np.bitwise_count(self.coarse[x] & self.coarse[y]).sum(axis=1, dtype=np.int64)
+                    keep = common >= np.maximum(self.coarse_least[x], self.coarse_least[y])
+                    yield x[keep], y[keep]
+                continue
+            first, last = int(lo[a]), int(hi[a:b].max())
+            bits = np.unpackbits(self.coarse[first:last].view(np.uint8), axis=1).astype(np.float32)
+            for c in range(a, b, 256):
+                some = np.arange(c, min(c + 256, b))[self.linked[ys[c : min(c + 256, b)]] < 0]
+                own = np.unpackbits(self.coarse[ys[some]].view(np.uint8), axis=1).astype(np.float32)
+                common = own @ bits.T
+                near = common >= np.maximum(self.coarse_least[ys[some]][:, None], self.coarse_least[first:last][None, :])
+                near &= np.arange(first, last)[None, :] < hi[some][:, None]
+                i, j = np.nonzero(near)
+                for k in range(0, max(len(i), 1), 50_000):
+                    yield j[k : k + 50_000] + first, ys[some][i[k : k + 50_000]]
+
+    def search(self, ys: np.ndarray, lo: np.ndarray, hi: np.ndarray, allowed=None) -> None:
+        """Links each window of ys that isn't yet with the first it can be among the windows lo to hi."""
+        percent = self.percent
+        for x, y in self._near(ys, lo, hi) if len(ys) else ():
+            keep = (self.node[x] != self.node[y]) & (self.linked[y] < 0)
             if allowed is not None:
                 keep &= allowed(x, y)
             x, y = x[keep], y[keep]
-            common = np.bitwise_count(self.sketch[x] & self.sketch[y]).sum(axis=1, dtype=np.int64)
-            keep = common + np.minimum(self.repeats[x], self.repeats[y]) >= least
-            x, y = x[keep], y[keep]
-            # with repetitions: how many places of one have a bit of the other
-            for back in (False, True):
-                p, q = (y, x) if back else (x, y)
-                keep = np.concatenate([(self.bits[b[:, None], self.bit[a]] & (self.cx[a] > 0)).sum(axis=1) for a, b in _slices(p, q)]) >= need
-                x, y = x[keep], y[keep]
             turn = 1
             while len(y):  # the first of each window's candidates that is left, then the next two, and so on
                 rank = np.arange(len(y)) - np.searchsorted(y, y)
-                for p, q in _slices(x[rank < turn], y[rank < turn], 512):
-                    ok, begin, end, similarity = shared_passages(self.cx[p], self.cx[q], percent)
-                    for j in np.flatnonzero(ok & (self.linked[q] < 0))[::-1]:
-                        self.linked[q[j]], self.spans[q[j]], self.similarity[q[j]] = p[j], (begin[j], end[j]), similarity[j]
+                for p, q in _slices(x[rank < turn], y[rank < turn], 4096):
+                    for k, m in _slices(*self._alike(p, q), 512):
+                        ok, begin, end, similarity = shared_passages(self.cx[k], self.cx[m], percent)
+                        for j in np.flatnonzero(ok & (self.linked[m] < 0))[::-1]:
+                            self.linked[m[j]], self.spans[m[j]], self.similarity[m[j]] = k[j], (begin[j], end[j]), similarity[j]
                 left = (rank >= turn) & (self.linked[y] < 0)
                 x, y, turn = x[left], y[left], 2 * turn
 
+    def _alike(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs with enough common bits, in stretches around the minimum that are long enough."""
+        common = np.bitwise_count(self.sketch[x] & self.sketch[y]).sum(axis=1, dtype=np.int64)
+        keep = common >= np.maximum(self.least[x], self.least[y])
+        x, y = x[keep], y[keep]
+        for back in (False, True):
+            p, q = (y, x) if back else (x, y)
+            keep = possible(self.bits[q[:, None], self.bit[p]] & (self.cx[p] > 0), self.cx[p] > 0, self.percent)
+            x, y = x[keep], y[keep]
+        return x, y
+
     def found(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         """Rows (node, other, first, end, similarity) of the windows that are linked, one for each place."""
         y = np.flatnonzero(self.linked >= 0)
@@ -305,12 +365,12 @@ def _within_blocks(windows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for t in whole_runs(batches, "key", "block"):
-            w = Windows(t, "key", "block")
+            w = Windows(t, percent, "key", "block")
             rows = np.arange(len(w.begin))
             ys = rows[rows > w.begin]
-            w.search(ys, w.begin[ys], w.begin[ys] + 1, percent)
+            w.search(ys, w.begin[ys], w.begin[ys] + 1)
             ys = rows[(rows > w.begin + 1) & (w.linked < 0)]
-            w.search(ys, w.begin[ys] + 1, ys, percent)
+            w.search(ys, w.begin[ys] + 1, ys)
             yield from w.found(schema)
             many = w.table.append_column("head", pa.array(w.linked < 0)).filter(pa.compute.greater(w.table["blocks"], 1))
             if many.num_rows:
@@ -341,10 +401,10 @@ def _across_blocks(many: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for t in whole_runs(batches, "key", "block", "page"):
-            w = Windows(t, "key", "block", "page")
+            w = Windows(t, percent, "key", "block", "page")
             searched, own = w.table["searched"].to_numpy(), w.table["own"].to_numpy()
             ys = np.flatnonzero(searched)
-            w.search(ys, w.begin[ys], ys, percent, lambda x, y: ~searched[x] & (own[x] != own[y]))
+            w.search(ys, w.begin[ys], ys, lambda x, y: ~searched[x] & (own[x] != own[y]))
             yield from w.found(schema)
 
     n = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
