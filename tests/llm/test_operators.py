@@ -288,6 +288,30 @@ def test_chat_memory_beyond_the_context():
     assert not rewrites and [text[c:d] for _, _, c, d in found] == [t for _, t in turns[:30]]
 
 
+def test_passages_recall_against_all_pairs(spark):
+    # near copies of passages of 60 words with one to three changed words, each in a document of its own
+    rng, rows, family = random.Random(31), [], {}
+    for f in range(40):
+        part = prose(40_000 + f, 60).split()
+        for k in range(5):
+            w = part.copy()
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(60)] = f"c{rng.randrange(10_000)}"
+            i = 5 * f + k
+            family[i] = f, w
+            rows.append((i, f"{prose(50_000 + i, 80)} {' '.join(w)} {prose(60_000 + i, 80)}"))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(family[r.doc_id][0] == family[r.dup_of][0] for r in got)
+    # by all pairs: a document that is later in the order than one whose passage is as similar as asked for
+    from tickloom.llm.common import each_text, identity
+
+    order = {rows[i][0]: identity(h) for i, _, _, _, h in each_text([t for _, t in rows], lower=True)}
+    s = {i: set(zip(*(w[k:] for k in range(5)))) for i, (_, w) in family.items()}
+    want = {i for i in s for j in s if i != j and family[i][0] == family[j][0] and order[j] < order[i] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])}
+    found = {r.doc_id for r in got}
+    assert len(want) > 60 and len(found & want) >= 0.97 * len(want)
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 1 << 40, 60).astype(np.uint64)
