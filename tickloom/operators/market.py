@@ -82,17 +82,14 @@ def sector_alliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(c, ["sector", "d"]).select("symbol", "d", r("consensus", "consensus"), r("agreement", "agreement"), "members", boost.alias("boost"), r("apart", F.col("chg") - F.col("consensus")))
 
 
-@query(f"""WITH {daily()}, m AS (SELECT d, avg(close) AS market FROM bars GROUP BY 1), {daily("p_type", "types")}, s AS (SELECT d, avg(close) AS sector FROM types WHERE symbol = (SELECT min(p_type) FROM part) GROUP BY 1),
- j AS (SELECT symbol, d, close, market, sector FROM bars JOIN m USING (d) JOIN s USING (d)), f AS (SELECT *, first_value(close) OVER w AS c0, first_value(market) OVER w AS m0, first_value(sector) OVER w AS s0 FROM j WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+@query(f"""WITH {daily()}, j AS (SELECT symbol, d, close, avg(close) OVER (PARTITION BY d) AS market, avg(close) OVER (PARTITION BY d, right(symbol, 1)) AS sector FROM bars),
+ f AS (SELECT *, first_value(close) OVER w AS c0, first_value(market) OVER w AS m0, first_value(sector) OVER w AS s0 FROM j WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
  SELECT symbol, d, {rounded({"own": "(close / c0 - 1) * 100", "market": "(market / m0 - 1) * 100", "sector": "(sector / s0 - 1) * 100"})}, (close / c0 > market / m0) AS beats_market, (close / c0 > sector / s0) AS beats_sector FROM f""")
 def three_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A symbol, a sector and the market, rebased on their first common day."""
-    b = daily_bars(spark, sf_dir).select("symbol", "d", "close")
-    m = b.groupBy("d").agg(F.avg("close").alias("market"))
-    first = table(spark, sf_dir, "part").agg(F.min("p_type").alias("symbol"))
-    s = daily_bars(spark, sf_dir, "p_type").join(first, "symbol", "left_semi").groupBy("d").agg(F.avg("close").alias("sector"))
-    base = {f"{c}0": F.first(c).over(W.so_far()) for c in ("close", "market", "sector")}
-    f = b.join(m, "d").join(s, "d").withColumns(base)
+    """A symbol, its own sector (the symbols of the same last digit) and the market, rebased on the symbol's first day."""
+    day, sector = W.across(), Window.partitionBy("d", F.right("symbol", F.lit(1)))
+    j = daily_bars(spark, sf_dir).select("symbol", "d", "close", F.avg("close").over(sector).alias("sector"), F.avg("close").over(day).alias("market"))
+    f = j.withColumns({f"{c}0": F.first(c).over(W.so_far()) for c in ("close", "market", "sector")})
     own, market, sector = (F.col(c) / F.col(f"{c}0") for c in ("close", "market", "sector"))
     return f.select("symbol", "d", r("own", (own - 1) * 100), r("market", (market - 1) * 100), r("sector", (sector - 1) * 100), (own > market).alias("beats_market"), (own > sector).alias("beats_sector"))
 

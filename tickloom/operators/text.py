@@ -80,14 +80,16 @@ def near_titles(rows: DataFrame, key: list[str], score: str, fingerprint: str, m
     return g.select(*key, F.inline(kept))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, CAST('0x' || substr(md5(event_type || props), 1, 8) AS BIGINT) AS f FROM events),
+@query(f"""WITH RECURSIVE t AS (SELECT event_id, unnest(regexp_extract_all(lower(event_type || ' ' || props), '[a-z0-9]+')) AS t FROM events), h AS (SELECT event_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM t),
+ p AS (SELECT event_id, CAST({_BITS} AS BIGINT) AS f FROM h GROUP BY 1), e AS (SELECT user_id, event_id, value, f FROM events JOIN p USING (event_id)),
  o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM e),
  k AS (SELECT user_id, rn, event_id, [f] AS kept, true AS keep FROM o WHERE rn = 1 UNION ALL
  SELECT o.user_id, o.rn, o.event_id, CASE WHEN len(list_filter(k.kept, lambda y: bit_count(xor(y, o.f)) < 8)) > 0 THEN k.kept ELSE list_append(k.kept, o.f) END, len(list_filter(k.kept, lambda y: bit_count(xor(y, o.f)) < 8)) = 0
  FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1) SELECT user_id, event_id FROM k WHERE keep""")
 def text_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user without those whose fingerprint is close to one of higher value, as a greedy fold."""
-    e = table(spark, sf_dir, "events").select("user_id", "value", "event_id", token_hash(F.concat("event_type", "props")).alias("f"))
+    """Events of a user without those whose SimHash is close to one of higher value, as a greedy fold."""
+    events = table(spark, sf_dir, "events").select("user_id", "value", "event_id", F.concat_ws(" ", "event_type", "props").alias("words"))
+    e = events.drop("words").join(simhash(events, "event_id", "words").withColumnRenamed("fingerprint", "f"), "event_id")
     return near_titles(e, ["user_id"], "value", "f").select("user_id", "event_id")
 
 
