@@ -476,6 +476,14 @@ def test_toxicity_held_out(spark):
     assert auc > 0.9 and all(0 <= g.score <= 1 and g.predicted == int(g.score >= 0.5) for g in got.values())
 
 
+def test_toxicity_is_the_same_for_any_partitioning(spark, docs):
+    labels = table(spark, SF, "labels")
+    a, b = (toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (3, 7))
+    assert (a.weight == b.weight).all() and a.bias == b.bias and (a.feature == b.feature).all() and a.weight.any()
+    few = toxicity.training_ids(labels, 20)
+    assert len(few) == 20 and set(few) <= set(toxicity.training_ids(labels))
+
+
 def test_toxicity_without_labels(spark, edge):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(edge, toxicity.fit(edge, none)).count() == 12
