@@ -18,7 +18,7 @@ import pandas as pd
 from tickloom.llm.common import hashes_of
 
 #: Words and pieces whose ids are kept, and the longest that are; they bound the memory of a Python worker.
-CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 1_000_000, 100_000, 40
+CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 1_000_000, 600_000, 40
 #: Texts with a space after one of these are encoded by the library as a whole; so are those with added tokens.
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _WHITE = np.zeros(256, bool)
@@ -42,11 +42,10 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.model = tokenizer.model
+        self.tokenize = tokenizer.model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece)]
-        found = struct.pack(f"<{len(ids)}I", *ids)
+        found = array("I", [t.id for t in self.tokenize(piece)]).tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self.clear()
@@ -71,14 +70,14 @@ class Encoder:
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
         self.pieces = _Pieces(self.tokenizer)
-        self.tokenize = self.tokenizer.model.tokenize
         self.words: dict[int, bytes] = {}
 
     def _word(self, key: int, part: bytes) -> bytes:
         """Ids of a part of a text, by its pieces; a space and Latin letters are one."""
-        text = part.decode("utf-8", "surrogatepass")
-        if text[0] == " " and text[1:].isalpha() and max(text) < "\u0250":
-            found = array("I", [t.id for t in self.tokenize(part.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        if part[0] == 32 and part[1:].isalpha():  # bytes: ASCII letters alone
+            found = self.pieces["\u0120" + part[1:].decode("ascii")]
+        elif (text := part.decode("utf-8", "surrogatepass"))[0] == " " and text[1:].isalpha() and max(text) < "\u0250":
+            found = self.pieces[part.decode("latin-1").translate(_BYTE_CHARS)]
         else:
             found = b"".join([self.pieces[p] for p in pieces_of(self.tokenizer, text)])
         if len(part) <= CACHE_CHARS:
