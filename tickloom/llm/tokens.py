@@ -18,13 +18,13 @@ import pandas as pd
 from tickloom.llm.common import hashes_of
 
 #: Words and pieces whose ids are kept, and the longest that are; they bound the memory of a Python worker.
-CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 1_000_000, 600_000, 40
+CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 300_000, 150_000, 40
 #: Texts with a space after one of these are encoded by the library as a whole; so are those with added tokens.
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(9, 14), *range(28, 33)]] = True
 #: Bytes of text that are encoded together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 19
 # The pre-tokenizer's pattern for ASCII text, and the characters that stand for bytes in its pieces
 _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
@@ -37,6 +37,21 @@ def pieces_of(tokenizer, text: str) -> list[str]:
     return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
 
+_missed: dict[int, int] = {}
+
+
+def _keep(cache: dict, key, value: bytes, most: int) -> None:
+    """Puts a value into a bounded cache: a full one stays as it is, as frequent parts come early, and is emptied only
+    after many misses, when the texts have become others."""
+    if len(cache) < most:
+        cache[key] = value
+        return
+    _missed[most] = _missed.get(most, 0) + 1
+    if _missed[most] > 10 * most:
+        cache.clear()
+        _missed[most] = 0
+
+
 class _Pieces(dict):
     """Ids of the pieces of the pre-tokenizer, by the model's merges."""
 
@@ -47,9 +62,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         found = array("I", [t.id for t in self.tokenize(piece)]).tobytes()
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = found
+            _keep(self, piece, found, CACHE_PIECES)
         return found
 
 
@@ -81,9 +94,7 @@ class Encoder:
         else:
             found = b"".join([self.pieces[p] for p in pieces_of(self.tokenizer, text)])
         if len(part) <= CACHE_CHARS:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[key] = found
+            _keep(self.words, key, found, CACHE_WORDS)
         return found
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
@@ -146,7 +157,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded_batches(batch, path: str, characters: int = 2_000_000):
+def encoded_batches(batch, path: str, characters: int = 500_000):
     """(row, ids) of a record batch's text column, a bounded number of characters at a time."""
     at, texts, size = 0, [], 0
     encode = encoder(path).encode
