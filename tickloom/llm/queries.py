@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import chat, toxicity
+from tickloom.llm.alignment import alignments
 from tickloom.llm.common import table
 from tickloom.llm.decontam import contaminated
 from tickloom.llm.jaccard import jaccard_components
@@ -14,8 +15,9 @@ from tickloom.llm.packing import best_fit_packing
 from tickloom.llm.passages import repeated_passages
 from tickloom.llm.quality import quality_rules
 from tickloom.llm.tokenfile import token_files
+from tickloom.llm.winnowing import edited_fingerprints
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -70,9 +72,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_best_fit_packing, op3_license_scans, op4_substring_dedup, op5_benchmark_decontamination,
     op6_chat_formatting, op7_token_output, op8_ngram_jaccard_join, op9_toxicity, op10_language_id,
+    op11_tokenizer_alignment, op12_document_fingerprints,
 )}
 
 ORACLE_SQL: dict[str, str] = {
