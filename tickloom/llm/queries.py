@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import chat, toxicity
 from tickloom.llm.alignment import alignments
+from tickloom.llm.collocations import collocations
 from tickloom.llm.common import table
 from tickloom.llm.decontam import contaminated
 from tickloom.llm.jaccard import jaccard_components
@@ -80,10 +81,14 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_best_fit_packing, op3_license_scans, op4_substring_dedup, op5_benchmark_decontamination,
     op6_chat_formatting, op7_token_output, op8_ngram_jaccard_join, op9_toxicity, op10_language_id,
-    op11_tokenizer_alignment, op12_document_fingerprints,
+    op11_tokenizer_alignment, op12_document_fingerprints, op13_phrase_collocations,
 )}
 
 ORACLE_SQL: dict[str, str] = {
