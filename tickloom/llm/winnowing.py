@@ -98,12 +98,10 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key (none, place, hash) that orders documents by doc_id descending, null last, then text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return given.select(
-        "doc_id", "text", F.col("doc_id").isNull().alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("place"), F.xxhash64("text").alias("hash")
-    )
+    """text and the key (none, place, hash) that orders documents by doc_id descending, null last, then text. The key
+    gives the doc_id back, so that all who need texts by key can share one exchange."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return given.select("text", F.col("doc_id").isNull().alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("place"), F.xxhash64("text").alias("hash"))
 
 
 KEY = ["none", "place", "hash"]
@@ -135,12 +133,13 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> Da
     equal in doc_id and text have the same next document. Null text: empty. A single document is its own next. No rows:
     none. Other columns are dropped.
 
-    Every text is dealt out by its key once, and once more to meet the next one.
+    Every text is dealt out by its key once, and once more to meet the next one. Rows equal in doc_id and text meet in
+    one task.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
     dealt = keyed.repartition(n, *KEY)
-    own = dealt.join(following(keyed), KEY).drop(*KEY)
+    own = dealt.join(following(keyed), KEY).select(F.when(~F.col("none"), F.bitwise_not("place")).alias("doc_id"), "text", *[f"to_{c}" for c in KEY])
     texts = dealt.groupBy(*KEY).agg(F.first("text").alias("next_text"))
     met = own.join(texts.select(*[F.col(c).alias(f"to_{c}") for c in KEY], "next_text"), [f"to_{c}" for c in KEY])
     length = F.length("text")
