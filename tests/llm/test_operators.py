@@ -281,10 +281,10 @@ def test_more_than_64_languages(spark):
 def test_chat_memory_beyond_the_context():
     turns = [("user", f"t{i % 100}") for i in range(130)]
     again = lambda ts: "".join(f"[{r}{'*' * (i >= 100)}]{t}" for i, (r, t) in enumerate(ts))
-    text, found, rewrites = chat.spans(turns, again)
+    text, found, rewrites, _ = chat.spans(turns, again)
     assert not rewrites and [text[c:d] for _, _, c, d in found] == [t for _, t in turns]
     grown = lambda ts: "".join(f"{r}{'#' * i}{t}." for i, (r, t) in enumerate(ts))
-    text, found, rewrites = chat.spans(turns[:30], grown)
+    text, found, rewrites, _ = chat.spans(turns[:30], grown)
     assert not rewrites and [text[c:d] for _, _, c, d in found] == [t for _, t in turns[:30]]
 
 
@@ -346,7 +346,8 @@ def test_chat_escape(text):
 
 def test_chat_templates():
     turns = [("user", f"t{i}") for i in range(200)]
-    text, found, rewrites = chat.spans(turns, chat.marked_turns)
+    text, found, rewrites, checked = chat.spans(turns, chat.marked_turns)
+    assert checked == 200
     assert not rewrites and [text[c:d] for _, _, c, d in found] == [t for _, t in turns]
     last_only = lambda ts: "".join(f"[{r}]" + (t if i == len(ts) - 1 else "…") for i, (r, t) in enumerate(ts))
     assert chat.spans(turns, last_only)[2]
@@ -354,6 +355,42 @@ def test_chat_templates():
     assert chat.spans(turns, late)[2]
 
 
+@pytest.mark.parametrize("at", [40, 100, 149])
+def test_a_single_prefix_that_rewrites_history(at):
+    turns = [("user", f"t{i}") for i in range(150)]
+    once = lambda ts: ("!" if len(ts) == at else "") + "".join(f"{t};" for _, t in ts)
+    assert chat.spans(turns, once)[1:3] == ([], True)
+    # beyond the bound on characters nothing is claimed
+    assert chat.spans(turns, once, full_chars=500)[2] is None
+    text, found, rewrites, checked = chat.spans(turns, chat.marked_turns, full_chars=500)
+    assert rewrites is None and 5 < checked < 40 and [text[c:d] for _, _, c, d in found] == [t for _, t in turns]
+
+
+def test_exact_passages_are_cut_exactly(spark):
+    rows, shared = [], {}
+    for i in range(30):
+        part = prose(7000 + i // 2, 60)
+        head, tail = prose(8000 + i, 80), prose(9000 + i, 80)
+        shared[i] = head, part, tail
+        rows.append((i, f"{head} {part} {tail}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.repeated_passages(df).collect()
+    assert {(r.start_word, r.end_word, r.similarity) for r in got} == {(80, 140, 1.0)} and len(got) == 15
+    cut = {r.doc_id: r.text for r in passages.without_passages(df, passages.repeated_passages(df)).collect()}
+    assert all(cut[r.doc_id].split() == f"{shared[r.doc_id][0]} {shared[r.doc_id][2]}".split() for r in got)
+
+
+def test_passages_of_texts_that_share_a_doc_id(spark):
+    part = prose(71, 60)
+    holds = [f"{prose(72 + i, 90)} {part} {prose(82 + i, 40)}" for i in range(4)]
+    others = [prose(92 + i, 140) for i in range(4)]
+    rows = [(1, holds[0]), (1, others[0]), (None, holds[1]), (None, others[1]), (2, holds[2]), (2, others[2]), (3, holds[3]), (3, None), (None, None), (None, holds[3].upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [r.text for r in passages.without_passages(df, passages.repeated_passages(df)).collect()]
+    assert sum(part in (t or "").lower() for t in left) == 1 and set(others[:3]) <= set(left) and left.count(None) == 2
+    assert sum((t or "").lower().startswith(prose(75, 90)) for t in left) == 1  # of two texts with the same words one stays
+
+
 def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 

@@ -121,12 +121,12 @@ def _windows_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, node (identity of the words), n_words and keys of the documents that are long enough to hold a passage."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, text_hash, node (identity of the words), n_words and keys of the documents that are long enough to hold
+    a passage."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("n_words", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
             for numbers, h, bounds in each_chunk(batch.column("text").to_pylist(), lower=True, least=PASSAGE):
                 _, w, key = _windows_of(h, bounds)
                 text = np.searchsorted(bounds, w[:, 1], "right") - 1
@@ -134,9 +134,14 @@ def _rows(docs: DataFrame) -> DataFrame:
                 offsets = np.searchsorted(text[order], np.arange(len(numbers) + 1)).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order]))
                 node = [identity(h[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_ids[i] for i in numbers], pa.int64()), pa.array(node), pa.array(np.diff(bounds)), keys], schema=schema)
+                own = [batch.column(c).take(pa.array(numbers)) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(node), pa.array(np.diff(bounds)), keys], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, node binary, n_words long, keys array<long>")
+    return docs.select("doc_id", "text", _text_hash()).mapInArrow(run, "doc_id long, text_hash long, node binary, n_words long, keys array<long>")
+
+
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
 
 
 def _windows(docs: DataFrame, bitmap: bytes, first: bytes) -> DataFrame:
@@ -412,8 +417,9 @@ def _across_blocks(many: DataFrame, percent: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """doc_id, start_word, end_word (exclusive), dup_of, similarity: passages of at least PASSAGE words that the
-    document dup_of also holds, at a similarity of five-word shingle sets of percent or more.
+    """doc_id, text_hash, start_word, end_word (exclusive), dup_of, similarity: passages of at least PASSAGE words that
+    the document dup_of also holds, at a similarity of five-word shingle sets of percent or more. text_hash tells texts
+    that share a doc_id apart; rows equal in both share their passages.
 
     Words are lower-cased in A-Z. Of documents with the same words, one without a doc_id, or else the one with the
     smallest, stands for all; each other is one passage as a whole. Of two others, the passage is reported in the one
@@ -424,7 +430,7 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> Dat
     """
     d = documents_of(docs)
     rows = stored(_rows(d))
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("x"), F.count("*").alias("copies")).select("node", F.col("x.doc_id").alias("doc_id"), "copies"))
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text_hash")).alias("x"), F.count("*").alias("copies")).select("node", "x.doc_id", "x.text_hash", "copies"))
     shared = rows.select(F.explode(F.array_distinct("keys")).alias("key"), F.xxhash64("node").alias("half")).groupBy("key")
     shared = stored(shared.agg(F.min("half").alias("_first"), F.max("half").alias("_last"), F.count("*").alias("n")).where("_first <> _last").select("key", "n"))
     first = key_map(nodes.select(F.xxhash64("doc_id").alias("k")), "k", map_bits(nodes.count()))
@@ -436,25 +442,43 @@ def repeated_passages(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> Dat
     spans = met.where("key is null").select("node", "other", "first", "end", "similarity")
     many = met.where("key is not null").select("key", "block", "blocks", "head", "node", "cx", "places")
     spans = spans.union(_across_blocks(many, percent))
-    # what overlaps is one passage
-    before = Window.partitionBy("node", "other").orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1)
-    begins = (F.col("first") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int")
-    spans = spans.withColumn("_b", begins).withColumn("_i", F.sum("_b").over(Window.partitionBy("node", "other").orderBy("first", "end")))
-    spans = spans.groupBy("node", "other", "_i").agg(F.min("first").alias("first"), (F.max("end") + SHINGLE - 1).alias("end"), F.min("similarity").alias("similarity"))
-    names = nodes.select("node", "doc_id")
-    spans = spans.join(names, "node").join(names.withColumnsRenamed({"node": "other", "doc_id": "dup_of"}), "other")
-    spans = spans.select("doc_id", F.col("first").alias("start_word"), F.col("end").alias("end_word"), "dup_of", "similarity")
-    several = nodes.where("copies > 1").select("node", F.col("doc_id").alias("dup_of"))
-    copies = rows.select("doc_id", "node", "n_words").join(several, "node").where(~F.col("doc_id").eqNullSafe(F.col("dup_of")))
-    return spans.unionByName(copies.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), "dup_of", F.lit(1.0).alias("similarity")))
+    spans = _merged(stored(spans.withColumn("end", F.col("end") + SHINGLE - 1)))
+    names = nodes.select("node", "doc_id", "text_hash")
+    spans = spans.join(names, "node").join(nodes.select(F.col("node").alias("other"), F.col("doc_id").alias("dup_of")), "other")
+    spans = spans.select("doc_id", "text_hash", F.col("first").alias("start_word"), F.col("end").alias("end_word"), "dup_of", "similarity")
+    several = nodes.where("copies > 1").select("node", F.col("doc_id").alias("dup_of"), F.col("text_hash").alias("_hash"))
+    copies = rows.select("doc_id", "text_hash", "node", "n_words").join(several, "node").where(~(F.col("doc_id").eqNullSafe(F.col("dup_of")) & (F.col("text_hash") == F.col("_hash"))))
+    return spans.unionByName(copies.select("doc_id", "text_hash", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), "dup_of", F.lit(1.0).alias("similarity")))
+
+
+def _islands(spans: DataFrame) -> DataFrame:
+    """Spans (node, other, first, end, similarity) of the same two texts that overlap as one."""
+    pair = ["node", "other"]
+    before = Window.partitionBy(*pair).orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1)
+    begins = (F.col("first") > F.coalesce(F.max("end").over(before) - SHINGLE + 1, F.lit(-1))).cast("int")
+    spans = spans.withColumn("_b", begins).withColumn("_i", F.sum("_b").over(Window.partitionBy(*pair).orderBy("first", "end")))
+    return spans.groupBy(*pair, "_i").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.min("similarity").alias("similarity")).drop("_i")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Exact stretches as islands, and similar ones that reach beyond those by PASSAGE words or more."""
+    exact = _islands(spans.where("similarity = 1"))
+    near = spans.where("similarity < 1").groupBy("node", "other", "first", "end").agg(F.min("similarity").alias("similarity"))
+    inside = exact.select("node", "other", F.col("first").alias("_f"), F.col("end").alias("_e"))
+    covered = F.coalesce(F.sum(F.when(F.col("_f").isNotNull(), F.greatest(F.least("end", "_e") - F.greatest("first", "_f"), F.lit(0)))), F.lit(0))
+    near = near.join(inside, ["node", "other"], "left").groupBy("node", "other", "first", "end", "similarity").agg(covered.alias("_c"))
+    near = near.where((F.col("_c") == 0) | (F.col("end") - F.col("first") - F.col("_c") >= PASSAGE)).drop("_c")
+    return exact.unionByName(_islands(near))
 
 
 def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the words of the spans (doc_id, start_word, end_word) cut out of text, and n_chars set accordingly
-    where there is such a column; documents of which no word is left go. Other documents stay as they are."""
-    cut = spans.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
+    """docs with the words of the spans (doc_id, text_hash, start_word, end_word) cut out of text, and n_chars set
+    accordingly where there is such a column; documents of which no word is left go. Other documents stay as they are,
+    also those that share a doc_id but not the text. A null doc_id equals a null one."""
+    cut = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
     names = docs.columns
-    both = docs.join(cut, "doc_id", "left")
+    own = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_text": _text_hash()})
+    both = own.join(cut, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
     kept = both.withColumn("_new", _cut(F.col("text"), F.col("_spans")))
     kept = kept.where("_spans is null or _new is not null").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.col("_new")))
     if "n_chars" in names:
