@@ -41,6 +41,11 @@ def _joined(a: Column, b: Column, length: int) -> Column:
     return F.zip_with(a, b, lambda x, y: _rotated(x, length).bitwiseXOR(y))
 
 
+def _lower(values: Column, span: int) -> Column:
+    """The lower of each value and the one `span` places after it; where there is none, the value."""
+    return let(values, lambda v: F.zip_with(v, _after(v, span), lambda x, y: F.when(y < x, y).otherwise(x)))
+
+
 def gram_hashes(tokens: Column, k: int = K) -> Column:
     """Hashes of each k tokens in a row; of all together where there are fewer, and none without tokens."""
 
@@ -71,7 +76,7 @@ def winnowed(text: Column, k: int = K, window: int = WINDOW) -> Column:
         least = F.transform(hashes, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, PLACE_BITS + 1), PLACE_BITS) + (last - i))
         span = 1
         while span < window:
-            least = let(least, lambda v, s=span: F.zip_with(v, _after(v, s), lambda x, y: F.when(y < x, y).otherwise(x)))
+            least = _lower(least, span)
             span *= 2
         windows = F.slice(least, F.lit(1), F.greatest(F.size(hashes) - (window - 1), F.least(F.size(hashes), F.lit(1))))
         place = lambda v: (last - v.bitwiseAND(F.lit(last).cast("long"))).cast("int")
