@@ -1,8 +1,8 @@
 """Phrases that occur more often than their parts would by chance, from count tries of words, five words deep.
 
 A block of documents is a shard: the phrases of a depth are nodes of its count trie. A node is known by the 64-bit hash
-of its path (language, then words). A shard is written out as sorted nodes with counts, one piece for each prefix range,
-and the pieces of a range are merged where they meet. Depth follows depth: a phrase is only counted where both the phrase
+of its path (language, then words). A shard goes out as sorted nodes with counts, dealt by prefix range, and the sorted
+runs of a range are merged in a stream where they meet. Depth follows depth: a phrase is only counted where both the phrase
 without its last word and that without its first were frequent; which these are is a bitmap of bounded size that
 may let others pass, and never drops one.
 
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import hashes_of, in_map, key_map, map_bits, mix, records, runs, signed, stored
+from tickloom.llm.common import hashes_of, in_map, key_map, map_bits, mix, records, signed, stored, whole_runs
 
 #: Words of the longest phrase, its least count, a longer phrase's share (percent) that makes a phrase part of it, and
 #: the phrases reported for each language.
 DEPTH, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Bytes of text in a block, and the ranges of a prefix's last words, so that a hot prefix isn't one range.
-BLOCK_BYTES, SLICES = 1 << 22, 16
+BLOCK_BYTES, SLICES = 1 << 21, 16
 
 # What ends a piece, and what ends a word
 _PIECE_END = np.zeros(256, bool)
@@ -38,10 +38,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _BLOCK = pa.schema([
-    ("block", pa.string()), ("langs", pa.list_(pa.string())), ("lang_words", pa.list_(pa.int64())), ("keys", pa.binary()), ("lang_of", pa.binary()),
+    ("block", pa.int64()), ("langs", pa.list_(pa.string())), ("lang_words", pa.list_(pa.int64())), ("keys", pa.binary()), ("lang_of", pa.binary()),
     ("letters", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("joined", pa.binary()),
 ])
-_BLOCK_DDL = "block string, langs array<string>, lang_words array<long>, keys binary, lang_of binary, letters binary, sizes binary, codes binary, joined binary"
+_BLOCK_DDL = "block long, langs array<string>, lang_words array<long>, keys binary, lang_of binary, letters binary, sizes binary, codes binary, joined binary"
 
 
 def _block(texts: list[bytes], langs: list[str]) -> dict:
@@ -53,24 +53,32 @@ def _block(texts: list[bytes], langs: list[str]) -> dict:
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~_WORD_END[b]
     edges = np.flatnonzero(np.diff(inside))
+    del inside
     starts, ends = edges[0::2], edges[1::2]
     pieces = np.cumsum(_PIECE_END[b], dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int32)
     begins = np.cumsum([0, *(len(x) + 1 for x in texts)])[:-1]
     lang = np.array([number[x] for x in langs], np.uint16)[np.searchsorted(begins, starts, "right") - 1]
     seeds = hashes_of(*_packed([x.encode("utf-8", "surrogatepass") + b"\n" for x in names]))
-    key = mix(hashes_of(b, starts, ends) * np.uint64(3) + seeds[lang])
+    key = mix(_word_hashes(b, starts, ends) * np.uint64(3) + seeds[lang])
     codes, keys = pd.factorize(key)
     at = np.empty(len(keys), np.int64)
     at[codes[::-1]] = np.arange(len(codes))[::-1]
     joined = np.concatenate(([False], pieces[1:] == pieces[:-1])) if len(pieces) else np.zeros(0, bool)
     text = b.tobytes()
     return {
-        "block": uuid.uuid4().hex, "langs": names, "lang_words": np.bincount(lang, minlength=len(names)), "keys": keys.tobytes(), "lang_of": lang[at].tobytes(),
+        "block": uuid.uuid4().int >> 65, "langs": names, "lang_words": np.bincount(lang, minlength=len(names)), "keys": keys.tobytes(), "lang_of": lang[at].tobytes(),
         "letters": b"".join([text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]), "sizes": (ends - starts)[at].astype(np.uint32).tobytes(),
         "codes": codes.astype(np.uint32).tobytes(), "joined": np.packbits(joined).tobytes(),
     }
 
 
+def _word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+    """Hashes of words, those of some bytes at a time, as the sums that they are made from take eight times the bytes."""
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(b), at_once)), len(starts)))
+    out = [hashes_of(b[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]) for i, j in zip(cuts[:-1], cuts[1:])]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def _packed(of: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.cumsum([0, *map(len, of)])
     return np.frombuffer(b"".join(of), np.uint8), at[:-1], at[1:]
@@ -120,16 +128,21 @@ class Shard:
         return keys, n, first
 
 
-_PIECE = pa.schema([("range", pa.int32()), ("block", pa.string()), ("keys", pa.binary()), ("n", pa.binary())])
+_COUNT = pa.schema([("range", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("block", pa.int64())])
 
 
 def _frequent(coded: DataFrame, maps: list[bytes], least: int) -> DataFrame:
-    """key, n and a block that holds it, of the phrases of one word more than there are bitmaps that occur `least` times."""
+    """key, n and a block that holds it, of the phrases of one word more than there are bitmaps that occur `least` times.
+
+    Each shard's nodes go out once, with their counts, sorted; the sorted runs of all shards are merged where a prefix
+    range meets, in a stream, so a task holds some thousand nodes at a time however many there are.
+    """
     parts = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pieces(batches):
+    def nodes(batches):
         for batch in batches:
-            for block, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "codes", "joined"))):
+            for i in range(batch.num_rows):
+                block, *row = (batch.column(c)[i].as_py() for c in ("block", "keys", "codes", "joined"))
                 shard = Shard(*row)
                 for depth, frequent in enumerate(maps, 2):
                     shard.deeper(depth, frequent)
@@ -137,29 +150,23 @@ def _frequent(coded: DataFrame, maps: list[bytes], least: int) -> DataFrame:
                 # a range: of hashed prefixes, cut into slices by the last word
                 prefix = shard.prefix[first] if maps else np.zeros(len(keys), np.uint64)
                 of = (mix(prefix) % np.uint64(parts)).astype(np.int64) * SLICES + (keys % np.uint64(SLICES)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                edges = np.flatnonzero(np.concatenate(([True], np.diff(of[order]) != 0, [True]))) if len(of) else np.zeros(1, np.int64)
-                cut = list(zip(edges[:-1], edges[1:]))
-                yield records(_PIECE, {
-                    "range": of[order[edges[:-1]]], "block": [block] * len(cut), "keys": [keys[order[a:b]].tobytes() for a, b in cut],
-                    "n": [n[order[a:b]].astype(np.uint32).tobytes() for a, b in cut],
-                })
+                for at in range(0, len(keys), 50_000):
+                    s = slice(at, at + 50_000)
+                    yield records(_COUNT, {"range": of[s], "key": signed(keys[s]), "n": n[s], "block": np.full(len(keys[s]), block)})
 
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("block", pa.string())])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("block", pa.int64())])
 
     def merged(batches):
-        for t in runs(batches, "range"):
-            keys = np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint64)
-            n = np.frombuffer(b"".join(t["n"].to_pylist()), np.uint32).astype(np.int64)
-            block = np.repeat(np.arange(len(t)), [len(x) // 8 for x in t["keys"].to_pylist()])
-            order = np.argsort(keys, kind="stable")  # merges the sorted pieces
-            begins = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
-            total = np.add.reduceat(n[order], begins)
+        for t in whole_runs(batches, "key"):
+            keys, n = t["key"].to_numpy(), t["n"].to_numpy()
+            begins = np.flatnonzero(np.concatenate(([True], np.diff(keys) != 0)))
+            total = np.add.reduceat(n, begins)
             hit = total >= least
-            yield records(schema, {"key": signed(keys[order][begins[hit]]), "n": total[hit], "block": t["block"].take(pa.array(block[order][begins[hit]])).combine_chunks()})
+            yield records(schema, {"key": keys[begins[hit]], "n": total[hit], "block": t["block"].to_numpy()[begins[hit]]})
 
-    dealt = coded.select("block", "keys", "codes", "joined").mapInArrow(pieces, "range int, block string, keys binary, n binary").repartition(parts, "range")
-    return stored(dealt.sortWithinPartitions("range").mapInArrow(merged, "key long, n long, block string"))
+    counts = coded.select("block", "keys", "codes", "joined").mapInArrow(nodes, "range int, key long, n long, block long")
+    runs = counts.repartition(parts, "range").sortWithinPartitions("key", "block").select("key", "n", "block")
+    return stored(runs.mapInArrow(merged, "key long, n long, block long"))
 
 
 _NODE = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("depth", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("prefix", pa.int64()), ("suffix", pa.int64())])
