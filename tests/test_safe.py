@@ -52,7 +52,9 @@ def test_safe_correlation(spark):
 
 def test_json_safe(spark):
     row = spark.createDataFrame([(1.5, float("nan"), [1.0, float("-inf")], "NaN is a word")], "a double, b double, xs array<double>, t string")
-    assert row.select(safe.json_safe(F.struct("*"))).first()[0] == '{"a":1.5,"b":null,"xs":[1.0,null],"t":"NaN is a word"}'
+    assert row.select(safe.json_safe(F.struct("*"), row.schema)).first()[0] == '{"a":1.5,"b":null,"xs":[1.0,null],"t":"NaN is a word"}'
+    texts = spark.createDataFrame([("NaN", ["Infinity", "-Infinity"], {"NaN": float("nan")}, ("NaN", float("inf")), None)], "t string, xs array<string>, m map<string,double>, s struct<a:string,b:double>, n struct<a:double>")
+    assert texts.select(safe.json_safe(F.struct("*"), texts.schema)).first()[0] == '{"t":"NaN","xs":["Infinity","-Infinity"],"m":{"NaN":null},"s":{"a":"NaN","b":null},"n":null}'
 
 
 def test_recurrences_seed_with_the_first_value(spark):

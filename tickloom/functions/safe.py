@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 TINY = 1e-9
 
@@ -45,10 +46,23 @@ def correlation(a: Column | str, b: Column | str, default: float = 0.0) -> Colum
     return F.when(spread, F.lit(float(default))).otherwise(number(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), default))
 
 
-def json_safe(x: Column | str) -> Column:
-    """to_json of a struct of doubles, arrays and texts with NaN and infinities as null."""
-    text = F.to_json(x, {"ignoreNullFields": "false"})
-    return F.regexp_replace(text, r'(?<=[:\[,])"(?:NaN|-?Infinity)"', "null")
+def json_safe(x: Column | str, kind: DataType) -> Column:
+    """to_json of a column of type kind (a struct, array or map) with NaN and infinite numbers, at any depth, as null.
+    Texts stay as they are, also those that spell a number that is none."""
+    return F.to_json(_without_odd_numbers(F.col(x) if isinstance(x, str) else x, kind), {"ignoreNullFields": "false"})
+
+
+def _without_odd_numbers(x: Column, kind: DataType) -> Column:
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(_finite(x), x)
+    if isinstance(kind, StructType):
+        fields = [_without_odd_numbers(x.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(x.isNotNull(), F.struct(*fields)) if fields else x
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda y: _without_odd_numbers(y, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(x, lambda _, y: _without_odd_numbers(y, kind.valueType))
+    return x
 
 
 def excess_returns(rows: DataFrame, benchmark: DataFrame, fallback: bool = False) -> DataFrame:

@@ -134,16 +134,7 @@ shared("recommendation_check", "The three strongest symbols of each session, che
  x AS (SELECT t.symbol, t.d, t.horizon, t.close, min_by(b.close, b.d) AS sold FROM days t JOIN {{bars}} b ON b.symbol = t.symbol AND b.d = t.day GROUP BY t.symbol, t.d, t.horizon, t.close)
  SELECT horizon, count(*) AS verified, CAST(sum(CASE WHEN sold > close THEN 1 ELSE 0 END) AS BIGINT) AS profitable, {rnd('avg(CASE WHEN sold > close THEN 100.0 ELSE 0.0 END)', 'win_rate')}, {rnd(f"avg({pct('sold', 'close')})", 'mean_return', 4)} FROM x GROUP BY horizon""")
 
-# The hard rules' bounds; tiers of the gate by regime (probability, number and score of cold, then of hot candidates)
-_RSI = f"100 - 100 / (1 + avg(up) {over(14)} / CASE WHEN avg(down) {over(14)} = 0 THEN 1.0 ELSE avg(down) {over(14)} END)"
-_STATE = f"""u AS (SELECT *, greatest(close - lag(close) {over()}, 0.0) AS up, greatest(lag(close) {over()} - close, 0.0) AS down, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS age FROM {{bars}}),
- st AS (SELECT symbol, d, close, age, amount, {_RSI} AS rsi, avg(close) {over(5)} AS m5, avg(close) {over(10)} AS m10, avg(close) {over(20)} AS m20, sum(amount) {over(60)} / 10000.0 AS cap, percentile_50 AS cost50, right(symbol, 1) AS archetype, {pct('close', f'lag(close, 5) {over()}')} AS mom5 FROM (SELECT *, avg(close) {over(50)} AS percentile_50 FROM u) w)"""
-shared("hard_rules", "Names of the rules that each latest bar fails; two archetypes are exempt from the deviation rules.", f"""WITH {_STATE},
- b AS (SELECT *, {pct('close', 'm20')} AS bias FROM st WHERE age = 1),
- r AS (SELECT symbol, d, concat_ws(',', CASE WHEN cap > 0 AND cap < 50 THEN 'small' END, CASE WHEN archetype NOT IN ('1', '2') AND bias < -3 THEN 'weak' END, CASE WHEN archetype NOT IN ('1', '2') AND bias > 10 THEN 'chase' END,
-  CASE WHEN rsi > 70 THEN 'overbought' END, CASE WHEN m5 < m10 AND m10 < m20 THEN 'bear' END, CASE WHEN m5 - m20 < 0 THEN 'below_zero' END, CASE WHEN close > m20 * 1.2 THEN 'overheated' END, CASE WHEN cost50 < 5 THEN 'cheap' END) AS failed FROM b)
- SELECT symbol, d, failed, length(failed) = 0 AS passed FROM r""")
-
+# Tiers of the gate by regime (probability, number and score of cold, then of hot candidates)
 _TIERS = " UNION ALL ".join(f"SELECT '{r}' AS regime, {cp} AS cold_p, {cn} AS cold_n, {cs} AS cold_s, {hp} AS hot_p, {hn} AS hot_n, {hs} AS hot_s" for r, cp, cn, cs, hp, hn, hs in (
     ("rising", "0.28", 120, 38, "0.22", 120, 34), ("structural", "0.30", 100, 40, "0.25", 100, 36), ("sideways", "0.32", 80, 42, "0.26", 80, 38), ("stable", "0.35", 60, 42, "0.28", 60, 38),
     ("thin", "0.40", 30, 48, "0.30", 45, 44), ("weak", "0.48", 12, 54, "0.35", 30, 48), ("panic", "0.55", 6, 56, "0.40", 15, 50)))
