@@ -16,7 +16,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ from tickloom.llm.common import hashes_of, in_map, key_map, map_bits, mix, recor
 #: the phrases reported for each language.
 DEPTH, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Bytes of text in a block, and the ranges of a prefix's last words, so that a hot prefix isn't one range.
-BLOCK_BYTES, SLICES = 1 << 21, 16
+BLOCK_BYTES, SLICES = 1 << 20, 16
 
 # What ends a piece, and what ends a word
 _PIECE_END = np.zeros(256, bool)
@@ -60,9 +59,7 @@ def _block(texts: list[bytes], langs: list[str]) -> dict:
     lang = np.array([number[x] for x in langs], np.uint16)[np.searchsorted(begins, starts, "right") - 1]
     seeds = hashes_of(*_packed([x.encode("utf-8", "surrogatepass") + b"\n" for x in names]))
     key = mix(_word_hashes(b, starts, ends) * np.uint64(3) + seeds[lang])
-    codes, keys = pd.factorize(key)
-    at = np.empty(len(keys), np.int64)
-    at[codes[::-1]] = np.arange(len(codes))[::-1]
+    keys, at, codes = np.unique(key, return_index=True, return_inverse=True)
     joined = np.concatenate(([False], pieces[1:] == pieces[:-1])) if len(pieces) else np.zeros(0, bool)
     text = b.tobytes()
     return {
