@@ -27,17 +27,22 @@ CONDITIONS = {
 #: Bars between what is looked at and the action, bars before there is something to look at, and bounds of a rule.
 BEFORE, WARM_UP, LEAST_ACTIONS, LIFT, HIT = 3, 10, 20, 3.0, 0.5
 
-_IN_SERIES = Window.partitionBy("symbol").orderBy("ts")
-_IN_DAY = Window.partitionBy("symbol", "day").orderBy("ts")
+
+def _in_series():
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
+def _in_day():
+    return Window.partitionBy("symbol", "day").orderBy("ts")
 
 
 def session_bars(bars: DataFrame) -> DataFrame:
     """Bars (symbol, ts, open, high, low, close, volume) with day, their number in the series (i) and the day (k, from
     0, and back from the end: left), change and volume against the mean of the last 20 bars."""
     x = bars.withColumn("day", F.to_date("ts"))
-    mean = F.avg("volume").over(_IN_SERIES.rowsBetween(-19, 0))
+    mean = F.avg("volume").over(_in_series().rowsBetween(-19, 0))
     return x.withColumns({
-        "i": F.row_number().over(_IN_SERIES) - 1, "k": F.row_number().over(_IN_DAY) - 1, "left": F.count("*").over(Window.partitionBy("symbol", "day")) - F.row_number().over(_IN_DAY),
+        "i": F.row_number().over(_in_series()) - 1, "k": F.row_number().over(_in_day()) - 1, "left": F.count("*").over(Window.partitionBy("symbol", "day")) - F.row_number().over(_in_day()),
         "change": (F.col("close") - F.col("open")) / F.greatest("open", F.lit(0.01)) * 100, "busy": F.col("volume") / F.greatest(mean, F.lit(1e-9)),
     })
 
@@ -50,7 +55,7 @@ def actions(bars: DataFrame) -> DataFrame:
     fast = one.select("symbol", "ts", "i", F.when(F.col("change") > 0, "fast_rise").otherwise("fast_fall").alias("kind"), "change", "busy")
     still = ((F.col("high") - F.col("low")) / F.greatest("open", F.lit(0.01)) * 100 < STILL) & (F.col("busy") > STILL_BUSY)
     x = bars.withColumn("still", still)
-    run = x.withColumn("run", F.col("k") - F.sum(F.col("still").cast("int")).over(_IN_DAY)).where("still").groupBy("symbol", "day", "run")
+    run = x.withColumn("run", F.col("k") - F.sum(F.col("still").cast("int")).over(_in_day())).where("still").groupBy("symbol", "day", "run")
     first = lambda c: F.min_by(c, "ts").alias(c)
     held = run.agg(first("ts"), first("i"), ((F.max_by("close", "ts") / F.greatest(F.min_by("close", "ts"), F.lit(0.01)) - 1) * 100).alias("change"), F.avg("busy").alias("busy"), F.count("*").alias("n"))
     held = held.where(F.col("n") >= STILL_BARS).select("symbol", "ts", "i", F.lit("support_sideways").alias("kind"), "change", "busy")
@@ -68,21 +73,21 @@ def indicators(bars: DataFrame) -> DataFrame:
     """session_bars() with the ten figures of a bar: distances to the session's volume-weighted mean, the 21-bar mean, the
     close before and the session's open, place in the session's range, rank of the band's width among the last 41, volume
     ratio, whether the price is near a whole number, gap of the means, upper shadow of the bar before."""
-    so_far = _IN_DAY.rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda f, c, n: f(c).over(_IN_SERIES.rowsBetween(1 - n, 0))
+    so_far = _in_day().rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda f, c, n: f(c).over(_in_series().rowsBetween(1 - n, 0))
     off = lambda c: (F.col("close") - F.col(c)) / F.greatest(F.col(c), F.lit(0.01)) * 100
     x = bars.withColumn("paid", F.col("close") * F.col("volume")).withColumns({
         "vwap": F.sum("paid").over(so_far) / F.greatest(F.sum("volume").over(so_far), F.lit(1e-9)), "m21": last(F.avg, "close", 21), "m6": last(F.avg, "close", 6), "sd": last(F.stddev_pop, "close", 21),
-        "before": F.coalesce(F.lag("close").over(_IN_SERIES), "close"), "first_open": F.first("open").over(so_far), "top": F.max("high").over(so_far), "bottom": F.min("low").over(so_far),
+        "before": F.coalesce(F.lag("close").over(_in_series()), "close"), "first_open": F.first("open").over(so_far), "top": F.max("high").over(so_far), "bottom": F.min("low").over(so_far),
         "v21": last(F.avg, "volume", 21), "shadow": (F.col("high") - F.greatest("open", "close")) / F.greatest(F.col("high") - F.col("low"), F.lit(0.001)),
     })
     x = x.withColumns({
         "width": F.round(2 * F.col("sd") / F.greatest("m21", F.lit(0.01)), 9), "vwap_dist": off("vwap"), "mean_dist": off("m21"), "before_dist": off("before"), "open_dist": off("first_open"),
         "place": F.when(F.col("top") > F.col("bottom"), (F.col("close") - F.col("bottom")) / (F.col("top") - F.col("bottom"))).otherwise(0.5), "volume_ratio": F.col("volume") / F.greatest("v21", F.lit(1e-9)),
         "whole": F.abs(F.col("close") - F.round("close")) / F.greatest("close", F.lit(0.01)) < 0.005, "means_gap": F.abs(F.col("m6") - F.col("m21")) / F.greatest("m21", F.lit(0.01)) * 100,
-        "shadow": F.coalesce(F.lag("shadow").over(_IN_SERIES), F.lit(0.0)),
+        "shadow": F.coalesce(F.lag("shadow").over(_in_series()), F.lit(0.0)),
     })
-    widths = F.collect_list("width").over(_IN_SERIES.rowsBetween(-40, 0))
+    widths = F.collect_list("width").over(_in_series().rowsBetween(-40, 0))
     return x.withColumn("width_rank", F.size(F.filter(widths, lambda y: y <= F.col("width"))) / F.size(widths))
 
 
@@ -102,7 +107,7 @@ def rules(bars: DataFrame, least: int = LEAST_ACTIONS, lift: float = LIFT, hit:
     """symbol, kind, rule, bits, actions, hit_rate, other_rate, lift: conditions and pairs of them that hold BEFORE bars
     ahead of at least `hit` of a kind's actions, `lift` times as often as ahead of other bars. Kinds of fewer than `least`
     actions, and actions with fewer than WARM_UP bars before them, don't count."""
-    x = conditions(bars).withColumn("ahead", F.lag("met", BEFORE).over(_IN_SERIES)).where(F.col("i") >= WARM_UP + BEFORE)
+    x = conditions(bars).withColumn("ahead", F.lag("met", BEFORE).over(_in_series())).where(F.col("i") >= WARM_UP + BEFORE)
     kinds = actions(bars).groupBy("symbol", "i").agg(F.collect_set("kind").alias("kinds"))
     counted = x.select("symbol", "i", "ahead").join(kinds, ["symbol", "i"], "left").groupBy("symbol", "ahead", "kinds").agg(F.count("*").alias("n"))
     names = F.array(*[F.lit(k) for k in ("fast_rise", "fast_fall", "support_sideways", "tail_attack", "open_charge")])
