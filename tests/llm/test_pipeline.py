@@ -57,3 +57,20 @@ def test_texts_that_share_a_doc_id(spark):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component string")
     kept = sorted((r.doc_id or 0, r.text or "") for r in P.STAGES[1][1](spark, docs, SF).collect())
     assert kept == sorted([(5, a), (3, b + " more"), (9, ""), (9, ""), (0, "c " * 60)])
+
+
+def test_passages_leave_other_texts_of_a_doc_id_alone(spark):
+    import random
+
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    part = words(60)
+    holds, others = [f"{words(70)} {part} {words(50)}" for _ in range(3)], [words(160) for _ in range(3)]
+    rows = [(i, t, "en", "s", len(t), 1) for i, t in zip([5, None, 7, 5, None, 7], holds + others)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, text_hash long")
+    out = P.STAGES[2][1](spark, docs, SF).collect()
+    texts = [r.text for r in out]
+    assert len(out) == 6 and set(others) <= set(texts) and sum(part in t for t in texts) == 1
+    assert all(r.n_chars == len(r.text) and r.text_hash == 1 for r in out)
+    for t, own in zip(holds, [t.replace(part + " ", "") for t in holds]):
+        assert t in texts or own in texts  # no word but the passage's is cut
