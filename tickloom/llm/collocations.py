@@ -25,8 +25,9 @@ from tickloom.llm.common import hashes_of, in_map, key_map, map_bits, mix, recor
 #: Words of the longest phrase, its least count, a longer phrase's share (percent) that makes a phrase part of it, and
 #: the phrases reported for each language.
 DEPTH, LEAST, SHARE, TOP = 5, 100, 100, 2000
-#: Bytes of text in a block, and the ranges of a prefix's last words, so that a hot prefix isn't one range.
-BLOCK_BYTES, SLICES = 1 << 20, 16
+#: Bytes of text in a block, the ranges of a prefix's last words, so that a hot prefix isn't one range, and the nodes of
+#: blocks that go out together.
+BLOCK_BYTES, SLICES, TOGETHER = 1 << 21, 16, 600_000
 
 # What ends a piece, and what ends a word
 _PIECE_END = np.zeros(256, bool)
@@ -137,6 +138,7 @@ def _frequent(coded: DataFrame, maps: list[bytes], least: int) -> DataFrame:
     parts = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def nodes(batches):
+        held, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 block, *row = (batch.column(c)[i].as_py() for c in ("block", "keys", "codes", "joined"))
@@ -144,12 +146,27 @@ def _frequent(coded: DataFrame, maps: list[bytes], least: int) -> DataFrame:
                 for depth, frequent in enumerate(maps, 2):
                     shard.deeper(depth, frequent)
                 keys, n, first = shard.nodes()
-                # a range: of hashed prefixes, cut into slices by the last word
-                prefix = shard.prefix[first] if maps else np.zeros(len(keys), np.uint64)
-                of = (mix(prefix) % np.uint64(parts)).astype(np.int64) * SLICES + (keys % np.uint64(SLICES)).astype(np.int64)
-                for at in range(0, len(keys), 50_000):
-                    s = slice(at, at + 50_000)
-                    yield records(_COUNT, {"range": of[s], "key": signed(keys[s]), "n": n[s], "block": np.full(len(keys[s]), block)})
+                # a range: of hashed prefixes, cut into slices by the last word; words have no prefix
+                of = keys % np.uint64(parts * SLICES)
+                if maps:
+                    of = mix(shard.prefix[first]) % np.uint64(parts) * np.uint64(SLICES) + keys % np.uint64(SLICES)
+                held.append((keys, n, of.astype(np.int32), np.full(len(keys), block)))
+                size += len(keys)
+                if size >= TOGETHER:
+                    yield from together(held)
+                    held, size = [], 0
+        if held:
+            yield from together(held)
+
+    def together(held):
+        keys, n, of, block = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")  # merges the sorted blocks
+        begins = np.flatnonzero(np.concatenate(([len(keys) > 0], np.diff(keys[order]) != 0)))
+        one = order[begins]
+        total = np.add.reduceat(n[order], begins) if len(begins) else n
+        for at in range(0, len(one), 50_000):
+            s = slice(at, at + 50_000)
+            yield records(_COUNT, {"range": of[one[s]], "key": signed(keys[one[s]]), "n": total[s], "block": block[one[s]]})
 
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("block", pa.int64())])
 
@@ -162,7 +179,7 @@ def _frequent(coded: DataFrame, maps: list[bytes], least: int) -> DataFrame:
             yield records(schema, {"key": keys[begins[hit]], "n": total[hit], "block": t["block"].to_numpy()[begins[hit]]})
 
     counts = coded.select("block", "keys", "codes", "joined").mapInArrow(nodes, "range int, key long, n long, block long")
-    runs = counts.repartition(parts, "range").sortWithinPartitions("key", "block").select("key", "n", "block")
+    runs = counts.repartition(2 * parts, "range").sortWithinPartitions("key", "block").select("key", "n", "block")
     return stored(runs.mapInArrow(merged, "key long, n long, block long"))
 
 
