@@ -52,8 +52,8 @@ def _best(similarity: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
 
 
 def _searched(vectors: DataFrame, k: int, pivots: int, tile: int) -> tuple[DataFrame, DataFrame] | None:
-    """The distinct vectors (node: their first key) with those that may be among their k + 1 nearest, and how many rows
-    each visit compares (to, part, n)."""
+    """The distinct vectors (node: their first key) with those that may be among their k + 1 nearest, and how many
+    pairs each tile's visits compare (n)."""
     nodes = vectors.groupBy("vector").agg(F.min("key").alias("node"), F.count("*").alias("n")).withColumn("hash", F.xxhash64("vector"))
     total = nodes.count()
     found = nodes.orderBy("hash").limit(max(1, min(pivots, total // 256))).select("vector").toPandas()  # at most `pivots` vectors
