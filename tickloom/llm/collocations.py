@@ -176,7 +176,10 @@ def _frequent(coded: DataFrame, maps: list[bytes], least: int) -> DataFrame:
             begins = np.flatnonzero(np.concatenate(([True], np.diff(keys) != 0)))
             total = np.add.reduceat(n, begins)
             hit = total >= least
-            yield records(schema, {"key": keys[begins[hit]], "n": total[hit], "block": t["block"].to_numpy()[begins[hit]]})
+            # any block that holds a phrase can spell it: which one goes by the phrase, so that no block spells most
+            several = np.diff(np.append(begins, len(keys)))
+            one = begins + (mix(keys[begins].view(np.uint64)) % several.astype(np.uint64)).astype(np.int64)
+            yield records(schema, {"key": keys[begins[hit]], "n": total[hit], "block": t["block"].to_numpy()[one[hit]]})
 
     counts = coded.select("block", "keys", "codes", "joined").mapInArrow(nodes, "range int, key long, n long, block long")
     runs = counts.repartition(2 * parts, "range").sortWithinPartitions("key", "block").select("key", "n", "block")
