@@ -27,7 +27,7 @@ from tickloom.llm.common import hashes_of, in_map, key_map, map_bits, mix, recor
 DEPTH, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Bytes of text in a block, the ranges of a prefix's last words, so that a hot prefix isn't one range, and the nodes of
 #: blocks that go out together.
-BLOCK_BYTES, SLICES, TOGETHER = 1 << 21, 16, 600_000
+BLOCK_BYTES, SLICES, TOGETHER = 1 << 21, 16, 400_000
 
 # What ends a piece, and what ends a word
 _PIECE_END = np.zeros(256, bool)
@@ -86,7 +86,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     """The texts as blocks of numbered words, written as a table."""
 
     def run(batches):
-        texts, langs, size = [], [], 0
+        batch, texts, langs, size = None, [], [], 0
         row = lambda: records(_BLOCK, {c: [x] for c, x in _block(texts, langs).items()})
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
@@ -98,6 +98,8 @@ def blocks(docs: DataFrame) -> DataFrame:
                     texts, langs, size = [], [], 0
         if texts:
             yield row()
+        del batch, texts, langs
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     return stored(docs.select(F.col("text").cast("string").alias("text"), lang).mapInArrow(run, _BLOCK_DDL))
@@ -157,6 +159,7 @@ def _frequent(coded: DataFrame, maps: list[bytes], least: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from together(held)
+        pa.default_memory_pool().release_unused()
 
     def together(held):
         keys, n, of, block = (np.concatenate(x) for x in zip(*held))
