@@ -205,7 +205,7 @@ def _spelled(coded: DataFrame, frequent: list[DataFrame], maps: list[bytes]) ->
         if len(left) and len(right):
             row = left.to_pylist()[0]
             ends = np.concatenate(([0], np.cumsum(np.frombuffer(row["sizes"], np.uint32), dtype=np.int64))).tolist()
-            words = [row["letters"][a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+            word = lambda c: row["letters"][ends[c] : ends[c + 1]].decode("utf-8", "replace")
             lang_of = np.frombuffer(row["lang_of"], np.uint16)
             shard = Shard(row["keys"], row["codes"], row["joined"])
             depths = right["depth"].to_numpy()
@@ -220,7 +220,7 @@ def _spelled(coded: DataFrame, frequent: list[DataFrame], maps: list[bytes]) ->
                 codes = shard.codes[shard.at[at][:, None] + np.arange(depth)]
                 links = [signed(x[at]) for x in (shard.prefix, shard.suffix)] if depth > 1 else [[None] * len(at)] * 2
                 found = {"key": own["key"].to_numpy(), "n": own["n"].to_numpy(), "depth": np.full(len(at), depth), "prefix": links[0], "suffix": links[1]}
-                found |= {"lang": [row["langs"][i] for i in lang_of[codes[:, 0]]], "phrase": [" ".join([words[c] for c in x]) for x in codes.tolist()]}
+                found |= {"lang": [row["langs"][i] for i in lang_of[codes[:, 0]]], "phrase": [" ".join(map(word, x)) for x in codes.tolist()]}
                 out.append(pa.Table.from_batches([records(_NODE, found)]))
         return pa.concat_tables(out) if out else _NODE.empty_table()
 
