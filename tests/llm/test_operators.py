@@ -366,6 +366,17 @@ def test_a_single_prefix_that_rewrites_history(at):
     assert rewrites is None and 5 < checked < 40 and [text[c:d] for _, _, c, d in found] == [t for _, t in turns]
 
 
+def test_a_late_prefix_of_a_long_conversation_that_rewrites_history(spark):
+    """The prefixes come to 45 million characters; whether the template rewrites history doesn't depend on how many there are."""
+    rows = [(1, i, "user", f"{i}" * 700) for i in range(250)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    once = lambda ts: ("!" if len(ts) == 240 else "") + "".join(f"{t};" for _, t in ts)
+    got = chat.formatted(df, once).first()
+    assert (got.rewrites_history, got.turn_spans, got.checked_turns) == (True, [], 239)
+    got = chat.formatted(df).first()
+    assert (got.rewrites_history, got.checked_turns, len(got.turn_spans)) == (False, 250, 250)
+
+
 def test_exact_passages_are_cut_exactly(spark):
     rows, shared = [], {}
     for i in range(30):

@@ -24,9 +24,10 @@ Template = Callable[[list[Turn]], str]
 START, END = "<|im_start|>", "<|im_end|>"
 #: Stands for a text in probes; neither escaping nor trimming changes it.
 PROBE = "probe7Q"
-#: Characters of a conversation's true prefixes that are rendered, before a template that has shown no memory is rendered
-#: from a shorter context (the first turn and the latest ones); from then on it is not known to keep history.
-FULL_CHARS, CONTEXT = 20_000_000, 4
+#: Latest turns that a shortened context holds beside the first one, where a caller of spans() asks for it.
+CONTEXT = 4
+#: Characters of marked turns that are kept, as every prefix holds those of the one before; only speed depends on it.
+KEPT_CHARS = 8_000_000
 
 
 def escape(text: str) -> str:
@@ -47,9 +48,28 @@ def _unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+class _Marked(dict):
+    """Turns between marks; emptied when they have come to KEPT_CHARS characters."""
+
+    size = 0
+
+    def __missing__(self, turn: Turn) -> str:
+        out = f"{START}{_escape_role(turn[0])}\n{escape(turn[1])}{END}\n"
+        if self.size + len(out) > KEPT_CHARS:
+            self.clear()
+            self.size = 0
+        if len(out) <= KEPT_CHARS:
+            self[turn] = out
+            self.size += len(out)
+        return out
+
+
+_marked = _Marked()
+
+
 def marked_turns(turns: list[Turn]) -> str:
     """The template of the query: every turn between marks, its texts escaped reversibly."""
-    return "".join(f"{START}{_escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
+    return "".join(map(_marked.__getitem__, turns))
 
 
 def parsed(formatted: str) -> list[Turn]:
@@ -61,12 +81,13 @@ def parsed(formatted: str) -> list[Turn]:
     return out
 
 
-def spans(turns: list[Turn], template: Template, full_chars: int = FULL_CHARS) -> tuple[str, list[tuple[int, int, int, int]], bool | None, int]:
+def spans(turns: list[Turn], template: Template, full_chars: int | None = None) -> tuple[str, list[tuple[int, int, int, int]], bool | None, int]:
     """The whole rendering; for each turn its span and its text's span; whether the template rewrites history; and how
     many turns were checked by true prefixes.
 
     The rendering of all turns is always checked to be what the increments add up to. A template that rewrites
-    history has no spans. Once true prefixes have come to full_chars characters, increments are rendered in a shortened
+    history has no spans. All increments come from true prefixes, however long the conversation is, unless a caller
+    gives full_chars: once these have come to so many characters, increments are rendered in a shortened
     context if the last of these prefixes gave the same increment with it as with the whole one; the verdict is then
     None where nothing speaks against the template, as a rewrite of a later prefix wouldn't have been seen. Where
     the final check fails, all increments are rendered again by true prefixes.
@@ -113,8 +134,8 @@ def _increments(turns: list[Turn], template: Template, most: int | None) -> tupl
 
 def formatted(conversations: DataFrame, template: Template = marked_turns) -> DataFrame:
     """conv_id, n_turns, formatted, turn_spans, loss_spans (of assistant texts; code points, end exclusive),
-    rewrites_history (null: not found, but not checked beyond checked_turns) and checked_turns, one row for each
-    conversation.
+    rewrites_history and checked_turns (how many turns continue the prefix before them; all, if no history is
+    rewritten), one row for each conversation.
 
     Turns are in the order of turn (nulls first), ties by role, then text. Null text and null role: empty. A null
     conv_id is a conversation. Repeated rows are turns each. Other columns are dropped; empty table: no rows.
