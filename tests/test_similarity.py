@@ -1,7 +1,10 @@
 """The search for similar profiles against all pairs, with equal, opposite and empty vectors, and how much it compares."""
 
+import re
+
 import numpy as np
 import pytest
+from conftest import SF
 
 from tickloom.operators import similarity
 
@@ -52,3 +55,27 @@ def test_fewer_pairs_than_the_square(spark):
         df = spark.createDataFrame([(i, [float(x) for x in y]) for i, y in enumerate(v)], SCHEMA)
         visits.append(similarity.compared(df, 3, tile=128) / n**2)
     assert visits[1] < visits[0] and visits[1] < 0.3
+
+
+def test_near_copies_visit_few_tiles(spark):
+    """Dense profiles with near copies, as those of the parts of repeated trades: a box is nearer than a cone, so few tiles are visited."""
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.random((700, 13)), 6, axis=0) + rng.normal(size=(4200, 13)) * 1e-6
+    rows = [(i, [float(x) for x in y]) for i, y in enumerate(v)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert similarity.compared(df, 5, tile=128) < 0.15 * 4200**2
+    got = similarity.nearest(df, 5, tile=128).collect()
+    assert {(r.key, r.other, r.similarity, r.rank) for r in got} == all_pairs(rows, 5)
+
+
+def test_one_direction_is_several_tiles(spark):
+    """Different vectors of one direction can't be cut by planes; all are alike, and the first keys count."""
+    rows = [(i, [1.0 + i, 2.0 + 2 * i]) for i in range(300)]
+    got = similarity.nearest(spark.createDataFrame(rows, SCHEMA), 3, tile=16).collect()
+    assert {(r.key, r.other, r.similarity, r.rank) for r in got} == all_pairs(rows, 3)
+
+
+def test_sellers_are_counted_apart(spark):
+    """No row of a part and a seller carries the sums of the other figures through a shuffle."""
+    plan = similarity.part_profiles(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(l_partkey#\d+L?, l_suppkey|merge_avg", plan)

@@ -1,8 +1,8 @@
 """Profiles as vectors, and the profiles most alike each of them: an exact search by blocks, without a table of all pairs.
 
-Vectors are dealt to the pivot that they lie nearest to, and tiles of those. A search in a vector's own tile gives k
-similar ones; another tile is looked at only if a vector in it could be as similar, by the tile's greatest angle to its
-pivot. Equal vectors are one, with their first keys; so many equal profiles don't meet each other.
+Vectors of length 1 are dealt to tiles by the planes of a tree that a sample of them gives. A search in a vector's own
+tile gives k similar ones; another tile is looked at only if the box around its vectors reaches as near. Equal vectors
+are one, with their first keys; so many equal profiles don't meet each other.
 """
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ from tickloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
 
-#: Pivots at most, the rows of a tile, and the parts in which a tile's visitors are dealt to it.
-PIVOTS, TILE, PARTS = 1024, 2048, 4
+#: A tree has LEAVES leaves for each pivot at most, each cut from as many vectors of the sample as LEAF.
+PIVOTS, LEAVES, LEAF = 1024, 8, 8
+#: The rows of a tile, and the parts in which a tile's visitors are dealt to it.
+TILE, PARTS = 2048, 2
 #: Half of the last digit of a similarity, which is rounded, and room for sums in another order.
 _HALF = 0.00005 + 1e-9
+#: Similarities are compared as whole numbers of their last digit.
+_DIGIT = 10_000
 
 
 def profile_vectors(profiles: DataFrame, key: str, columns: list[str], first: str, second: str) -> DataFrame:
@@ -42,98 +46,152 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.where(norm < 1e-9, 0.0, x / np.maximum(norm, 1e-9))
 
 
-def _best(similarity: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
-    """Which of each row's columns can be among its k best: those at least as similar as the k-th, counting `number`."""
-    order = np.argsort(-similarity, axis=1, kind="stable")
-    ranked = np.take_along_axis(similarity, order, axis=1)
-    enough = np.cumsum(number[order], axis=1) >= k
-    at = np.where(enough.any(axis=1), enough.argmax(axis=1), similarity.shape[1] - 1)
-    return similarity >= ranked[np.arange(len(ranked)), at][:, None]
-
-
-def _searched(vectors: DataFrame, k: int, pivots: int, tile: int) -> tuple[DataFrame, DataFrame] | None:
-    """The distinct vectors (node: their first key) with those that may be among their k + 1 nearest, and how many
-    pairs each tile's visits compare (n)."""
-    nodes = vectors.groupBy("vector").agg(F.min("key").alias("node"), F.count("*").alias("n")).withColumn("hash", F.xxhash64("vector"))
+def _planes(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """A tree over vectors: the coordinate and the cut of node i, whose children are 2 i + 1 (up to the cut) and 2 i + 2.
+    A leaf has coordinate -1. The widest coordinate is cut at its median."""
+    at, cut = np.full(2 ** (depth + 1) - 1, -1), np.zeros(2 ** (depth + 1) - 1)
+    held = {0: sample}
+    for i in range(2**depth - 1):
+        x = held.pop(i, None)
+        if x is None or len(x) < 2:
+            continue
+        wide = int((x.max(axis=0) - x.min(axis=0)).argmax())
+        y = x[:, wide]
+        if y.max() == y.min():
+            continue
+        median = np.quantile(y, 0.5, method="lower")
+        at[i], cut[i] = wide, median if median < y.max() else y[y < y.max()].max()
+        held[2 * i + 1], held[2 * i + 2] = x[y <= cut[i]], x[y > cut[i]]
+    return at, cut
+
+
+def _leaves(x: np.ndarray, at: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    """The leaf of each vector."""
+    node = np.zeros(len(x), np.int64)
+    for _ in range(depth):
+        wide = at[node]
+        right = x[np.arange(len(x)), np.maximum(wide, 0)] > cut[node]
+        node = np.where(wide >= 0, 2 * node + 1 + right, node)
+    return node
+
+
+def _whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of vectors of length 1, in whole numbers of their last digit."""
+    return np.rint(a @ b.T * _DIGIT).astype(np.int32)
+
+
+def _kth(similarity: np.ndarray, number: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """The similarity of each row's k-th best column, columns counting `number` times, its own one once less; -2 where
+    there are fewer."""
+    m = min(k + 1, similarity.shape[1])
+    best = np.argpartition(-similarity, m - 1, axis=1)[:, :m] if m < similarity.shape[1] else np.broadcast_to(np.arange(m), similarity.shape)
+    found = np.take_along_axis(similarity, best, axis=1)
+    order = np.argsort(-found, axis=1, kind="stable")
+    found, best = np.take_along_axis(found, order, axis=1), np.take_along_axis(best, order, axis=1)
+    enough = np.cumsum(number[best] - (best == own[:, None]), axis=1) >= k
+    return np.where(enough.any(axis=1), found[np.arange(len(found)), enough.argmax(axis=1)], -2 * _DIGIT)
+
+
+def _members(vectors: DataFrame) -> DataFrame:
+    """Each key with the first key of those of an equal vector (node), and its place among them."""
+    same = Window.partitionBy("vector")
+    return vectors.withColumn("at", F.row_number().over(same.orderBy("key"))).withColumn("node", F.min("key").over(same.orderBy("key")))
+
+
+def _searched(members: DataFrame, k: int, pivots: int, tile: int) -> tuple[DataFrame, DataFrame] | None:
+    """The distinct vectors (node: their first key) with the first keys of those that may be among their k + 1 nearest,
+    and how many pairs each tile's visits compare (n)."""
+    # of equal vectors the first k + 1 keys are enough
+    nodes = members.where(F.col("at") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    nodes = nodes.select("keys", F.col("keys")[0].alias("node"), "vector", F.xxhash64("vector").alias("hash"))
     total = nodes.count()
-    found = nodes.orderBy("hash").limit(max(1, min(pivots, total // 256))).select("vector").toPandas()  # at most `pivots` vectors
-    kind = vectors.schema["key"].dataType.simpleString()
+    leaves = min(-(-2 * total // tile), LEAVES * pivots)
+    found = nodes.orderBy("hash").limit(max(1, LEAF * leaves)).select("vector").toPandas()  # LEAVES x LEAF x pivots vectors at most
+    kind = members.schema["key"].dataType.simpleString()
     if not len(found):
         return None
-    middle = _unit(_matrix(found["vector"]))
-    tiles = max(1, -(-total // (len(middle) * tile)) * 2)
+    depth = max(leaves - 1, 0).bit_length()
+    at, cut = _planes(_unit(_matrix(found["vector"])), depth)
+    width = len(found["vector"].iloc[0])
 
     def place(batches):
         for x in batches:
             if len(x):
-                cosine = _unit(_matrix(x["vector"])) @ middle.T
-                x["pivot"] = cosine.argmax(axis=1)
-                x["angle"] = np.arccos(np.clip(cosine.max(axis=1), -1, 1))
-                x["tile"] = x["pivot"] * tiles + x["hash"] % tiles
-                yield x[["node", "vector", "n", "pivot", "tile", "angle"]]
-
-    placed = nodes.mapInPandas(place, f"node {kind}, vector array<double>, n long, pivot long, tile long, angle double")
-    placed = placed.repartition("tile").persist()
-    reach = placed.groupBy("tile", "pivot").agg(F.max("angle").alias("reach")).toPandas()  # tiles: pivots x tiles rows
-    reach = reach.sort_values("tile", ignore_index=True)
+                unit = _unit(_matrix(x["vector"]))
+                yield pd.DataFrame({"keys": x["keys"], "node": x["node"], "unit": list(unit), "leaf": _leaves(unit, at, cut, depth), "hash": x["hash"]})
+
+    placed = nodes.mapInPandas(place, f"keys array<{kind}>, node {kind}, unit array<double>, leaf long, hash long").persist()
+    # a leaf of more rows than a tile's, such as many vectors of one direction, is several tiles: one row a leaf
+    parts_of = placed.groupBy("leaf").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    tiled = placed.join(F.broadcast(parts_of), "leaf").select("keys", "node", "unit", (F.col("leaf") * (1 << 30) + F.pmod("hash", "tiles")).alias("tile"))
+    ends = [f(F.col("unit")[i]).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i in range(width)]
+    boxes = tiled.groupBy("tile").agg(*ends).toPandas().sort_values("tile", ignore_index=True)  # one row a tile
+    low, high = (boxes[[f"{n}{i}" for i in range(width)]].to_numpy() for n in ("lo", "hi"))
+    names = boxes["tile"].to_numpy()
 
     def visits(x: pd.DataFrame) -> pd.DataFrame:
         """The tiles that a tile's vectors must visit, their own among them."""
-        v = _unit(_matrix(x["vector"]))
-        n = x["n"].to_numpy()
+        v = _matrix(x["unit"])
+        n = x["keys"].map(len).to_numpy()
         out = []
-        for at in range(0, len(x), 512):
-            own = np.round(v[at : at + 512] @ v.T, 4)
-            number = np.broadcast_to(n, own.shape).copy()
-            number[np.arange(len(own)), at + np.arange(len(own))] -= 1  # not itself
-            order = np.argsort(-own, axis=1, kind="stable")
-            total = np.cumsum(np.take_along_axis(number, order, axis=1), axis=1) >= k
-            kth = np.where(total.any(axis=1), np.take_along_axis(own, order, axis=1)[np.arange(len(own)), total.argmax(axis=1)], -2.0)
-            angle = np.arccos(np.clip(v[at : at + 512] @ middle[reach["pivot"].to_numpy()].T, -1, 1))
-            bound = np.cos(np.maximum(angle - reach["reach"].to_numpy() - 1e-7, 0))
-            i, j = np.nonzero(bound >= kth[:, None] - _HALF)
-            out.append(pd.DataFrame({"node": x["node"].to_numpy()[at + i], "vector": x["vector"].to_numpy()[at + i], "to": reach["tile"].to_numpy()[j], "part": i % PARTS}))
+        for a in range(0, len(x), 512):
+            some = v[a : a + 512]
+            kth = _kth(_whole(some, v), n, a + np.arange(len(some)), k)
+            # the squared distance within which a vector is as similar; first for the box around all of these
+            far = 2 - 2 * (kth / _DIGIT - _HALF)
+            gap = np.maximum(np.maximum(low - some.max(axis=0), some.min(axis=0) - high), 0)
+            near = np.flatnonzero((gap**2).sum(axis=1) <= far.max())
+            square = np.zeros((len(some), len(near)))
+            for c in range(width):
+                y = some[:, c, None]
+                square += np.maximum(np.maximum(low[near, c] - y, y - high[near, c]), 0) ** 2
+            i, j = np.nonzero(square <= far[:, None])
+            out.append(pd.DataFrame({"node": x["node"].to_numpy()[a + i], "unit": x["unit"].to_numpy()[a + i], "least": kth[i], "to": names[near[j]], "part": i % PARTS}))
         return pd.concat(out)
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        a, b = _unit(_matrix(q["vector"])), _unit(_matrix(x["vector"]))
+        """Of each visitor the k + 1 best of a tile, one of which may be itself; of equal ones those with the first keys."""
+        out = [pd.DataFrame({"node": [], "others": [], "similarity": []}, dtype=object)]
+        x = x.sort_values("node", ignore_index=True)
+        keys = x["keys"].to_numpy()
+        a, b = (_matrix(y["unit"]) for y in (q, x))
         for at in range(0, len(q) if len(x) else 0, 512):
-            similarity = np.round(a[at : at + 512] @ b.T, 4)
-            # k + 1, as one of them may be the vector itself
-            i, j = np.nonzero(_best(similarity, x["n"].to_numpy(), k + 1))
-            out.append(pd.DataFrame({"node": q["node"].to_numpy()[at + i], "near": x["node"].to_numpy()[j], "similarity": similarity[i, j] + 0.0}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "near": [], "similarity": []})
-
-    queries = placed.groupBy("tile").applyInPandas(visits, f"node {kind}, vector array<double>, to long, part int")
-    parts = placed.select("tile", "node", "vector", "n", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    near = queries.groupBy("to", "part").cogroup(parts.groupBy("tile", "part")).applyInPandas(meet, f"node {kind}, near {kind}, similarity double")
-    sizes = placed.groupBy("tile").agg(F.count("*").alias("rows"))
+            similarity = _whole(a[at : at + 512], b)
+            i, j = np.nonzero(similarity >= q["least"].to_numpy()[at : at + 512, None] - 1)
+            s = similarity[i, j]
+            order = np.lexsort((j, -s, i))
+            i, j, s = i[order], j[order], s[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) <= k
+            out.append(pd.DataFrame({"node": q["node"].to_numpy()[at + i[best]], "others": keys[j[best]], "similarity": s[best] / _DIGIT + 0.0}))
+        return pd.concat(out[1:] or out)
+
+    queries = tiled.groupBy("tile").applyInPandas(visits, f"node {kind}, unit array<double>, least int, to long, part int")
+    dealt = tiled.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    near = queries.groupBy("to", "part").cogroup(dealt.groupBy("tile", "part")).applyInPandas(meet, f"node {kind}, others array<{kind}>, similarity double")
+    sizes = tiled.groupBy("tile").agg(F.count("*").alias("rows"))
     return near, queries.groupBy("to").count().join(sizes, F.col("to") == F.col("tile")).select((F.col("count") * F.col("rows")).alias("n"))
 
 
 def compared(vectors: DataFrame, k: int, pivots: int = PIVOTS, tile: int = TILE) -> int:
     """Pairs of distinct vectors whose similarity nearest() computes."""
-    found = _searched(vectors, k, pivots, tile)
+    found = _searched(_members(vectors).persist(), k, pivots, tile)
     return found[1].agg(F.sum("n")).first()[0] if found else 0
 
 
 def nearest(vectors: DataFrame, k: int, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
     """For each key of (key, vector) the k most similar others: key, other, similarity (cosine to 4 digits; 0 with a
     vector of no length), rank. Ties by the other key. Keys are unique; no rows: none; fewer than k others: all."""
-    found = _searched(vectors, k, pivots, tile)
+    members = _members(vectors).persist()  # vectors made by sums of fractions might differ when they are made again
+    found = _searched(members, k, pivots, tile)
     if found is None:
         kind = vectors.schema["key"].dataType.simpleString()
         return vectors.sparkSession.createDataFrame([], f"key {kind}, other {kind}, similarity double, rank int")
     near, _ = found
-    # the first k + 1 keys of each distinct vector, and of those the k best for each key
-    first = Window.partitionBy("vector").orderBy("key")
-    member = vectors.withColumn("at", F.row_number().over(first)).withColumn("node", F.min("key").over(Window.partitionBy("vector")))
-    some = member.where(F.col("at") <= k + 1).select(F.col("node").alias("near"), F.col("key").alias("other"))
+    # of the first k + 1 keys of each distinct vector the k + 1 best for each node, and of those the k best for each key
     ranked = Window.partitionBy("node").orderBy(F.desc("similarity"), "other")
-    top = near.join(some, "near").withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k + 1)
+    top = near.select("node", F.explode("others").alias("other"), "similarity").withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k + 1)
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "other"))
-    pairs = member.select("key", "node").join(top, "node").where("key <> other")
+    pairs = members.select("key", "node").join(top, "node").where("key <> other")
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "other", "similarity", "rank")
 
 
@@ -146,7 +204,11 @@ _STATISTICS = {
 
 
 def part_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*[F.expr(x).cast("double").alias(n) for n, x in _STATISTICS.items()])
+    """Sellers are counted apart: beside the other figures each pair of part and seller would carry all their sums."""
+    lines = table(spark, sf_dir, "lineitem").where("l_partkey IS NOT NULL")  # no key: no neighbours, and none's
+    figures = lines.groupBy("l_partkey").agg(*[F.expr(x).cast("double").alias(n) for n, x in _STATISTICS.items() if n != "sellers"])
+    sellers = lines.select(F.col("l_partkey").alias("part"), "l_suppkey").repartition("part").groupBy("part").agg(F.expr(_STATISTICS["sellers"]).cast("double").alias("sellers"))
+    rows = figures.join(sellers, F.col("l_partkey") == F.col("part"))
     return profile_vectors(rows, "l_partkey", list(_STATISTICS), "trades", "sellers")
 
 
