@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tickloom.llm import alignment, collocations, winnowing
+from tickloom.llm import alignment, collocations, common, winnowing
 from tickloom.llm.queries import PIECES, tokenizer_path
 
 PATHS = tokenizer_path(), tokenizer_path(PIECES)
@@ -88,6 +89,29 @@ def test_alignment_over_blocks(monkeypatch):
     assert row["groups"] == [x[6] for x in brute_alignment(texts)]
 
 
+def test_memory_of_a_block(monkeypatch):
+    """Hashing takes memory by pieces of a block, not by the block, and ids are kept once."""
+    texts = [" ".join(f"w{(i * 7 + j) % 500}" for j in range(900)).encode() for i in range(1000)]
+    pair = alignment.Pair(*PATHS)
+    pair.a.words.clear()
+    monkeypatch.setattr(common, "_powers", [])
+    tracemalloc.start()
+    block = alignment.Block(texts, pair)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 4_000_000 < sum(map(len, texts)) < 6_000_000 and peak < 140_000_000 and not pair.a.words
+    assert block.sums(block.n_a).tolist() == [len(x) // 4 for x in pair.a.encode([" " + t.decode() for t in texts])]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 40, 1000])
+def test_hashes_by_pieces(monkeypatch, chunk):
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
+    b = np.random.default_rng(1).integers(0, 256, 500).astype(np.uint8)
+    edges = np.unique(np.concatenate(([0, 500], np.random.default_rng(2).integers(0, 500, 60))))
+    assert np.array_equal(alignment._hashes(b, edges[:-1], edges[1:]), common.hashes_of(b, edges[:-1], edges[1:]))
+    assert len(alignment._hashes(b, edges[:0], edges[:0])) == 0
+
+
 def test_overlaps():
     first, last, closes = alignment.overlaps(np.array([2, 3, 7, 9]), np.array([1, 3, 5, 8, 9]))
     assert (first.tolist(), last.tolist(), closes.tolist()) == ([0, 1, 2, 3], [1, 1, 3, 4], [False, True, False, False, True])
