@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from tickloom.operators import boosting as B
@@ -117,3 +118,20 @@ def test_labels_end_with_the_bars(spark):
     got = B.labelled_bars(spark.createDataFrame(rows, "symbol string, d date, open double, high double, low double, close double, volume double")).orderBy("d").collect()
     assert [r.later is None for r in got] == [False] * 3 + [True] * 3 and [r.up for r in got] == [1.0] * 3 + [None] * 3
     assert got[0].later == pytest.approx(30.0) and got[0].fifth == 0.0
+
+
+def test_passes_over_the_rows(spark, monkeypatch):
+    """Three models of six trees of three levels: one pass a level for all of them, none for the last level's leaves."""
+    passes, sums = [], B._sums
+    monkeypatch.setattr(B, "_sums", lambda *a: passes.append(a) or sums(*a))
+    assert B.boosted_scores(spark, SF).count() > 0
+    assert 0 < len(passes) <= 18
+
+
+def test_models_fitted_together(spark):
+    """Each as if fitted alone, also where labels are missing from different rows and one has no rows."""
+    df = frame(spark, 9, 600).withColumn("up", F.when(F.col("a") > -0.5, F.col("up"))).withColumn("none", F.lit(None).cast("double"))
+    targets = [("rank", "grade"), ("class", "up"), ("value", "value"), ("class", "none")]
+    got = B.fit_all(df, NAMES, targets, rounds=2, depth=2)
+    assert got == [B.fit(df, NAMES, label, kind, rounds=2, depth=2) for kind, label in targets]
+    assert [len(m.trees) for m in got] == [2, 2, 2, 1]

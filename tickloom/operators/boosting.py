@@ -1,4 +1,5 @@
-"""Boosted trees for classes, values and ranks within a day: gradient sums over binned features, one job a level.
+"""Boosted trees for classes, values and ranks within a day: gradient sums over binned features, one job a level for
+all models that are fitted to the same rows.
 
 Rows stay where they are: a task adds up the gradients of its rows by node, feature and bin, and only these sums, whose
 number is nodes x features x bins, reach the driver, which picks the splits. Gradients are rounded to whole numbers
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -71,18 +74,20 @@ class Boosted:
     def column(self) -> Column:
         """The margin as nested conditions, which Spark compiles; no Python takes part in scoring."""
 
-        def node(tree: Tree, i: int) -> Column:
+        number = lambda x: f"CAST('{float(x)!r}' AS DOUBLE)"
+
+        def node(tree: Tree, i: int) -> str:
             if tree.feature[i] < 0:
-                return F.lit(tree.value[i])
-            x, edges = F.col(self.features[tree.feature[i]]).cast("double"), self.edges[tree.feature[i]]
-            left = x.isNull() | F.isnan(x)
+                return number(tree.value[i])
+            x, edges = f"CAST(`{self.features[tree.feature[i]]}` AS DOUBLE)", self.edges[tree.feature[i]]
+            left = f"{x} IS NULL OR isnan({x})"
             if tree.bin[i] < len(edges):
-                left |= x <= edges[tree.bin[i]]
-            return F.when(left, node(tree, 2 * i + 1)).otherwise(node(tree, 2 * i + 2))
+                left += f" OR {x} <= {number(edges[tree.bin[i]])}"
+            return f"CASE WHEN {left} THEN {node(tree, 2 * i + 1)} ELSE {node(tree, 2 * i + 2)} END"
 
         total = F.lit(self.base)
         for tree in self.trees:
-            total = total + node(tree, 0)
+            total = total + F.expr(node(tree, 0))  # one call for a tree; calls to the JVM take longer than its scores
         return total
 
     def score(self) -> Column:
@@ -113,44 +118,65 @@ def gradients(kind: str, label: np.ndarray, margin: np.ndarray) -> tuple[np.ndar
     return pair_gradients(label, margin)
 
 
-def _days(frames: Iterator[pd.DataFrame], day: str) -> Iterator[pd.DataFrame]:
-    """Whole days of rows that come sorted by day."""
-    held = None
+def _whole_days(frames: Iterator[pd.DataFrame], day: str) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by day, some whole days at a time."""
+    held: list[pd.DataFrame] = []
     for rows in frames:
-        if held is not None:
-            rows = pd.concat([held, rows], ignore_index=True)
-        last = rows[day].iloc[-1] if len(rows) else None
-        yield from (x for d, x in rows[rows[day] != last].groupby(day, sort=False))
-        held = rows[rows[day] == last]
-    if held is not None and len(held):
-        yield held
-
-
-def _sums(model: Boosted, rows: DataFrame, label: str, day: str, tree: Tree, level: int) -> pd.DataFrame:
-    """Sums of gradients by node of the level, feature and bin, of all rows."""
-    width = len(model.features) * (BINS + 1)
+        if not len(rows):
+            continue
+        if held and held[-1][day].iloc[-1] != rows[day].iloc[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        same = (rows[day] == rows[day].iloc[-1]).to_numpy()
+        if not same.all():
+            yield pd.concat([*held, rows[~same]], ignore_index=True)
+            held = []
+        held.append(rows[same])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _sums(fitted: list[tuple[Boosted, str, Tree]], rows: DataFrame, day: str, level: int) -> list[pd.DataFrame]:
+    """For each model, with its label and tree, sums of gradients by node of the level, feature and bin, of all rows
+    with the label."""
+    width, nodes = len(fitted[0][0].features) * (BINS + 1), 2**level
+    by_day = any(model.kind == "rank" for model, _, _ in fitted)
+
+    def add(total: np.ndarray, model: Boosted, tree: Tree, x: pd.DataFrame, y: np.ndarray) -> None:
+        bins = model.bins(x)
+        margin = model.margins(bins)
+        if model.kind == "rank":
+            d = x[day].to_numpy()
+            edges = [0, *(np.flatnonzero(d[1:] != d[:-1]) + 1).tolist(), len(d)]
+            g, h = (np.concatenate(z) for z in zip(*[gradients("rank", y[lo:hi], margin[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:])]))
+        else:
+            g, h = gradients(model.kind, y, margin)
+        node = tree.leaves(bins, level) - (nodes - 1)
+        at = node >= 0
+        cells = (node[at, None] * len(model.features) + np.arange(len(model.features))) * (BINS + 1) + bins[at]
+        for k, part in enumerate((np.rint(g[at] * UNIT).astype(np.int64), np.rint(h[at] * UNIT).astype(np.int64), np.ones(at.sum(), np.int64))):
+            np.add.at(total[k], cells.ravel(), np.repeat(part, len(model.features)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, nodes = 2**level - 1, 2**level
-        total = np.zeros((3, nodes * width), np.int64)
-        for x in _days(frames, day) if model.kind == "rank" else frames:
-            bins = model.bins(x)
-            g, h = gradients(model.kind, x[label].to_numpy(float), model.margins(bins))
-            node = tree.leaves(bins, level) - first
-            at = node >= 0
-            cells = (node[at, None] * len(model.features) + np.arange(len(model.features))) * (BINS + 1) + bins[at]
-            for k, part in enumerate((np.rint(g[at] * UNIT).astype(np.int64), np.rint(h[at] * UNIT).astype(np.int64), np.ones(at.sum(), np.int64))):
-                np.add.at(total[k], cells.ravel(), np.repeat(part, len(model.features)))
-        used = np.flatnonzero(total[2])
-        yield pd.DataFrame({"cell": used, "g": total[0, used], "h": total[1, used], "n": total[2, used]})
+        total = np.zeros((len(fitted), 3, nodes * width), np.int64)
+        for x in _whole_days(frames, day) if by_day else frames:
+            for i, (model, label, tree) in enumerate(fitted):
+                known = x[label].notna().to_numpy()
+                if known.any():
+                    add(total[i], model, tree, x[known], x[label].to_numpy(float)[known])
+        i, used = np.nonzero(total[:, 2])
+        yield pd.DataFrame({"cell": i * nodes * width + used, "g": total[i, 0, used], "h": total[i, 1, used], "n": total[i, 2, used]})
 
     out = rows.mapInPandas(run, "cell long, g long, h long, n long").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
-    return out.toPandas()  # nodes x features x bins at most
+    out = out.toPandas()  # models x nodes x features x bins at most
+    of = out["cell"] // (nodes * width)
+    out["cell"] %= nodes * width
+    return [out[of == i] for i in range(len(fitted))]
 
 
-def best_splits(sums: pd.DataFrame, nodes: int, features: int, smooth: float, least: int) -> list[tuple[int, int, float, float, int] | None]:
-    """For each node its best (feature, bin), with its own sums g, h and n; feature -1 where no split gains. Of equal
-    gains the first feature's first bin. None: no rows."""
+def best_splits(sums: pd.DataFrame, nodes: int, features: int, smooth: float, least: int) -> list[tuple[int, int, tuple, tuple, tuple] | None]:
+    """For each node its best (feature, bin), with the sums g, h and n of its own rows, and of those to the left and the
+    right; feature -1 where no split gains. Of equal gains the first feature's first bin. None: no rows."""
     table = np.zeros((3, nodes * features * (BINS + 1)))
     table[:, sums["cell"].to_numpy()] = sums[["g", "h", "n"]].to_numpy(float).T
     g, h, n = table.reshape(3, nodes, features, BINS + 1)
@@ -166,7 +192,8 @@ def best_splits(sums: pd.DataFrame, nodes: int, features: int, smooth: float, le
         gain = worth(left[0], left[1]) + worth(right[0], right[1]) - worth(total[0], total[1])
         gain[(left[2] < least) | (right[2] < least)] = -1.0
         f, b = divmod(int(gain.argmax()), BINS)
-        out.append((f if gain[f, b] > 1e-9 else -1, b, total[0] / UNIT, total[1] / UNIT, int(total[2])))
+        own, *sides = [(x[0] / UNIT, x[1] / UNIT, int(x[2])) for x in (total, *([z[f, b] for z in side] for side in (left, right)))]
+        out.append((f if gain[f, b] > 1e-9 else -1, b, own, *sides))
     return out
 
 
@@ -176,36 +203,55 @@ def fit(rows: DataFrame, features: list[str], label: str, kind: str = "class", d
     Rows without a label are left out; missing features are below all others. One row or one class: a constant. No
     rows: 0. For ranks the rows of a day, one for each symbol, are in one task.
     """
-    rows = rows.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))).select(day, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, label])])
-    if kind == "rank":
+    return fit_all(rows, features, [(kind, label)], day, rounds, depth, rate, smooth, least)[0]
+
+
+def fit_all(rows: DataFrame, features: list[str], targets: list[tuple[str, str]], day: str = "d", rounds: int = 20, depth: int = 3, rate: float = 0.2, smooth: float = 1.0, least: int = 20) -> list[Boosted]:
+    """What fit() gives for each (kind, label); all models grow by a level in one pass over the rows."""
+    named = [F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, *(label for _, label in targets)])]
+    known = {label: F.col(label).isNotNull() & ~F.isnan(label) for _, label in targets}
+    rows = rows.select(day, *named).where(reduce(or_, known.values()))
+    if any(kind == "rank" for kind, _ in targets):
         rows = rows.repartition(day).sortWithinPartitions(day)
     rows = rows.persist()
-    order = F.xxhash64(*[F.coalesce(F.col(c), F.lit(-1.0)) for c in (*features, label)])
-    sample = rows.orderBy(order, *features).limit(SAMPLE_ROWS).select(*features).toPandas()
     marks = np.arange(1, BINS) / BINS
-    edges = [np.unique(np.quantile(x, marks)).tolist() if len(x := sample[c].dropna().to_numpy(float)) else [] for c in features]
-    mean = rows.agg(F.avg(F.col(label).cast("decimal(30,9)"))).first()[0]
-    mean = float(mean or 0)
-    base = {"class": float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6))), "value": mean, "rank": 0.0}[kind]
-    model = Boosted(kind, features, edges, base, depth)
+    means = rows.agg(*[F.avg(F.when(known[label], F.col(label)).cast("decimal(30,9)")) for _, label in targets]).first()
+    models = []
+    for (kind, label), mean in zip(targets, means):
+        order = F.xxhash64(*[F.coalesce(F.col(c), F.lit(-1.0)) for c in (*features, label)])
+        sample = rows.where(known[label]).orderBy(order, *features).limit(SAMPLE_ROWS).select(*features).toPandas()
+        edges = [np.unique(np.quantile(x, marks)).tolist() if len(x := sample[c].dropna().to_numpy(float)) else [] for c in features]
+        mean = float(mean or 0)
+        base = {"class": float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6))), "value": mean, "rank": 0.0}[kind]
+        models.append(Boosted(kind, features, edges, base, depth))
+    growing = list(zip(models, [label for _, label in targets]))
+    size = 2 ** (depth + 1) - 1
+    value = lambda sums: -rate * sums[0] / (sums[1] + smooth)
     for _ in range(rounds):
-        size = 2 ** (depth + 1) - 1
-        tree = Tree([-1] * size, [0] * size, [0.0] * size)
-        for level in range(depth + 1):
-            found = best_splits(_sums(model, rows, label, day, tree, level), 2**level, len(features), smooth, least)
-            for k, split in enumerate(found):
-                if split:
+        trees = [(model, label, Tree([-1] * size, [0] * size, [0.0] * size)) for model, label in growing]
+        split = trees
+        for level in range(max(depth, 1)):
+            if not split:
+                break
+            for (_, _, tree), sums in zip(split, _sums(split, rows, day, level)):
+                for k, found in enumerate(best_splits(sums, 2**level, len(features), smooth, least)):
+                    if not found:
+                        continue
                     i = 2**level - 1 + k
-                    tree.value[i] = -rate * split[2] / (split[3] + smooth)
+                    tree.value[i] = value(found[2])
                     if level < depth:
-                        tree.feature[i], tree.bin[i] = split[0], split[1]
-            if all(tree.feature[2**level - 1 + k] < 0 for k in range(2**level)):
-                break
-        model.trees.append(tree)
-        if tree.feature[0] < 0:
+                        tree.feature[i], tree.bin[i] = found[:2]
+                    if level == depth - 1 and found[0] >= 0:  # the sums of the last level are those of the two sides
+                        for child, side in zip((2 * i + 1, 2 * i + 2), found[3:]):
+                            tree.value[child] = value(side) if side[2] else 0.0
+            split = [x for x in split if any(f >= 0 for f in x[2].feature[2**level - 1 : 2 ** (level + 1) - 1])]
+        for model, _, tree in trees:
+            model.trees.append(tree)
+        growing = [(model, label) for model, label, tree in trees if tree.feature[0] >= 0]
+        if not growing:
             break
     rows.unpersist()
-    return model
+    return models
 
 
 def folds(days: DataFrame, n: int, gap: int, day: str = "d") -> list[tuple]:
@@ -262,7 +308,8 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled_bars(daily_bars(spark, sf_dir)).persist()
     end, first, last = folds(rows, 3, 3)[-1]
     train, names = rows.where(F.col("d") <= end), list(_FEATURES)
-    models: dict[str, Boosted] = {k: fit(train, names, label, k, rounds=6) for k, label in (("class", "up"), ("value", "later"), ("rank", "fifth"))}
+    targets = [("class", "up"), ("value", "later"), ("rank", "fifth")]
+    models = {model.kind: model for model in fit_all(train, names, targets, rounds=6)}
     test = rows.where(F.col("d").between(first, last))
     place = F.row_number().over(Window.partitionBy("d").orderBy(F.desc("rank_score"), "symbol"))
     out = test.select("symbol", "d", models["class"].score().alias("probability"), models["value"].score().alias("change"), models["rank"].score().alias("rank_score"))
