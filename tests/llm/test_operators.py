@@ -251,6 +251,39 @@ def test_passages_agree_in_one_hash_function(spark):
     assert {(min(r.doc_id, r.dup_of), max(r.doc_id, r.dup_of)) for r in got} == {(i, i + 1) for i in range(0, 40, 2)}
 
 
+def test_parts_are_cut_where_pieces_end():
+    """Words are kept without the marks and line feeds around them, and parts seen once don't fill the cache."""
+    from tokenizers import Tokenizer
+
+    from tickloom.llm import tokens
+
+    t, rng = Tokenizer.from_file(tokenizer_path()), random.Random(3)
+    words = prose(4, 200).split()
+    texts = ["".join(f"{rng.choice([' ', '.' + chr(10), '! '])}{w}{rng.choice(['', ',', '...', ')'])}" for w in rng.choices(words, k=400)) for _ in range(20)]
+    odd = ["a", "Z", "don", "'s", "'t", "'", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", "\u3000", "é", "ß", "日", "1", "²", "_", ".", "...", "\x00", "\u0301", "“"]
+    odd = ["".join(rng.choices(odd, k=rng.randrange(1, 14))) for _ in range(5000)]
+    e = tokens.Encoder(tokenizer_path())
+    assert e.encode(texts + odd) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts + odd]
+    e.words.clear()
+    e.encode(texts)
+    assert len(e.words) <= 2 * len(words) + 20  # with a space before and without
+
+
+def test_parts_that_occur_once_leave_room_in_the_cache(monkeypatch):
+    from tickloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 100)
+    e, often = tokens.Encoder(tokenizer_path()), "zqoftena zqoftenb"
+    once = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) + "q" for i in range(3000)]
+    e.encode([" ".join(once[:1500])])
+    assert len(e.words) == 50
+    for k in range(1500, 3000, 500):
+        e.encode([f" {often} " + " ".join(once[k : k + 500])])
+    assert len(e.words) <= 60
+    monkeypatch.setattr(e, "_word", None)  # no longer asked for
+    e.encode([f" {often}"])
+
+
 def test_added_tokens_are_encoded_as_by_the_library():
     from tokenizers import Tokenizer
     from tickloom.llm.tokens import Encoder

@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, with bounded caches of words and of the pieces in them.
 
 A byte-level pre-tokenizer always begins a new piece at a space that follows a character other than white space, and
-merges never cross pieces. So the ids of a text are those of its parts between such spaces, and parts recur: those of
-many texts are hashed at once, only distinct ones are encoded, and the ids are gathered in the order of the text.
+merges never cross pieces. Neither do they at an ASCII mark after an ASCII letter or digit, nor at an ASCII letter
+after a lone line feed. So the ids of a text are those of its parts between such places, and parts recur: those of many
+texts are hashed at once, only distinct ones are encoded, and the ids are gathered in the order of the text.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ import pandas as pd
 from tickloom.llm.common import hashes_of
 
 #: Words and pieces whose ids are kept, and the longest that are; they bound the memory of a Python worker.
-CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 300_000, 150_000, 40
+CACHE_WORDS, CACHE_PIECES, CACHE_CHARS = 400_000, 50_000, 40
+#: Slots for parts that were seen once, 1 byte each: once a cache of words is half full, it takes only parts seen before.
+SEEN = 1 << 22
 #: Texts with a space after one of these are encoded by the library as a whole; so are those with added tokens.
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(9, 14), *range(28, 33)]] = True
+_LETTER = np.array([x < 128 and chr(x).isalpha() for x in range(256)])
+_ALPHANUMERIC = np.array([x < 128 and chr(x).isalnum() for x in range(256)])
+_MARK = ~_ALPHANUMERIC & ~_WHITE & (np.arange(256) < 128)
 #: Bytes of text that are encoded together.
 TOGETHER = 1 << 19
 # The pre-tokenizer's pattern for ASCII text, and the characters that stand for bytes in its pieces
@@ -59,8 +65,11 @@ class _Pieces(dict):
         super().__init__()
         self.tokenize = tokenizer.model.tokenize
 
+    def made(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
-        found = array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+        found = self.made(piece)
         if len(piece) <= CACHE_CHARS:
             _keep(self, piece, found, CACHE_PIECES)
         return found
@@ -84,28 +93,50 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
         self.pieces = _Pieces(self.tokenizer)
         self.words: dict[int, bytes] = {}
+        self.seen, self.n_seen = bytearray(SEEN), 0
+
+    @staticmethod
+    def _piece(part: bytes) -> str | None:
+        """A part that is one piece, as the pre-tokenizer makes it: Latin letters, with a space before them or not."""
+        letters = part[1:] if part[0] == 32 else part
+        if letters.isalpha():  # bytes: ASCII letters alone
+            return ("\u0120" if part[0] == 32 else "") + letters.decode("ascii")
+        if not part.isascii() and (text := letters.decode("utf-8", "surrogatepass")).isalpha() and max(text) < "\u0250":
+            return part.decode("latin-1").translate(_BYTE_CHARS)
+        return None
 
     def ids_of(self, part: bytes) -> bytes:
-        """Ids of a part of a text, by its pieces; a space and Latin letters are one."""
-        if part[0] == 32 and part[1:].isalpha():  # bytes: ASCII letters alone
-            return self.pieces["\u0120" + part[1:].decode("ascii")]
-        if (text := part.decode("utf-8", "surrogatepass"))[0] == " " and text[1:].isalpha() and max(text) < "\u0250":
-            return self.pieces[part.decode("latin-1").translate(_BYTE_CHARS)]
-        return b"".join([self.pieces[p] for p in pieces_of(self.tokenizer, text)])
+        """Ids of a part of a text, by its pieces, which are kept."""
+        if (piece := self._piece(part)) is not None:
+            return self.pieces[piece]
+        return b"".join([self.pieces[p] for p in pieces_of(self.tokenizer, part.decode("utf-8", "surrogatepass"))])
 
     def _word(self, key: int, part: bytes) -> bytes:
-        found = self.ids_of(part)
-        if len(part) <= CACHE_CHARS:
+        found = self.ids_of(part) if (piece := self._piece(part)) is None else self.pieces.made(piece)
+        if len(part) <= CACHE_CHARS and (2 * len(self.words) < CACHE_WORDS or self._again(key)):
             _keep(self.words, key, found, CACHE_WORDS)
         return found
 
+    def _again(self, key: int) -> bool:
+        """Whether a part was seen before, as far as is remembered; parts that occur once would fill the cache."""
+        at = key % SEEN
+        if self.seen[at]:
+            return True
+        self.seen[at] = 1
+        self.n_seen += 1
+        if 2 * self.n_seen > SEEN:
+            self.seen, self.n_seen = bytearray(SEEN), 0
+        return False
+
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts that aren't empty."""
         data = b"".join(texts)
         b = np.frombuffer(data, np.uint8)
         begins = np.cumsum([0, *map(len, texts)])
         cut = np.zeros(len(b), bool)
-        cut[1:] = (b[1:] == 32) & ~_WHITE[b[:-1]]
+        cut[1:] = (b[1:] == 32) & ~_WHITE[b[:-1]] | _MARK[b[1:]] & _ALPHANUMERIC[b[:-1]]
+        line = np.flatnonzero(b[1:-1] == 10) + 1
+        cut[line[_LETTER[b[line + 1]] & (_MARK | _ALPHANUMERIC)[b[line - 1]]] + 1] = True
         cut[begins[:-1]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(b))
