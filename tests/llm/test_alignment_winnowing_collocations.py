@@ -103,6 +103,33 @@ def test_memory_of_a_block(monkeypatch):
     assert block.sums(block.n_a).tolist() == [len(x) // 4 for x in pair.a.encode([" " + t.decode() for t in texts])]
 
 
+def test_memory_of_a_block_of_different_words(monkeypatch):
+    """Parts are tokenized and aligned some at a time: memory follows from a block's parts, not from all their links."""
+    rng = np.random.default_rng(8)
+    letters = rng.integers(97, 123, (400_000, 7)).astype(np.uint8).tobytes().decode()
+    texts = [" ".join(letters[7 * i : 7 * i + 7] for i in range(at, at + 400)).encode() for at in range(0, 400_000, 400)]
+    pair = alignment.Pair(*PATHS)
+    monkeypatch.setattr(common, "_powers", [])
+    tracemalloc.start()
+    block = alignment.Block(texts, pair)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert 3_000_000 < sum(map(len, texts)) < 4_000_000 and len(block.valid) > 390_000
+    assert peak < 240_000_000, (now, peak)
+
+
+@pytest.mark.parametrize("together", [1, 7, 1000])
+def test_alignment_some_parts_at_a_time(monkeypatch, together):
+    monkeypatch.setattr(alignment, "TOGETHER", together)
+    monkeypatch.setattr(alignment, "CACHE_PARTS", 40)
+    texts = odd_texts(10, 1500)
+    pair = alignment.Pair(*PATHS)
+    row = alignment._block(list(range(len(texts))), [x.encode() for x in texts], pair, True).to_pylist()[0]
+    want = brute_alignment(texts)
+    assert row["groups"] == [x[6] for x in want] and row["n_links"] == [x[3] for x in want]
+    assert row["pair"] == sorted(row["pair"]) and sum(row["n"]) == sum(x[3] for x in want) and len(pair.known) <= 40
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 40, 1000])
 def test_hashes_by_pieces(monkeypatch, chunk):
     monkeypatch.setattr(alignment, "CHUNK_BYTES", chunk)
