@@ -153,6 +153,11 @@ def test_alignment_edges(spark):
     assert alignment.alignments(df.limit(0), *PATHS).collect() == []
 
 
+def test_texts_without_tokens_alone(spark):
+    got = alignment.alignments(frame(spark, [(1, "▁", "en"), (2, "▁▁", "en")]), *PATHS).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
 def rotated(x, n):
     n %= 64
     return ((x << n) | (x >> (64 - n))) & (1 << 64) - 1 if n else x
