@@ -1,10 +1,15 @@
 """The pipeline's stages: what they keep, and that they cope with empty tables and odd rows."""
 
+import subprocess
+import sys
+
 import corpus_pipeline as P
+import numpy as np
+import psutil
 import pytest
 from conftest import SF
 
-from tickloom.llm.common import stored, table
+from tickloom.llm.common import giving_back, stored, table
 from tickloom.llm.decontam import contaminated
 from tickloom.llm.jaccard import jaccard_components
 from tickloom.llm.packing import best_fit_packing
@@ -74,3 +79,37 @@ def test_passages_leave_other_texts_of_a_doc_id_alone(spark):
     assert all(r.n_chars == len(r.text) and r.text_hash == 1 for r in out)
     for t, own in zip(holds, [t.replace(part + " ", "") for t in holds]):
         assert t in texts or own in texts  # no word but the passage's is cut
+
+
+def test_freed_memory_goes_back_to_the_system():
+    def run(batches):
+        for _ in batches:
+            made = [np.ones(60_000, np.uint8) for _ in range(4000)]
+            held.append(made[-1])  # above what is freed
+            yield len(made)
+
+    held, before = [], psutil.Process().memory_info().rss
+    assert list(giving_back(run)([1, 2])) == [4000, 4000]
+    assert psutil.Process().memory_info().rss - before < 60e6
+
+
+def test_idle_workers_keep_neither_encoder_nor_tables():
+    """In a process of its own, as the workers of the other tests have run other tasks."""
+    code = """
+import sys
+import corpus_pipeline as P
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+def held(batches):
+    import pyarrow as pa
+    from tickloom.llm import common, tokens
+    for _ in batches:
+        yield pa.RecordBatch.from_pydict({"n": [len(common._powers) + len(tokens._encoders)]})
+docs = spark.createDataFrame([(i, " ".join(f"word{j * j % (i + 7)}" for j in range(99))) for i in range(9)], "doc_id long, text string")
+for name, stage in P.STAGES[1:]:
+    stage(spark, docs, sys.argv[1]).count()
+    print("HELD", name, sum(r.n for r in spark.range(0, 400, 1, 8).mapInArrow(held, "n long").collect()))
+"""
+    said = subprocess.run([sys.executable, "-c", code, SF], capture_output=True, text=True, timeout=600)
+    found = [x for x in said.stdout.splitlines() if x.startswith("HELD")]
+    assert found == [f"HELD {name} 0" for name, _ in P.STAGES[1:]], said.stderr[-2000:]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import SHINGLE, SIMILARITY_PERCENT, documents_of, each_text, is_in, records, shingles
+from tickloom.llm.common import SHINGLE, SIMILARITY_PERCENT, documents_of, each_text, giving_back, is_in, records, shingles
 
 #: Hash functions of a signature: an exact copy is missed with a chance of about (2/3)**32, a copy with four fifths
 #: of its shingles with about (3/4)**32.
@@ -163,9 +163,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILARIT
         texts.append(row.text)
         size += len(row.text or "")
         if size >= BLOCK_CHARACTERS:
-            out.append(d.mapInArrow(search(Items(ids, texts)), ddl))
+            out.append(d.mapInArrow(giving_back(search(Items(ids, texts))), ddl))
             ids, texts, size = [], [], 0
-    out.append(d.mapInArrow(search(Items(ids, texts)), ddl))
+    out.append(d.mapInArrow(giving_back(search(Items(ids, texts))), ddl))
     found = out[0]
     for more in out[1:]:
         found = found.union(more)

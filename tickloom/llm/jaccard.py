@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import (
-    SHINGLE, SIMILARITY_PERCENT, components, documents_of, each_text, frequent_shingles, identity, in_map, is_in, key_map, map_bits,
-    records, runs, shingles, signed, stored,
+    SHINGLE, SIMILARITY_PERCENT, components, documents_of, each_text, frequent_shingles, giving_back, identity, in_map, is_in, key_map,
+    map_bits, records, runs, shingles, signed, stored,
 )
 
 #: Coordinates of the R-tree's boxes, and least and most of the points in its leaves: one for two shingles, as a power
@@ -171,7 +171,7 @@ def _rows(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
                     out[name].append(value)
             yield records(schema, out)
 
-    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, node binary, n long, prefix array<long>, fine binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(giving_back(run), "doc_id long, text_hash long, node binary, n long, prefix array<long>, fine binary")
 
 
 def _members(rows: DataFrame, bitmap: bytes) -> DataFrame:
@@ -190,7 +190,7 @@ def _members(rows: DataFrame, bitmap: bytes) -> DataFrame:
                 r = row[at : at + 200_000]
                 yield records(schema, {"token": token[at : at + 200_000], "node": batch.column("node").take(pa.array(r)), "share": share[r]})
 
-    return rows.where("node is not null").select("node", "prefix").mapInArrow(run, "token long, node binary, share long")
+    return rows.where("node is not null").select("node", "prefix").mapInArrow(giving_back(run), "token long, node binary, share long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield records(schema, {"node": [identity(s) for s in found], "x": [s.tobytes() for s in found]})
 
     # a node's set comes from any of its documents that passes the map; the wanted one always does
-    made = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(run, "node binary, x binary")
+    made = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(giving_back(run), "node binary, x binary")
     return made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("x").alias("x"))
 
 
@@ -241,7 +241,7 @@ def _edges(tasks: DataFrame, percent: int, exact: bool) -> DataFrame:
 
     count = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tasks.repartition(count, "g", "p", "q").sortWithinPartitions("g", "p", "q").select("g", "p", "q", "page", "lead", "node", "part", "n", "x")
-    return stored(dealt.mapInArrow(run, "a binary, b binary").distinct())
+    return stored(dealt.mapInArrow(giving_back(run), "a binary, b binary").distinct())
 
 
 def _searched(members: DataFrame, payload: DataFrame, percent: int, exact: bool) -> DataFrame:

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import documents_of, records, stored
-from tickloom.llm.tokens import encoded_batches
+from tickloom.llm.common import documents_of, giving_back, records, stored
+from tickloom.llm.tokens import encoded_batches, forget
 
 CAPACITY = 2048
 END = np.zeros(1, "<u4").tobytes()
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
             yield records(schema, out)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return documents_of(docs).mapInArrow(cut, ddl)
+    return documents_of(docs).mapInArrow(giving_back(cut, forget), ddl)
 
 
 def fullest(counts: list[int], room: int) -> list[int]:
@@ -134,7 +134,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield from out.to_batches()
 
     names = [f"`{n}` {kind}" for n, kind in ranked.dtypes if n != "_rank"]
-    return ranked.mapInArrow(place, ", ".join([*names, "sequence_id long", "offset long"]))
+    return ranked.mapInArrow(giving_back(place), ", ".join([*names, "sequence_id long", "offset long"]))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

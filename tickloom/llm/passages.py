@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import (
-    SHINGLE, SIMILARITY_PERCENT, broadcast_if_small, documents_of, each_chunk, each_text, identity, in_map, key_map, map_bits,
-    records, shingles, stored, whole_runs,
+    SHINGLE, SIMILARITY_PERCENT, broadcast_if_small, documents_of, each_chunk, each_text, giving_back, identity, in_map, key_map,
+    map_bits, records, shingles, stored, whole_runs,
 )
 
 #: Words and shingles of the shortest passage.
@@ -137,7 +137,7 @@ def _rows(docs: DataFrame) -> DataFrame:
                 own = [batch.column(c).take(pa.array(numbers)) for c in ("doc_id", "text_hash")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(node), pa.array(np.diff(bounds)), keys], schema=schema)
 
-    return docs.select("doc_id", "text", _text_hash()).mapInArrow(run, "doc_id long, text_hash long, node binary, n_words long, keys array<long>")
+    return docs.select("doc_id", "text", _text_hash()).mapInArrow(giving_back(run), "doc_id long, text_hash long, node binary, n_words long, keys array<long>")
 
 
 def _text_hash():
@@ -175,7 +175,7 @@ def _windows(docs: DataFrame, bitmap: bytes, first: bytes) -> DataFrame:
         places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)).astype(np.int32)), pa.array((w[order, 1] - bounds[text[order]]).astype(np.int32)))
         yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array([nodes[i] for i in text[one]], pa.binary()), pa.array([x.tobytes() for x in cx[one]], pa.binary()), places], schema=schema)
 
-    return docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(run, "key long, node binary, cx binary, places array<int>")
+    return docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(giving_back(run), "key long, node binary, cx binary, places array<int>")
 
 
 def _needed(cx: np.ndarray, percent: int) -> np.ndarray:
@@ -386,7 +386,7 @@ def _within_blocks(windows: DataFrame, percent: int) -> DataFrame:
 
     n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = windows.repartition(n, "key", "block").sortWithinPartitions("key", "block").select("key", "block", "blocks", "node", "cx", "places")
-    return dealt.mapInArrow(run, f"{_SPAN_DDL}, key long, block int, blocks int, head boolean, cx binary, places array<int>")
+    return dealt.mapInArrow(giving_back(run), f"{_SPAN_DDL}, key long, block int, blocks int, head boolean, cx binary, places array<int>")
 
 
 def _across_blocks(many: DataFrame, percent: int) -> DataFrame:
@@ -413,7 +413,7 @@ def _across_blocks(many: DataFrame, percent: int) -> DataFrame:
             yield from w.found(schema)
 
     n = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(n, "key", "block", "page").sortWithinPartitions("key", "block", "page").mapInArrow(run, _SPAN_DDL)
+    return both.repartition(n, "key", "block", "page").sortWithinPartitions("key", "block", "page").mapInArrow(giving_back(run), _SPAN_DDL)
 
 
 def repeated_passages(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
