@@ -1,11 +1,14 @@
 """Corpus operators against brute force, round trips, held-out labels, and tables with nulls, repeats and long texts."""
 
+import collections
 import io
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import same
 from conftest import SF
@@ -570,6 +573,41 @@ def test_toxicity_without_labels(spark, edge):
     assert toxicity.toxicity(edge, toxicity.fit(edge, none)).count() == 12
 
 
+def test_toxicity_counts_are_those_of_sets(spark, docs):
+    ids = toxicity.training_ids(table(spark, SF, "labels"))
+    rows = toxicity.training_rows(docs, ids)
+    assert not [kind for _, kind in rows.dtypes if kind.startswith("array")]  # lists of n-grams are longer than the texts
+    texts = {r.doc_id: r.text for r in docs.orderBy(docs.text.desc()).collect()}  # the smallest of an id comes last
+    want = collections.defaultdict(lambda: [0, 0])
+    for i, y in ids:
+        if texts.get(i) is not None:
+            for b in {-1, *np.concatenate(list(toxicity.ngram_buckets(texts[i]))).tolist()}:
+                want[b][y] += 1
+    assert {r.bucket: [r.c0, r.c1] for r in toxicity.class_counts(rows.repartition(5)).collect()} == want and all(want[-1])
+    assert toxicity.class_counts(rows.limit(0)).where("c0 + c1 > 0").count() == 0
+
+
+def test_toxicity_tasks_hold_few_texts(spark):
+    class Table:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    model = toxicity.Model(np.full(1 << toxicity.BUCKET_BITS, -1, np.int32), np.zeros(1))
+    texts = [chr(97 + i % 26) * 5000 for i in range(2000)]
+    batch = pa.record_batch({"doc_id": pa.array(range(2000), pa.int64()), "text": texts})
+    run = toxicity.toxicity(Table(), model)
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2000 and peak < 5e6  # 10 MB of text
+
+
 def test_language(spark, docs):
     known = {r.lang: r.text for r in docs.where("n_chars > 600").collect()}
     rows = [(i, f"https://{x}.example.com/a", f"<html><body><p>{t[:500]}</p></body></html>") for i, (x, t) in enumerate(known.items())]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import documents_of, records, stored
+from tickloom.llm.common import documents_of, giving_back, records, stored
 
 ORDERS = (3, 4, 5)
 #: n-grams are hashed into this many buckets; the model keeps those whose log-count ratio is most certain.
@@ -17,14 +17,15 @@ BUCKET_BITS, FEATURES = 18, 4096
 #: Labelled documents that the classifier is fitted on, at most: those whose ids have the smallest hashes.
 MAX_FIT_ROWS = 20_000
 SMOOTHING, RIDGE, STEPS = 0.5, 1e-3, 150
+#: Rows of a batch whose texts are Python objects at a time; bounds the working memory of a task.
+SLICE_ROWS = 256
 
 
 def ngram_buckets(text: str | None, chunk: int = 1 << 18):
     """Buckets of all n-grams of the lower-cased text with a space at either end, with repetitions, by chunks."""
     points = np.frombuffer(f" {text or ''} ".lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(points < 33, np.uint32(32), points).astype(np.uint64)
     for at in range(0, len(points), chunk):
-        p = points[at : at + chunk + max(ORDERS) - 1]
+        p = np.maximum(points[at : at + chunk + max(ORDERS) - 1], np.uint32(32)).astype(np.uint64)
         for n in ORDERS:
             if len(p) < n or at and len(p) - n + 1 <= 0:
                 continue
@@ -35,6 +36,18 @@ def ngram_buckets(text: str | None, chunk: int = 1 << 18):
             yield (h[:chunk] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def distinct_buckets(text: str | None) -> np.ndarray:
+    seen = np.zeros(1 << BUCKET_BITS, bool)
+    for buckets in ngram_buckets(text):
+        seen[buckets] = True
+    return np.flatnonzero(seen)
+
+
+def slices(batches):
+    for batch in batches:
+        yield from (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -53,28 +66,34 @@ def training_ids(labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list[tu
 
 
 def training_rows(docs: DataFrame, ids: list[tuple[int, int]]) -> DataFrame:
-    """doc_id, y, buckets (the distinct ones of the text) of the documents with these ids, as a stored table.
+    """doc_id, y, text of the documents with these ids, as a stored table.
 
     The ids are broadcast: there are MAX_FIT_ROWS of them at most, whatever the input, and only these documents'
-    buckets move. Of several texts with the same id, the smallest counts.
+    texts move. Of several texts with the same id, the smallest counts.
     """
     few = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, y int"))
-    rows = documents_of(docs).where("text is not null").join(few, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("buckets", pa.list_(pa.int32()))])
+    rows = documents_of(docs).where("text is not null").join(few, "doc_id")
+    return stored(rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")))
 
-    def count(batches):
-        for batch in batches:
-            found = [np.unique(np.concatenate(list(ngram_buckets(t)))).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield records(schema, {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "buckets": found})
 
-    return stored(rows.select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, buckets array<int>"))
+def class_counts(rows: DataFrame) -> DataFrame:
+    """bucket, c0, c1: documents of either class that hold an n-gram of the bucket; bucket -1: all documents.
 
+    A task adds up its own documents, so that a row for each bucket leaves it and not one for each n-gram.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("c0", pa.int64()), ("c1", pa.int64())])
 
-def class_counts(rows: DataFrame) -> DataFrame:
-    """bucket, c0, c1: documents of either class that hold an n-gram of the bucket; bucket -1: all documents."""
-    one = lambda k: F.sum((F.col("y") == k).cast("long")).alias(f"c{k}")
-    held = rows.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(one(0), one(1))
-    return held.union(rows.agg(*(F.coalesce(one(k), F.lit(0)).alias(f"c{k}") for k in (0, 1))).select(F.lit(-1), "c0", "c1"))
+    def count(batches):
+        c = np.zeros((2, (1 << BUCKET_BITS) + 1), np.int64)  # bucket -1 is the last
+        for part in slices(batches):
+            for y, text in zip(part.column("y").to_pylist(), part.column("text").to_pylist()):
+                c[y, distinct_buckets(text)] += 1
+                c[y, -1] += 1
+        found = np.flatnonzero(c.any(axis=0))
+        yield records(schema, {"bucket": np.where(found == 1 << BUCKET_BITS, -1, found), "c0": c[0, found], "c1": c[1, found]})
+
+    counts = rows.select("y", "text").mapInArrow(giving_back(count), "bucket int, c0 long, c1 long")
+    return counts.groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 class Model:
@@ -120,11 +139,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("f", pa.list_(pa.int32()))])
 
     def features(batches):
-        for batch in batches:
-            found = [np.sort(f[f >= 0]) for f in (model.feature[b.values.to_numpy()] for b in batch.column("buckets"))]
-            yield records(schema, {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "f": found})
+        for part in slices(batches):
+            found = [model.present(t).astype(np.int32) for t in part.column("text").to_pylist()]
+            yield records(schema, {"doc_id": part.column("doc_id"), "y": part.column("y"), "f": found})
 
-    t = rows.mapInArrow(features, "doc_id long, y int, f array<int>").toArrow().sort_by("doc_id")  # max_fit_rows at most
+    t = rows.mapInArrow(giving_back(features), "doc_id long, y int, f array<int>").toArrow().sort_by("doc_id")  # max_fit_rows at most
     y = t["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return model
@@ -154,10 +173,10 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def score(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            found = [model.score(t) for t in batch.column("text").to_pylist()]
+        for part in slices(batches):
+            ids = part.column("doc_id").to_pylist()
+            found = [model.score(t) for t in part.column("text").to_pylist()]
             held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in ids]
             yield records(schema, {"doc_id": ids, "held_out": held, "score": found, "predicted": [int(s >= 0.5) for s in found]})
 
-    return documents_of(docs).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return documents_of(docs).mapInArrow(giving_back(score), "doc_id long, held_out boolean, score double, predicted int")
