@@ -228,6 +228,57 @@ def test_passages_over_blocks(spark, monkeypatch):
     assert len({r.doc_id for r in got}) == 119 and all(50 <= r.end_word - r.start_word <= 90 for r in got)
 
 
+def windows_around(middles, seed):
+    """A table of windows of one minimum, each of another text, with the given shingles around it (None: its own one)."""
+    rng = np.random.default_rng(seed)
+    cx = rng.integers(1 << 20, 1 << 32, (len(middles), passages.WIDTH), dtype=np.uint32)
+    for row, middle in zip(cx, middles):
+        for i, x in enumerate(middle, passages.REACH - len(middle) // 2):
+            row[i] = row[i] if x is None else x
+    rows = {"key": np.zeros(len(cx), np.int64), "block": np.zeros(len(cx), np.int32), "node": [rng.bytes(16) for _ in cx], "cx": [x.tobytes() for x in cx], "places": [[passages.REACH]] * len(cx)}
+    return pa.table(rows)
+
+
+def hot_windows(kind, n, seed=5):
+    rng = random.Random(seed)
+    if kind == "line":  # a common line that is too short for a passage
+        return windows_around([list(range(2, 32)) for _ in range(n)], seed)
+    if kind == "word":  # a word again and again, between own words
+        return windows_around([[2] * rng.choice((30, 38)) for _ in range(n)], seed)
+    base = list(range(2, 80))  # near copies
+    return windows_around([[None if rng.random() < 0.08 else x for x in base] for _ in range(n)], seed)
+
+
+def searched(table, thin):
+    w = passages.Windows(table, 80, "key", "block")
+    if thin:
+        w.thin()
+    ys = np.arange(1, len(w.begin))
+    w.search(ys, w.begin[ys], ys)
+    return w
+
+
+@pytest.mark.parametrize("kind", ["line", "word", "near"])
+def test_thinned_windows_have_the_same_links(kind):
+    plain, thin = (searched(hot_windows(kind, 300), x) for x in (False, True))
+    for name in ("linked", "spans", "similarity"):
+        assert (getattr(plain, name) == getattr(thin, name)).all()
+    assert (plain.linked >= 0).any() == (kind == "near")
+
+
+@pytest.mark.parametrize("kind", ["line", "word"])
+def test_windows_that_cannot_be_linked_are_not_compared(spark, kind, monkeypatch):
+    # a short line or a word that very many texts hold: before, each window was compared with all others of its minimum
+    compared = []
+    alike = passages.Windows._alike
+    monkeypatch.setattr(passages.Windows, "_alike", lambda self, x, y: compared.append(len(x)) or alike(self, x, y))
+    monkeypatch.setattr(passages, "COARSE_SHARE", 0)  # also where sketches let all pairs pass
+    t = hot_windows(kind, 300)
+    assert (searched(t, True).linked < 0).all() and sum(compared) == 0
+    many = spark.createDataFrame([(0, i % 4, 4, True, bytes(n), bytes(c), p) for i, (n, c, p) in enumerate(zip(*(t[x].to_pylist() for x in ("node", "cx", "places"))))], "key long, block int, blocks int, head boolean, node binary, cx binary, places array<int>")
+    assert passages._linkable(many, 80).count() == 0
+
+
 def test_passages_behind_an_earlier_occurrence(spark):
     # the leader has the shared line twice, and only the second time what follows it
     rows, seed = [], 0

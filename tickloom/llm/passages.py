@@ -9,6 +9,10 @@ minima are joined and the shared passage is verified on the shingles.
 Every window is compared with the smallest text of its minimum, and those that aren't linked to it with all smaller
 ones. A minimum that very many windows have is dealt out in blocks; what is first in its block is then compared with
 the other blocks. Each window is reported with one text that it is linked to, so rows follow windows, not pairs.
+
+Windows that share too few shingles with all others of their minimum to be linked to any take no part in this, and of
+windows that look the same but for shingles that no other text holds, the first stand for all; neither changes a link.
+So a short line that very many texts hold, or a word that they repeat, costs less than the square of their number.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import (
     SHINGLE, SIMILARITY_PERCENT, broadcast_if_small, documents_of, each_chunk, each_text, giving_back, identity, in_map, key_map,
-    map_bits, records, shingles, stored, whole_runs,
+    map_bits, mix, records, shingles, signed, stored, whole_runs,
 )
 
 #: Words and shingles of the shortest passage.
@@ -36,6 +40,9 @@ BLOCK = 1024
 #: Shingles on either side of a minimum that are compared: with those, every subsequence of LEAST around it is whole.
 REACH = LEAST - 1
 WIDTH = 2 * REACH + 1
+#: Windows of a run from which it is looked first which of them others can be linked to, and blocks of a key for each
+#: piece of its shingles.
+THINNED, PIECE = 64, 4
 #: Bits of the sketches by which pairs are sorted out first, and the share of the common shingles that a passage needs
 #: (41, or as many different ones as make up so many places) that must be common bits: fewer are an unlikely number of
 #: collisions.
@@ -190,6 +197,17 @@ def _needed(cx: np.ndarray, percent: int) -> np.ndarray:
     return (total < need).sum(axis=1) + 1
 
 
+def _first_places(cx: np.ndarray) -> np.ndarray:
+    """For each place of each row, the first with the same shingle."""
+    order = np.argsort(cx, axis=1, kind="stable")
+    x = np.take_along_axis(cx, order, axis=1)
+    begins = np.concatenate((np.ones((len(cx), 1), bool), x[:, 1:] != x[:, :-1]), axis=1)
+    first = np.maximum.accumulate(np.where(begins, np.arange(WIDTH), 0), axis=1)
+    out = np.empty(cx.shape, np.uint64)
+    np.put_along_axis(out, order, np.take_along_axis(order, first, axis=1).astype(np.uint64), axis=1)
+    return out
+
+
 def _slices(x: np.ndarray, y: np.ndarray, size: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for at in range(0, max(len(x), 1), size):
         yield x[at : at + size], y[at : at + size]
@@ -282,10 +300,39 @@ class Windows:
         self.coarse = np.packbits(self.bits.reshape(len(run), -1, COARSE_BITS).any(axis=1), axis=1).view(np.uint64)
         needed = _needed(self.cx, percent)
         self.least, self.coarse_least = np.floor(COMMON_SHARE * needed).astype(np.int64), np.floor(COARSE_SHARE * needed).astype(np.int64)
+        self.run = run
+        self.may, self.stands = np.ones(len(run), bool), np.ones(len(run), bool)
         self.linked = np.full(len(run), -1)
         self.spans = np.zeros((len(run), 2), np.int64)
         self.similarity = np.zeros(len(run))
 
+    def thin(self, eligible: np.ndarray | None = None) -> None:
+        """In long runs, which windows may be linked to any: whose shingles that another text of the run holds allow a
+        passage; and which of those that are eligible stand for all that look so: the first, and the first of another
+        text. Looks differ in shingles that others hold, and in which of the rest are equal."""
+        rows = np.flatnonzero(np.bincount(self.run, minlength=1)[self.run] >= THINNED)
+        cuts = np.flatnonzero(np.diff(self.run[rows] if len(rows) else rows)) + 1
+        for rows in np.split(rows, cuts) if len(rows) else ():
+            cx, node = self.cx[rows], self.node[rows]
+            order = np.argsort(cx, axis=None, kind="stable")  # of equal shingles, by node
+            flat, of = cx.ravel()[order], node[order // WIDTH]
+            begins = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+            ends = np.append(begins[1:], len(flat))
+            shared = np.empty(cx.size, bool)
+            shared[order] = np.repeat(of[begins] != of[ends - 1], ends - begins)
+            shared = shared.reshape(cx.shape) & (cx > 0)
+            self.may[rows] = may = possible(shared, cx > 0, self.percent)
+            self.stands[rows] = False
+            if eligible is not None:
+                may = may & eligible[rows]
+            rows, cx, node, shared = rows[may], cx[may], node[may], shared[may]
+            if len(rows):
+                look = np.where(shared | (cx == 0), cx.astype(np.uint64), _first_places(cx) + np.uint64(1 << 32))
+                _, first, kind = np.unique(np.ascontiguousarray(look).view(f"V{8 * WIDTH}").ravel(), return_index=True, return_inverse=True)
+                other = np.flatnonzero(node != node[first][kind.ravel()])
+                _, second = np.unique(kind.ravel()[other], return_index=True)
+                self.stands[rows[first]] = self.stands[rows[other[second]]] = True
+
     def _near(self, ys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (x, y) of windows y of ys and x of lo to hi whose coarse sketches allow a passage, some at a time in
         order of y. Long ranges are compared as products of matrices of bits."""
@@ -300,25 +347,27 @@ class Windows:
                     n = (hi - lo)[some]
                     y = np.repeat(ys[some], n)
                     x = np.repeat(lo[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    x, y = x[self.stands[x]], y[self.stands[x]]
                     common = np.bitwise_count(self.coarse[x] & self.coarse[y]).sum(axis=1, dtype=np.int64)
                     keep = common >= np.maximum(self.coarse_least[x], self.coarse_least[y])
                     yield x[keep], y[keep]
                 continue
-            first, last = int(lo[a]), int(hi[a:b].max())
-            bits = np.unpackbits(self.coarse[first:last].view(np.uint8), axis=1).astype(np.float32)
+            xs = int(lo[a]) + np.flatnonzero(self.stands[lo[a] : hi[a:b].max()])
+            bits = np.unpackbits(self.coarse[xs].view(np.uint8), axis=1).astype(np.float32)
             for c in range(a, b, 256):
                 some = np.arange(c, min(c + 256, b))[self.linked[ys[c : min(c + 256, b)]] < 0]
                 own = np.unpackbits(self.coarse[ys[some]].view(np.uint8), axis=1).astype(np.float32)
                 common = own @ bits.T
-                near = common >= np.maximum(self.coarse_least[ys[some]][:, None], self.coarse_least[first:last][None, :])
-                near &= np.arange(first, last)[None, :] < hi[some][:, None]
+                near = common >= np.maximum(self.coarse_least[ys[some]][:, None], self.coarse_least[xs][None, :])
+                near &= xs[None, :] < hi[some][:, None]
                 i, j = np.nonzero(near)
                 for k in range(0, max(len(i), 1), 50_000):
-                    yield j[k : k + 50_000] + first, ys[some][i[k : k + 50_000]]
+                    yield xs[j[k : k + 50_000]], ys[some][i[k : k + 50_000]]
 
     def search(self, ys: np.ndarray, lo: np.ndarray, hi: np.ndarray, allowed=None) -> None:
         """Links each window of ys that isn't yet with the first it can be among the windows lo to hi."""
-        percent = self.percent
+        percent, may = self.percent, self.may[ys]
+        ys, lo, hi = ys[may], lo[may], hi[may]
         for x, y in self._near(ys, lo, hi) if len(ys) else ():
             keep = (self.node[x] != self.node[y]) & (self.linked[y] < 0)
             if allowed is not None:
@@ -371,6 +420,7 @@ def _within_blocks(windows: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for t in whole_runs(batches, "key", "block"):
             w = Windows(t, percent, "key", "block")
+            w.thin()
             rows = np.arange(len(w.begin))
             ys = rows[rows > w.begin]
             w.search(ys, w.begin[ys], w.begin[ys] + 1)
@@ -389,12 +439,67 @@ def _within_blocks(windows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(giving_back(run), f"{_SPAN_DDL}, key long, block int, blocks int, head boolean, cx binary, places array<int>")
 
 
+def _codes(key: np.ndarray, cx: np.ndarray) -> np.ndarray:
+    """64-bit hashes of (key, shingle)."""
+    return mix(mix(key.view(np.uint64))[:, None] + cx)
+
+
+def _of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column("key").to_numpy(), np.frombuffer(b"".join(batch.column("cx").to_pylist()), np.uint32).reshape(-1, WIDTH)
+
+
+def _linkable(many: DataFrame, percent: int) -> DataFrame:
+    """The windows whose shingles that other blocks of their key hold, too, allow a passage: others can't be linked across
+    blocks. Which shingles these are is a bitmap of bounded size, which may let others pass."""
+
+    def pieces(batches):
+        """Of each block the shingles, in pieces that grow in number with the blocks of their key."""
+        schema = pa.schema([("key", pa.int64()), ("piece", pa.int32()), ("block", pa.int32()), ("shingles", pa.binary())])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                (key, cx), block, blocks = _of(some), *(some.column(c).to_numpy() for c in ("block", "blocks"))
+                new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+                own = np.flatnonzero(new)
+                piece = (cx * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % -(-blocks // PIECE).astype(np.uint64)[:, None]
+                place = (np.cumsum(new) - 1).astype(np.uint64)[:, None] << np.uint64(48) | piece << np.uint64(32) | cx
+                place = np.unique(place[cx > 0])
+                begins = np.flatnonzero(np.concatenate(([True], np.diff(place >> np.uint64(32)) != 0)))
+                of = own[(place[begins] >> np.uint64(48)).astype(np.int64)]
+                data = np.split(place.astype(np.uint32), begins[1:])
+                yield records(schema, {"key": key[of], "piece": (place[begins] >> np.uint64(32)).astype(np.uint16), "block": block[of], "shingles": [x.tobytes() for x in data]})
+
+    def in_several(t: pa.Table) -> pa.Table:
+        data = t["shingles"].to_pylist()
+        block, x = np.repeat(t["block"].to_numpy(), [len(y) // 4 for y in data]), np.frombuffer(b"".join(data), np.uint32)
+        order = np.lexsort((block, x))
+        x, block = x[order], block[order]
+        begins = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        x = x[begins[block[begins] != block[np.append(begins[1:], len(x)) - 1]]]
+        return pa.table({"code": signed(_codes(t["key"].to_numpy()[:1], x[None, :]).ravel())})
+
+    cut = many.select("key", "block", "blocks", "cx").mapInArrow(giving_back(pieces), "key long, piece int, block int, shingles binary")
+    shared = stored(cut.groupBy("key", "piece").applyInArrow(in_several, "code long"))
+    bitmap = key_map(shared, "code", map_bits(shared.count()))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for at in range(0, batch.num_rows, 4096):
+                key, cx = _of(batch.slice(at, 4096))
+                keep.append(possible(in_map(signed(_codes(key, cx)), bitmap) & (cx > 0), cx > 0, percent))
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
+
+    return stored(many.mapInArrow(giving_back(run), many.schema))
+
+
 def _across_blocks(many: DataFrame, percent: int) -> DataFrame:
     """Spans of the heads of blocks that are linked to a smaller window of another block of their key.
 
     The blocks were sized by the texts of a key; here, the windows and the heads that there really are make blocks and
     pages of bounded size, and each block meets each page. Where both are few, that is one task's work.
     """
+    many = _linkable(many, percent)
     sizes = many.groupBy("key").agg(F.expr(f"CAST(ceil(count(*) / {4 * BLOCK}) AS int)").alias("blocks"), F.expr(f"CAST(ceil(count_if(head) / {2 * BLOCK}) AS int)").alias("pages"))
     at = many.withColumnRenamed("block", "own").drop("blocks").join(sizes, "key")
     place = lambda n: F.expr(f"CAST(pmod(xxhash64(node, cx, own), {n}) AS int)")
@@ -408,6 +513,7 @@ def _across_blocks(many: DataFrame, percent: int) -> DataFrame:
         for t in whole_runs(batches, "key", "block", "page"):
             w = Windows(t, percent, "key", "block", "page")
             searched, own = w.table["searched"].to_numpy(), w.table["own"].to_numpy()
+            w.thin(~searched)
             ys = np.flatnonzero(searched)
             w.search(ys, w.begin[ys], ys, lambda x, y: ~searched[x] & (own[x] != own[y]))
             yield from w.found(schema)
