@@ -9,10 +9,11 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from tickloom.llm import alignment, collocations, common, winnowing
+from tickloom.llm import alignment, collocations, common, tokens, winnowing
 from tickloom.llm.queries import PIECES, tokenizer_path
 
 PATHS = tokenizer_path(), tokenizer_path(PIECES)
@@ -153,6 +154,27 @@ def test_alignment_edges(spark):
     assert alignment.alignments(df.limit(0), *PATHS).collect() == []
 
 
+class Tasks:
+    """Stands for a table: gives the function that mapInArrow() would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, ddl):
+        return run
+
+
+def test_workers_keep_no_tokenizers_after_a_task(monkeypatch):
+    # idle workers held tokenizers and caches, some 200 MB each, beside their executor while it looked links up
+    monkeypatch.setattr(alignment, "documents_of", lambda docs: docs)
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    run = alignment._blocks(Tasks(), *PATHS, False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two", None]})
+    assert sum(row.num_rows for row in run([batch])) == 1
+    assert not alignment._pairs and not tokens._encoders and given
+
+
 def test_texts_without_tokens_alone(spark):
     got = alignment.alignments(frame(spark, [(1, "▁", "en"), (2, "▁▁", "en")]), *PATHS).collect()
     assert sorted(tuple(r) for r in got) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
