@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -302,6 +303,15 @@ def test_collocations(spark, monkeypatch, least, depth, share, top):
     assert {tuple(r) for r in got.collect()} == brute_collocations(rows, least, depth, share, top)
 
 
+def test_blocks_of_a_file(spark, monkeypatch):
+    # the blocks of a file go to Python together, outside the executor's heap: before, however many a task had made
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 64)
+    docs = spark.createDataFrame([(f"word{i} " * 12, "en") for i in range(23)], "text string, lang string").coalesce(1)
+    coded = collocations.blocks(docs)
+    assert coded.count() == 23
+    assert all(pq.read_metadata(re.sub("^file:/+", "/", x)).num_rows <= collocations.FILE_BLOCKS for x in coded.inputFiles())
+
+
 def test_collocation_scores_beyond_64_bits():
     import pyarrow as pa
 

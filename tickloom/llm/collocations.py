@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import hashes_of, in_map, key_map, map_bits, mix, records, signed, stored, whole_runs
+from tickloom.llm.common import give_back, giving_back, hashes_of, in_map, key_map, map_bits, mix, records, signed, stored, whole_runs
 
 #: Words of the longest phrase, its least count, a longer phrase's share (percent) that makes a phrase part of it, and
 #: the phrases reported for each language.
 DEPTH, LEAST, SHARE, TOP = 5, 100, 100, 2000
-#: Bytes of text in a block, the ranges of a prefix's last words, so that a hot prefix isn't one range, and the nodes of
-#: blocks that go out together.
-BLOCK_BYTES, SLICES, TOGETHER = 1 << 21, 16, 400_000
+#: Bytes of text in a block, blocks of a file, the ranges of a prefix's last words, so that a hot prefix isn't one range,
+#: and the nodes of blocks that go out together.
+BLOCK_BYTES, FILE_BLOCKS, SLICES, TOGETHER = 1 << 21, 4, 16, 400_000
 
 # What ends a piece, and what ends a word
 _PIECE_END = np.zeros(256, bool)
@@ -86,7 +86,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     """The texts as blocks of numbered words, written as a table."""
 
     def run(batches):
-        batch, texts, langs, size = None, [], [], 0
+        texts, langs, size = [], [], 0
         row = lambda: records(_BLOCK, {c: [x] for c, x in _block(texts, langs).items()})
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
@@ -98,11 +98,9 @@ def blocks(docs: DataFrame) -> DataFrame:
                     texts, langs, size = [], [], 0
         if texts:
             yield row()
-        del batch, texts, langs
-        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    return stored(docs.select(F.col("text").cast("string").alias("text"), lang).mapInArrow(run, _BLOCK_DDL))
+    return stored(docs.select(F.col("text").cast("string").alias("text"), lang).mapInArrow(giving_back(run), _BLOCK_DDL), FILE_BLOCKS)
 
 
 class Shard:
@@ -159,7 +157,6 @@ def _frequent(coded: DataFrame, maps: list[bytes], least: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from together(held)
-        pa.default_memory_pool().release_unused()
 
     def together(held):
         keys, n, of, block = (np.concatenate(x) for x in zip(*held))
@@ -184,9 +181,9 @@ def _frequent(coded: DataFrame, maps: list[bytes], least: int) -> DataFrame:
             one = begins + (mix(keys[begins].view(np.uint64)) % several.astype(np.uint64)).astype(np.int64)
             yield records(schema, {"key": keys[begins[hit]], "n": total[hit], "block": t["block"].to_numpy()[one[hit]]})
 
-    counts = coded.select("block", "keys", "codes", "joined").mapInArrow(nodes, "range int, key long, n long, block long")
+    counts = coded.select("block", "keys", "codes", "joined").mapInArrow(giving_back(nodes), "range int, key long, n long, block long")
     runs = counts.repartition(2 * parts, "range").sortWithinPartitions("key", "block").select("key", "n", "block")
-    return stored(runs.mapInArrow(merged, "key long, n long, block long"))
+    return stored(runs.mapInArrow(giving_back(merged), "key long, n long, block long"))
 
 
 _NODE = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("depth", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("prefix", pa.int64()), ("suffix", pa.int64())])
@@ -222,6 +219,7 @@ def _spelled(coded: DataFrame, frequent: list[DataFrame], maps: list[bytes]) ->
                 found = {"key": own["key"].to_numpy(), "n": own["n"].to_numpy(), "depth": np.full(len(at), depth), "prefix": links[0], "suffix": links[1]}
                 found |= {"lang": [row["langs"][i] for i in lang_of[codes[:, 0]]], "phrase": [" ".join(map(word, x)) for x in codes.tolist()]}
                 out.append(pa.Table.from_batches([records(_NODE, found)]))
+        give_back()
         return pa.concat_tables(out) if out else _NODE.empty_table()
 
     ddl = "key long, n long, depth int, lang string, phrase string, prefix long, suffix long"
@@ -282,6 +280,6 @@ def collocations(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, share:
     inside = phrases.where("depth > 2").select(F.explode(F.array("prefix", "suffix")).alias("key"), "n").groupBy("key").agg(F.max("n").alias("longer"))
     kept = phrases.join(inside, "key", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("n")))
     given = kept.join(totals, "lang").select("lang", "phrase", F.col("n").alias("a"), "lefts", "rights", F.col("words").alias("n"))
-    scored = given.mapInArrow(_scored, "lang string, phrase string, a long, l long, r long, n long, score long")
+    scored = given.mapInArrow(giving_back(_scored), "lang string, phrase string, a long, l long, r long, n long, score long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
